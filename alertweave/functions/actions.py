@@ -53,52 +53,66 @@ def action(
     )
 
 
-def has_any(params: Column, keys: list[str]) -> Column:
-    out = F.lit(False)
-    for key in keys:
-        out = out | non_blank(F.try_element_at(params, F.lit(key)))
-    return out
+def has_key(params: Column, keys: Column) -> Column:
+    """Whether one of the keys has a non-blank value."""
+    return F.exists(keys, lambda k: non_blank(F.try_element_at(params, k)))
 
 
-def has_all(params: Column, keys: list[str]) -> Column:
-    out = F.lit(True)
-    for key in keys:
-        out = out & non_blank(F.try_element_at(params, F.lit(key)))
-    return out
+def _sql(value) -> str:
+    """A Python constant as a SQL literal, so that a whole table is one expression."""
+    if value is None:
+        return "null"
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if isinstance(value, (int, float)):
+        return str(value)
+    if isinstance(value, (list, tuple)):
+        return "array(" + ", ".join(_sql(v) for v in value) + ")"
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def parameters_ok(action_type: Column, params: Column, catalog: dict) -> Column:
-    """Whether the catalog's required parameters are there and non-blank."""
-    out = None
+def constant(value) -> Column:
+    return F.expr(_sql(value))
+
+
+def by_type(action_type: Column, values: dict, default=None) -> Column:
+    """Value per action type from a literal map; it never has more than eleven entries."""
+    if not values:
+        return F.lit(default)
+    table = F.expr("map(" + ", ".join(f"{_sql(k)}, {_sql(v)}" for k, v in values.items()) + ")")
+    found = F.try_element_at(table, action_type)
+    return found if default is None else F.coalesce(found, F.lit(default))
+
+
+def one_of(action_type: Column, names) -> Column:
+    return F.array_contains(constant(list(names)), action_type) if names else F.lit(False)
+
+
+def key_groups(catalog: dict) -> dict:
+    """Per type the groups of keys of which each needs one non-blank value."""
+    out = {}
     for name, (_, _, _, _, required) in catalog.items():
         if not required:
             continue
         if name in K.PARAMETER_GROUPS:
-            ok = F.lit(True)
-            for group in K.PARAMETER_GROUPS[name]:
-                ok = ok & has_any(params, group)
+            out[name] = K.PARAMETER_GROUPS[name]
         elif list(required) in K.EITHER_KEY_LISTS:
-            ok = has_any(params, list(required))
+            out[name] = [list(required)]
         else:
-            ok = has_all(params, list(required))
-        branch = action_type == name
-        out = F.when(branch, ok) if out is None else out.when(branch, ok)
-    return F.lit(True) if out is None else out.otherwise(F.lit(True))
+            out[name] = [[key] for key in required]
+    return out
 
 
-def known(action_type: Column, catalog: dict) -> Column:
-    return action_type.isin(list(catalog)) if catalog else F.lit(False)
+def parameters_ok(action_type: Column, params: Column, catalog: dict) -> Column:
+    """Whether the catalog's required parameters are there and non-blank."""
+    groups = by_type(action_type, key_groups(catalog))
+    if not key_groups(catalog):
+        return F.lit(True)
+    return F.coalesce(F.forall(groups, lambda keys: has_key(params, keys)), F.lit(True))
 
 
-def by_type(action_type: Column, values: dict, default=None) -> Column:
-    """CASE over action types; the table never exceeds the eleven types."""
-    out = None
-    for name, value in values.items():
-        branch = action_type == name
-        out = F.when(branch, F.lit(value)) if out is None else out.when(branch, F.lit(value))
-    if out is None:
-        return F.lit(default)
-    return out if default is None else out.otherwise(F.lit(default))
+def known(action_type: Column, catalog: dict) -> Column:
+    return one_of(action_type, catalog)
 
 
 def catalog_field(action_type: Column, catalog: dict, position: int, default=None) -> Column:

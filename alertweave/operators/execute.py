@@ -40,12 +40,14 @@ def _by_executor(executors: list, position: int) -> dict:
 
 
 def _feasible(action: Column, executors: list) -> Column:
-    out = None
-    for t, keys in _by_executor(executors, 2).items():
-        branch = action["type"] == t
-        ok = A.has_any(action["params"], keys) if keys else F.lit(True)
-        out = F.when(branch, ok) if out is None else out.when(branch, ok)
-    return F.lit(False) if out is None else out.otherwise(F.lit(False))
+    any_key = {t: k for t, k in _by_executor(executors, 2).items() if not k}
+    needed = {t: k for t, k in _by_executor(executors, 2).items() if k}
+    keys = A.by_type(action["type"], needed)
+    if not needed:
+        return A.one_of(action["type"], any_key)
+    return A.one_of(action["type"], any_key) | F.coalesce(
+        A.has_key(action["params"], keys), F.lit(False)
+    )
 
 
 def _result(

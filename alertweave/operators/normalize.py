@@ -24,7 +24,8 @@ RAW_COLUMNS = [
 def scale_level(level: Column) -> Column:
     """Rule level to 0-100: 1..15 are stretched, anything above is only capped."""
     return (
-        F.when(level <= 0, F.lit(0))
+        F.when(level.isNull(), F.lit(None).cast("int"))
+        .when(level <= 0, F.lit(0))
         .when(level <= 15, F.round(level * F.lit(100.0 / 15.0)).cast("int"))
         .otherwise(clamp(level, 0, 100))
     )

@@ -109,15 +109,15 @@ def strategy_actions(strategy_: Column, e: Column) -> Column:
     )
 
 
-def _entity_ok(action_type: Column, e: Column) -> Column:
-    out = None
-    for name, needed in K.ENTITY_NEEDS.items():
-        cond = non_blank(e[needed[0]])
-        for n in needed[1:]:
-            cond = cond | non_blank(e[n])
-        branch = action_type == name
-        out = F.when(branch, cond) if out is None else out.when(branch, cond)
-    return out.otherwise(F.lit(True))
+def present_entities(e: Column) -> Column:
+    """Names of the entities an action may need that are non-blank."""
+    names = ["src_ip", "hostname", "host_id", "username", "user_id"]
+    return F.array_compact(F.array(*[F.when(non_blank(e[n]), F.lit(n)) for n in names]))
+
+
+def _entity_ok(action_type: Column, present: Column) -> Column:
+    needed = A.by_type(action_type, K.ENTITY_NEEDS)
+    return F.coalesce(F.arrays_overlap(needed, present), F.lit(True))
 
 
 def select_actions(planned: DataFrame, out: str = "candidates") -> DataFrame:
@@ -136,18 +136,19 @@ def select_actions(planned: DataFrame, out: str = "candidates") -> DataFrame:
         strategy_actions(F.col("strategy"), e),
         recommended,
     )
-    kept = F.filter(F.col("_proposed"), lambda a: _entity_ok(a["type"], e))
+    kept = F.filter(F.col("_proposed"), lambda a: _entity_ok(a["type"], F.col("_present")))
 
     def of_type(name: str) -> Column:
         return F.filter(F.col("_kept"), lambda a: a["type"] == name)
 
     ranked = [of_type(t) for t in K.SELECTION_ORDER]
-    rest = F.filter(F.col("_kept"), lambda a: ~a["type"].isin(K.SELECTION_ORDER))
+    rest = F.filter(F.col("_kept"), lambda a: ~A.one_of(a["type"], K.SELECTION_ORDER))
     return (
         planned.withColumn("_proposed", proposed)
+        .withColumn("_present", present_entities(e))
         .withColumn("_kept", kept)
         .withColumn(out, F.concat(*ranked, rest))
-        .drop("_proposed", "_kept")
+        .drop("_proposed", "_present", "_kept")
     )
 
 
@@ -356,7 +357,7 @@ def static_plan(scored: DataFrame, now: Column) -> DataFrame:
         )
 
     rollbacks = F.transform(
-        F.filter(F.reverse(F.col("_actions")), lambda x: x["type"].isin(list(K.ROLLBACK_OF))),
+        F.filter(F.reverse(F.col("_actions")), lambda x: A.one_of(x["type"], K.ROLLBACK_OF)),
         undo,
     )
     environment = F.coalesce(empty_to_null(F.col("asset")["environment"]), F.lit("unknown"))

@@ -42,10 +42,6 @@ class PolicyConfig:
         return F.lit(self.min_confidence).cast("float").cast("double")
 
 
-def _in(action_type: Column, names: tuple[str, ...]) -> Column:
-    return action_type.isin(list(names)) if names else F.lit(False)
-
-
 def decide(
     action: Column,
     confidence: Column,
@@ -72,11 +68,11 @@ def decide(
                 F.lit("Missing required parameters."),
             ),
             F.when(
-                _in(t, forbidden_here),
+                A.one_of(t, forbidden_here),
                 F.concat(quoted, F.lit(f" is forbidden in environment '{environment}'.")),
             ),
             F.when(
-                (confidence < config.float_threshold) & ~_in(t, config.safe),
+                (confidence < config.float_threshold) & ~A.one_of(t, config.safe),
                 F.concat(
                     F.lit("Confidence "), two_decimals(confidence),
                     F.lit(" below minimum "), two_decimals(config.float_threshold),
@@ -84,11 +80,11 @@ def decide(
                 ),
             ),
             F.when(
-                priv & _in(t, config.privileged_forbidden),
+                priv & A.one_of(t, config.privileged_forbidden),
                 F.concat(quoted, F.lit(" is forbidden on privileged identities.")),
             ),
             F.when(
-                critical & _in(t, config.critical_forbidden),
+                critical & A.one_of(t, config.critical_forbidden),
                 F.concat(quoted, F.lit(" is forbidden on critical assets "), crit_text,
                          F.lit(".")),
             ),
@@ -115,15 +111,15 @@ def decide(
                 ),
             ),
             F.when(
-                F.lit(environment.lower() == "prod") & _in(t, config.prod_approval),
+                F.lit(environment.lower() == "prod") & A.one_of(t, config.prod_approval),
                 F.concat(quoted, F.lit(" requires approval in prod.")),
             ),
             F.when(
-                priv & _in(t, config.privileged_approval),
+                priv & A.one_of(t, config.privileged_approval),
                 F.lit("Target identity is privileged."),
             ),
             F.when(
-                critical & _in(t, config.critical_approval),
+                critical & A.one_of(t, config.critical_approval),
                 F.concat(F.lit("Target asset is critical "), crit_text, F.lit(".")),
             ),
         )

@@ -236,7 +236,7 @@ def decode_plans(replies: DataFrame, out: str = "plan", key: str = "alert_id") -
             "_rollbacks": _decode_actions(r["rollbackActions"]),
         },
     )
-    plan = F.struct(
+    built = F.struct(
         F.coalesce(r["planId"], stable_id(F.lit("reply"), key)).alias("plan_id"),
         F.coalesce(_name(r["strategy"], K.STRATEGIES), F.lit("NotifyOnly")).alias("strategy"),
         F.coalesce(r["priority"].try_cast("int"), F.lit(0)).alias("priority"),
@@ -246,7 +246,7 @@ def decode_plans(replies: DataFrame, out: str = "plan", key: str = "alert_id") -
         F.coalesce(r["rationale"], F.array().cast("array<string>")).alias("rationale"),
         r["tags"].alias("tags"),
     )
-    return staged.withColumn(out, F.when(F.size("_actions") > 0, plan)).drop(
+    return staged.withColumn(out, F.when(F.size("_actions") > 0, built)).drop(
         "_body", "_r", "_actions", "_rollbacks"
     )
 
@@ -254,11 +254,10 @@ def decode_plans(replies: DataFrame, out: str = "plan", key: str = "alert_id") -
 def with_plan_replies(planned: DataFrame, replies: DataFrame, key: str = "alert_id") -> DataFrame:
     """Use the external plan where a reply decodes, else keep the computed one."""
     decoded = decode_plans(replies.select(key, "reply"), "_external", key).drop("reply")
-    plan_type = planned.schema["plan"].dataType
     return (
         planned.join(decoded, key, "left")
         .withColumn("plan_source", F.when(F.col("_external").isNotNull(), F.lit("external"))
                     .otherwise(F.lit("computed")))
-        .withColumn("plan", F.coalesce(F.col("_external").cast(plan_type), F.col("plan")))
+        .withColumn("plan", F.coalesce(F.col("_external"), F.col("plan")))
         .drop("_external")
     )

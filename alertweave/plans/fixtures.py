@@ -5,9 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 NOW = "2024-02-01 00:00:00"
-I = F.col("event_id")  # noqa: E741
-U = F.col("user_id")
+
+
+def _i() -> Column:
+    return F.col("event_id")
+
+
+def _u() -> Column:
+    return F.col("user_id")
 
 
 def now() -> Column:
@@ -48,26 +56,28 @@ RULES = dict(
 
 def facts(spark: SparkSession, sf: str) -> DataFrame:
     """Per event: the entity values an alert should end up with."""
-    e = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type")
-    host = F.concat(F.lit("srv-"), _text(U % 40))
+    e = spread(
+        table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type"), "event_id"
+    )
+    host = F.concat(F.lit("srv-"), _text(_u() % 40))
     return e.select(
         "event_id",
         "user_id",
         "event_type",
         F.col("ts").cast("timestamp").alias("ts"),
-        _text(I).alias("alert_id"),
+        _text(_i()).alias("alert_id"),
         _case(
             [
-                (I % 20 == 0, F.lit("splunk")),
-                (I % 4 == 0, F.lit("simulator")),
-                (I % 7 == 0, F.lit("WAZUH")),
+                (_i() % 20 == 0, F.lit("splunk")),
+                (_i() % 4 == 0, F.lit("simulator")),
+                (_i() % 7 == 0, F.lit("WAZUH")),
             ],
             F.lit("wazuh"),
         ).alias("siem_name"),
         _case(
             [
-                (I % 11 == 0, F.lit("UnknownSignal")),
-                (I % 13 == 0, F.lit("EdgeMissingParams")),
+                (_i() % 11 == 0, F.lit("UnknownSignal")),
+                (_i() % 13 == 0, F.lit("EdgeMissingParams")),
             ],
             _by_event(
                 error="MalwareHashOnHost",
@@ -77,18 +87,18 @@ def facts(spark: SparkSession, sf: str) -> DataFrame:
                 purchase="SuspiciousProcessOnHost",
             ),
         ).alias("alert_type"),
-        F.when(I % 19 != 0, (I % 18).cast("int")).alias("level"),
+        F.when(_i() % 19 != 0, (_i() % 18).cast("int")).alias("level"),
         _by_event(**RULES).alias("rule_name"),
         F.when(
-            I % 5 != 0,
-            F.concat(F.lit("10.0."), _text(U % 8), F.lit("."), _text(I % 50)),
+            _i() % 5 != 0,
+            F.concat(F.lit("10.0."), _text(_u() % 8), F.lit("."), _text(_i() % 50)),
         ).alias("src_ip"),
-        F.when(U % 3 != 0, F.concat(F.lit("user"), _text(U))).alias("username"),
-        F.when(U % 4 != 0, F.concat(F.lit("u-"), _text(U))).alias("uid"),
-        F.when(I % 6 != 0, F.when(I % 9 == 0, F.upper(host)).otherwise(host)).alias("hostname"),
-        F.when(I % 4 == 1, F.concat(F.lit("host-"), _text(U % 60))).alias("host_id"),
+        F.when(_u() % 3 != 0, F.concat(F.lit("user"), _text(_u()))).alias("username"),
+        F.when(_u() % 4 != 0, F.concat(F.lit("u-"), _text(_u()))).alias("uid"),
+        F.when(_i() % 6 != 0, F.when(_i() % 9 == 0, F.upper(host)).otherwise(host)).alias("hostname"),
+        F.when(_i() % 4 == 1, F.concat(F.lit("host-"), _text(_u() % 60))).alias("host_id"),
         F.when(
-            F.col("event_type") == "error", F.concat(F.lit("hash"), _text(I % 30))
+            F.col("event_type") == "error", F.concat(F.lit("hash"), _text(_i() % 30))
         ).alias("file_hash"),
     )
 
@@ -101,15 +111,15 @@ def payload() -> Column:
                 F.col("level").alias("level"), F.col("rule_name").alias("description")
             ).alias("rule"),
             F.struct(
-                F.when(I % 2 == 0, F.col("hostname")).alias("Name"),
+                F.when(_i() % 2 == 0, F.col("hostname")).alias("Name"),
                 F.col("host_id").alias("id"),
             ).alias("agent"),
-            F.struct(F.when(I % 2 == 1, F.col("hostname")).alias("name")).alias("manager"),
+            F.struct(F.when(_i() % 2 == 1, F.col("hostname")).alias("name")).alias("manager"),
             F.struct(
-                F.when(I % 3 == 0, F.col("src_ip")).alias("srcip"),
-                F.when(I % 3 != 0, F.col("src_ip")).alias("SRC_IP"),
-                F.when(I % 2 == 0, F.col("username")).alias("user"),
-                F.when(I % 2 == 1, F.col("username")).alias("dstuser"),
+                F.when(_i() % 3 == 0, F.col("src_ip")).alias("srcip"),
+                F.when(_i() % 3 != 0, F.col("src_ip")).alias("SRC_IP"),
+                F.when(_i() % 2 == 0, F.col("username")).alias("user"),
+                F.when(_i() % 2 == 1, F.col("username")).alias("dstuser"),
                 F.col("uid").alias("userId"),
                 F.col("file_hash").alias("md5"),
             ).alias("data"),
@@ -129,7 +139,7 @@ def payload() -> Column:
 
 
 def alerts(spark: SparkSession, sf: str) -> DataFrame:
-    level = F.when((I % 2 == 1) | (F.col("siem_name") == "simulator"), F.col("level"))
+    level = F.when((_i() % 2 == 1) | (F.col("siem_name") == "simulator"), F.col("level"))
     return facts(spark, sf).select(
         "alert_id", "siem_name", "ts", "rule_name", "alert_type",
         level.alias("original_severity"),
@@ -182,9 +192,9 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
     first = F.to_json(
         F.struct(
             F.col("alert_id").alias("id"),
-            F.when(I % 10 != 0, stamp).alias("timestamp"),
+            F.when(_i() % 10 != 0, stamp).alias("timestamp"),
             F.struct(
-                F.col("rule_name").alias("description"), _text(I % 90).alias("id"),
+                F.col("rule_name").alias("description"), _text(_i() % 90).alias("id"),
                 F.col("level").alias("level"),
             ).alias("rule"),
             F.struct(F.col("src_ip").alias("srcip")).alias("data"),
@@ -199,12 +209,12 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
         )
     )
     both = F.concat(F.lit("["), first, F.lit(","), second, F.lit("]"))
-    cursor = F.concat(F.lit(',"cursor":'), _text(I + 1), F.lit("}"))
-    kind = I % 6
+    cursor = F.concat(F.lit(',"cursor":'), _text(_i() + 1), F.lit("}"))
+    kind = _i() % 6
     document = (
         F.when(kind == 0, F.concat(F.lit('{"data":{"affected_items":'), both, F.lit("}"), cursor))
         .when(kind == 1, F.concat(F.lit('{"data":{"affected_items":"none","items":'), both,
-                                  F.lit('},"next_cursor":"n'), _text(I), F.lit('"}')))
+                                  F.lit('},"next_cursor":"n'), _text(_i()), F.lit('"}')))
         .when(kind == 2, F.concat(F.lit('{"data":'), both, cursor))
         .when(kind == 3, F.concat(F.lit('{"alerts":'), both, F.lit("}")))
         .when(kind == 4, both)
@@ -224,28 +234,28 @@ def logs(spark: SparkSession, sf: str) -> DataFrame:
         purchase="Installation completed",
     )
     agent = F.when(
-        I % 17 == 0, F.concat(F.lit("agent "), _text(U % 30))
+        _i() % 17 == 0, F.concat(F.lit("agent "), _text(_u() % 30))
     ).otherwise(
         F.to_json(
             F.struct(
-                F.when(U % 30 != 7, F.concat(F.lit("a"), _text(U % 30))).alias("id"),
-                F.when(U % 2 == 0, F.concat(F.lit("node"), _text(U % 30))).alias("name"),
-                F.when(I % 23 != 0, F.concat(F.lit("10.1.0."), _text(I % 4))).alias("ip"),
+                F.when(_u() % 30 != 7, F.concat(F.lit("a"), _text(_u() % 30))).alias("id"),
+                F.when(_u() % 2 == 0, F.concat(F.lit("node"), _text(_u() % 30))).alias("name"),
+                F.when(_i() % 23 != 0, F.concat(F.lit("10.1.0."), _text(_i() % 4))).alias("ip"),
             )
         )
     )
     rule = F.to_json(
-        F.struct(_text(I % 100).alias("id"), _by_event(**RULES).alias("description"))
+        F.struct(_text(_i() % 100).alias("id"), _by_event(**RULES).alias("description"))
     )
     return e.select(
         F.col("ts").cast("timestamp").alias("ts"),
         "event_id",
-        _text(I).alias("id"),
+        _text(_i()).alias("id"),
         F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
         rule.alias("rule"),
         agent.alias("agent"),
-        F.concat(F.lit("loc"), _text(U % 5)).alias("location"),
-        F.when(I % 9 == 0, F.concat(text, F.lit(" self-signed"))).otherwise(text).alias("full_log"),
+        F.concat(F.lit("loc"), _text(_u() % 5)).alias("location"),
+        F.when(_i() % 9 == 0, F.concat(text, F.lit(" self-signed"))).otherwise(text).alias("full_log"),
     )
 
 
@@ -328,29 +338,29 @@ def case_events(spark: SparkSession, sf: str) -> DataFrame:
     """Open, evidence and close events per user."""
     t = F.col("event_type")
     return table(spark, sf, "events").filter(t != "purchase").select(
-        F.concat(F.lit("case-"), _text(U)).alias("case_id"),
+        F.concat(F.lit("case-"), _text(_u())).alias("case_id"),
         F.col("ts").cast("timestamp").alias("ts"),
-        I.alias("seq"),
+        _i().alias("seq"),
         F.when(t.isin("signup", "click"), F.lit("open"))
         .when(t == "view", F.lit("evidence"))
         .otherwise(F.lit("close"))
         .alias("kind"),
-        F.concat(F.lit("summary "), _text(I)).alias("summary"),
-        _text(I % 100).alias("severity"),
-        F.concat(F.lit("wazuh:"), _text(I)).alias("alert_key"),
+        F.concat(F.lit("summary "), _text(_i())).alias("summary"),
+        _text(_i() % 100).alias("severity"),
+        F.concat(F.lit("wazuh:"), _text(_i())).alias("alert_key"),
         F.when(
-            t == "error", F.when(I % 2 == 0, F.lit("FalsePositive")).otherwise(F.lit("Closed"))
+            t == "error", F.when(_i() % 2 == 0, F.lit("FalsePositive")).otherwise(F.lit("Closed"))
         ).alias("status"),
-        F.concat(F.lit("seen "), _text(I)).alias("description"),
+        F.concat(F.lit("seen "), _text(_i())).alias("description"),
     )
 
 
 def audit_entries(spark: SparkSession, sf: str) -> DataFrame:
     t = F.col("event_type")
     return table(spark, sf, "events").select(
-        F.concat(F.lit("e"), _text(I)).alias("entry_id"),
+        F.concat(F.lit("e"), _text(_i())).alias("entry_id"),
         F.col("ts").cast("timestamp").alias("ts"),
-        F.concat(F.lit("c"), _text(U)).alias("correlation_id"),
+        F.concat(F.lit("c"), _text(_u())).alias("correlation_id"),
         F.lit("Execution").alias("component"),
         F.when(t == "error", F.lit("ActionResult"))
         .when(t == "purchase", F.lit("actionresult"))

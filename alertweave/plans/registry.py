@@ -28,7 +28,7 @@ from ..operators import (
     score,
     training,
 )
-from ..session import prepare
+from ..session import ensure_checkpoint_dir, prepare
 from ..sources import alerts as alert_source
 from . import fixtures as X
 from .triage import Triage, ranking
@@ -462,25 +462,36 @@ def _pending(spark, sf) -> DataFrame:
     )
 
 
-def _requests(spark, sf) -> DataFrame:
-    return approvals.requests(_pending(spark, sf), ("ts", "alert_no", "seq"))
+def _pinned_pending(spark, sf) -> DataFrame:
+    """Pending actions, computed once because requests, decisions and actions all read them."""
+    ensure_checkpoint_dir(spark)
+    return (
+        _pending(spark, sf)
+        .select("alert_id", "alert_no", "ts", "plan_id", "seq", "action_id", "type", "risk",
+                "impact", "params", "rationale")
+        .checkpoint()
+    )
+
+
+def _requests(pending: DataFrame) -> DataFrame:
+    return approvals.requests(pending, ("ts", "alert_no", "seq"))
 
 
-def _state(spark, sf) -> DataFrame:
+def _state(pending: DataFrame) -> DataFrame:
     """Every pending action's alert doubles as a decision on it, two out of three times."""
     n = F.col("alert_no")
-    made = _pending(spark, sf).filter(n % 3 != 2).select(
+    made = pending.filter(n % 3 != 2).select(
         "action_id",
         F.col("ts").alias("decided_at"),
         n.alias("event_id"),
         (n % 3 == 0).alias("approve"),
     )
-    return approvals.approval_state(_requests(spark, sf), made)
+    return approvals.approval_state(_requests(pending), made)
 
 
 @query
 def approval_requests(spark, sf):
-    return _requests(spark, sf).select(
+    return _requests(_pending(spark, sf)).select(
         "action_id", "alert_id", "type", "risk", "impact", F.col("params_text").alias("params"),
         "reason", "status", micros(F.col("requested_at")).alias("requested_us"),
     )
@@ -488,12 +499,13 @@ def approval_requests(spark, sf):
 
 @query
 def approval_state(spark, sf):
-    return _state(spark, sf).select("action_id", "type", "status")
+    return _state(_pinned_pending(spark, sf)).select("action_id", "type", "status")
 
 
 @query
 def approved_actions(spark, sf):
-    return approvals.approved_actions(_pending(spark, sf), _state(spark, sf)).select(
+    pending = _pinned_pending(spark, sf)
+    return approvals.approved_actions(pending, _state(pending)).select(
         "alert_id", "seq", "action_id", "type"
     )
 
