@@ -7,6 +7,9 @@ parsing. A one-row generator keeps the computed columns as plain attributes.
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,3 +19,11 @@ def pin(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
     made = F.struct(*[value.alias(name) for name, value in columns.items()])
     return df.select(*kept, F.inline(F.array(made)))
+
+
+def ship(module: str) -> None:
+    """Send the helpers of ``module`` to Python workers by value.
+
+    Workers then need no installed copy of this package.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[module])

@@ -39,10 +39,15 @@ def project_rows(
     return parsed.select(*keep, *columns)
 
 
+def named(column: str) -> Column:
+    """Column by its exact name; dots in dataset names are plain characters."""
+    return F.col(f"`{column}`")
+
+
 def signature(df: DataFrame, unique_fields: list[str]) -> Column:
     """Digest of the unique fields; a field that is not a column counts as empty."""
     parts = [
-        F.coalesce(F.col(f).cast("string"), F.lit("")) if f in df.columns else F.lit("")
+        F.coalesce(named(f).cast("string"), F.lit("")) if f in df.columns else F.lit("")
         for f in unique_fields
     ]
     return F.sha2(F.to_json(F.array(*parts)), 256)
@@ -61,7 +66,7 @@ def deduplicate(
     return (
         rows.withColumn("_sig", signature(rows, unique_fields))
         .groupBy("_sig")
-        .agg(F.min(F.struct(*order_by, *rest)).alias("_first"))
+        .agg(F.min(F.struct(*[named(c) for c in (*order_by, *rest)])).alias("_first"))
         .select(*[F.col("_first")[c].alias(c) for c in columns])
     )
 

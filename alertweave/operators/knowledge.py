@@ -17,8 +17,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed as K
+from ..functions.staging import ship
 from ..functions.text import PY_SPACE, empty_to_null, py_lines, py_strip
 
+ship(__name__)
+
 MAX_SHARED_BYTES = 32 * 1024 * 1024
 CELL_BYTES = 64 * 1024 * 1024
 _PARTIAL = "query_id {id}, pos bigint, score int"
@@ -122,6 +125,10 @@ def _shared(entries: DataFrame, queries: DataFrame, k: int, schema: str) -> Data
     return entries.mapInPandas(scan, schema)
 
 
+def _numbers(n: int) -> Column:
+    return F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
+
+
 def _grid(
     entries: DataFrame, queries: DataFrame, k: int, schema: str, query_bytes: int, cell_bytes: int
 ) -> DataFrame:
@@ -130,10 +137,10 @@ def _grid(
     rows_in = max(1, math.ceil(text_bytes / cell_bytes))
     blocks = max(1, math.ceil(query_bytes / cell_bytes))
     left = entries.withColumn("_e", F.pmod(F.xxhash64("pos"), F.lit(rows_in))).withColumn(
-        "_c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint")
+        "_c", F.explode(_numbers(blocks))
     )
     right = queries.withColumn("_c", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn(
-        "_e", F.explode(F.sequence(F.lit(0), F.lit(rows_in - 1))).cast("bigint")
+        "_e", F.explode(_numbers(rows_in))
     )
 
     def cell(e: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:

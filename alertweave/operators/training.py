@@ -15,15 +15,15 @@ def keyed_rows(dataset: DataFrame, key: str, order_by: list[str]) -> DataFrame:
     columns = dataset.columns
     rest = [c for c in columns if c not in order_by]
     return (
-        dataset.groupBy(F.col(key).alias("_key"))
-        .agg(F.max(F.struct(*order_by, *rest)).alias("_last"))
+        dataset.groupBy(F.col(f"`{key}`").alias("_key"))
+        .agg(F.max(F.struct(*[F.col(f"`{c}`") for c in (*order_by, *rest)])).alias("_last"))
         .select(*[F.col("_last")[c].alias(c) for c in columns])
     )
 
 
 def join_annotations(annotations: DataFrame, dataset: DataFrame, key: str = "id") -> DataFrame:
     """Annotations with their dataset row; Spark picks the join by the sides' sizes."""
-    row = F.struct(*[F.col(c) for c in dataset.columns]).alias("row")
+    row = F.struct(*[F.col(f"`{c}`") for c in dataset.columns]).alias("row")
     return annotations.join(
         dataset.select(F.col(key).alias("dataset_id"), row), "dataset_id", "inner"
     )
