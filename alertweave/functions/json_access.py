@@ -48,6 +48,11 @@ def first_of_each(names: Column, values: Column, candidates: Column) -> Column:
     )
 
 
+def wrapped_values(text: Column) -> Column:
+    """The values of ``[text]``: exactly one when the text is one JSON value."""
+    return F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>")
+
+
 def single_value(text: Column) -> Column:
     """The text's one JSON value (objects and arrays as compact JSON), null if it is not
     exactly one.
@@ -55,7 +60,7 @@ def single_value(text: Column) -> Column:
     ``from_json`` stops after the first value and ignores what follows; inside an array
     anything left over makes the parse fail.
     """
-    wrapped = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>")
+    wrapped = wrapped_values(text)
     return F.when(F.size(wrapped) == 1, F.get(wrapped, F.lit(0)))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed as K
-from ..functions.json_access import MAP_TYPE, object_text
+from ..functions.json_access import MAP_TYPE, wrapped_values
 from ..functions.staging import pin
 from ..functions.text import contains_all, contains_any, empty_to_null
 from .ordered import with_previous
@@ -40,21 +40,30 @@ def keyword_match(heuristic: dict) -> Column:
 
 def parse_rows(rows: DataFrame) -> DataFrame:
     """Add the parsed agent and rule parts; unreadable JSON counts as an empty object."""
-    agent = F.from_json(object_text(F.coalesce("agent", F.lit(""))), MAP_TYPE)
-    rule = F.from_json(object_text(F.coalesce("rule", F.lit(""))), MAP_TYPE)
+    staged = pin(
+        rows,
+        {
+            f"_{c}_json": wrapped_values(F.when(F.ltrim(c).startswith("{"), F.col(c)))
+            for c in ("agent", "rule")
+        },
+    )
+
+    def parsed(c: str) -> Column:
+        values = F.col(f"_{c}_json")
+        return F.from_json(F.when(F.size(values) == 1, F.get(values, F.lit(0))), MAP_TYPE)
 
     def part(m: str, name: str) -> Column:
         return F.try_element_at(F.col(m), F.lit(name))
 
     return (
-        pin(rows, {"_agent": agent, "_rule": rule})
+        pin(staged, {"_agent": parsed("agent"), "_rule": parsed("rule")})
         .withColumn("agent_id", part("_agent", "id"))
         .withColumn("agent_name", part("_agent", "name"))
         .withColumn("agent_ip", part("_agent", "ip"))
         .withColumn("_agent_ok", F.size("_agent") > 0)
         .withColumn("rule_id", part("_rule", "id"))
         .withColumn("rule_description", part("_rule", "description"))
-        .drop("_agent", "_rule")
+        .drop("_agent", "_rule", "_agent_json", "_rule_json")
     )
 
 

@@ -225,7 +225,9 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
 
 def logs(spark: SparkSession, sf: str) -> DataFrame:
     """All-string dataset rows for the heuristics; ordered by time, then event."""
-    e = table(spark, sf, "events")
+    e = spread(
+        table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type"), "event_id"
+    )
     text = _by_event(
         error="sudo: user=root COMMAND=/bin/sh",
         click="powershell -File a.ps1",
