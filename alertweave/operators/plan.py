@@ -120,10 +120,14 @@ def _entity_ok(action_type: Column, present: Column) -> Column:
     return F.coalesce(F.arrays_overlap(needed, present), F.lit(True))
 
 
-def select_actions(planned: DataFrame, out: str = "candidates") -> DataFrame:
+def select_actions(
+    planned: DataFrame, out: str = "candidates", ordered: bool = True
+) -> DataFrame:
     """Add the selected actions (strategy set plus recommendations) in selection order.
 
-    The order is a stable sort by rank, expressed as one filter per rank.
+    The order is a stable sort by rank, expressed as one filter per rank. A full plan does
+    not need it: only actions of one type can be equal, the sort leaves those as they were
+    proposed, and the plan has its own final order.
     """
     e = F.col("entities")
     recommended = F.transform(
@@ -147,7 +151,7 @@ def select_actions(planned: DataFrame, out: str = "candidates") -> DataFrame:
         planned.withColumn("_proposed", proposed)
         .withColumn("_present", present_entities(e))
         .withColumn("_kept", kept)
-        .withColumn(out, F.concat(*ranked, rest))
+        .withColumn(out, F.concat(*ranked, rest) if ordered else F.col("_kept"))
         .drop("_proposed", "_present", "_kept")
     )
 
@@ -273,7 +277,7 @@ def plan(scored: DataFrame, ctx: PlanningContext | None = None) -> DataFrame:
     """One ``plan`` struct per alert. Plan ids are a hash of source and alert id."""
     ctx = ctx or PlanningContext()
     conf = F.col("assessment")["confidence"]
-    chosen = select_actions(plan_header(scored))
+    chosen = select_actions(plan_header(scored), ordered=False)
     estimated = F.transform(
         F.col("candidates"),
         lambda a: estimate(a, ctx.catalog, conf, criticality(), privileged()),
