@@ -21,9 +21,10 @@ from ..session import prepare as base_settings
 
 ship(__name__)
 
-# Texts are long, so Python workers get few rows at a time.
+# Texts may be long, so batches for Python workers are bounded by bytes as well.
 SETTINGS = {
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
 }
 
 

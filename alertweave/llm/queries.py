@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, pii, quality, token_counts
+from . import bpe, language_id, line_dedup, pii, quality, simhash, token_counts
 from .common import prepare, shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,11 +28,24 @@ def op1_language_id(spark, sf_dir):
     return language_id.predictions(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_line_dedup(spark, sf_dir):
+    return line_dedup.digests(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op3_line_dedup"] = line_dedup.ORACLE
+
+
 @query
 def op4_bpe_round_trip(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_simhash(spark, sf_dir):
+    return simhash.document_classes(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_token_counts(spark, sf_dir):
     """A new cache for each call, so each call counts every distinct text."""
