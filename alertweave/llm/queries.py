@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, line_dedup, pii, quality, simhash, token_counts
+from . import bpe, decontaminate, language_id, line_dedup, pii, quality, simhash, token_counts
 from .common import prepare, shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +53,14 @@ def op6_token_counts(spark, sf_dir):
     return token_counts.document_counts(table(spark, sf_dir, "documents"), cache)
 
 
+@query
+def op7_decontamination(spark, sf_dir):
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op7_decontamination"] = decontaminate.ORACLE
+
+
 @query
 def op9_pii(spark, sf_dir):
     return pii.summary(table(spark, sf_dir, "documents"))
