@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language_id, line_dedup, pii, quality, simhash, token_counts
+from . import bpe, decontaminate, language_id, line_dedup, pii, quality, simhash, token_counts, warc
 from .common import prepare, shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,14 @@ def op1_language_id(spark, sf_dir):
     return language_id.predictions(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+ORACLE["op2_warc"] = warc.ORACLE
+
+
 @query
 def op3_line_dedup(spark, sf_dir):
     return line_dedup.digests(table(spark, sf_dir, "documents"))
