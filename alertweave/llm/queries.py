@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language_id, line_dedup, pii, quality, simhash, token_counts, warc
+from . import bpe, decontaminate, iblt, language_id, line_dedup, pii, quality, simhash, token_counts, warc
 from .common import prepare, shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,6 +69,11 @@ def op7_decontamination(spark, sf_dir):
 ORACLE["op7_decontamination"] = decontaminate.ORACLE
 
 
+@query
+def op8_fingerprints(spark, sf_dir):
+    return iblt.report(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_pii(spark, sf_dir):
     return pii.summary(table(spark, sf_dir, "documents"))
