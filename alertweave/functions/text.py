@@ -68,6 +68,12 @@ def clamp(c: Column, low: int, high: int) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), c))
 
 
+def whole(c: Column) -> Column:
+    """A double without its fraction, as a bigint within a billion of 0; not a number is 0."""
+    inside = F.greatest(F.lit(-1e9), F.least(F.lit(1e9), c))
+    return F.when(F.isnan(c), F.lit(0.0)).otherwise(inside).cast("bigint")
+
+
 def stable_id(*parts: Column | str) -> Column:
     """32 hex characters that depend on the parts only, so a retried task agrees."""
     return F.substring(F.sha2(F.concat_ws(":", *[col(p) for p in parts]), 256), 1, 32)

@@ -101,7 +101,7 @@ def ip_changes(
 
 
 def _table(values: list, index: Column) -> Column:
-    return F.get(F.array(*[F.lit(v) for v in values]), index)
+    return F.get(F.array(*[F.lit(v).cast("string") for v in values]).cast("array<string>"), index)
 
 
 def matches(
@@ -119,7 +119,9 @@ def matches(
     heuristics = K.HEURISTICS if heuristics is None else heuristics
     parsed = parse_rows(rows)
     keyword = [(i, h) for i, h in enumerate(heuristics) if not h.get("matcher")]
-    parts = []
+    # Without heuristics there are no hits, but the columns stay.
+    nothing = _slim(parsed, order_by).withColumn("heuristic_no", F.lit(0)).filter(F.lit(False))
+    parts = [] if heuristics else [nothing]
     if keyword:
         hits = F.array_compact(
             F.array(*[F.when(keyword_match(h), F.lit(i)) for i, h in keyword])

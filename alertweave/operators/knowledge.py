@@ -8,7 +8,6 @@ over its entries, and one ranking per query merges those short lists.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +21,9 @@ from ..functions.text import PY_SPACE, empty_to_null, py_lines, py_strip
 
 ship(__name__)
 
-MAX_SHARED_BYTES = 32 * 1024 * 1024
-CELL_BYTES = 64 * 1024 * 1024
+BLOCK_BYTES = 16 * 1024 * 1024
 _PARTIAL = "query_id {id}, pos bigint, score int"
 _MATRIX_BYTES = 32 * 1024 * 1024
-_AUTOMATON_FROM = 256
 
 
 def tokens(query: Column) -> Column:
@@ -51,52 +48,41 @@ def first_line(content: Column) -> Column:
 
 
 class _Best:
-    """The k best (score, position) pairs per query seen so far in one task."""
+    """The k best (score, position) pairs per query seen so far in one task, scores above 0."""
 
     def __init__(self, queries: list[tuple[object, list[str]]], k: int):
+        import ahocorasick
+
         self.ids = [q[0] for q in queries]
         self.k = k
-        vocabulary: dict[str, int] = {}
-        self.wanted = []
-        for _, words in queries:
-            self.wanted.append(
-                np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], dtype=int)
-            )
-        self.words = list(vocabulary)
+        self.asks: dict[str, list[int]] = {}  # token -> queries, one entry per occurrence
+        for q, (_, words) in enumerate(queries):
+            for word in words:
+                self.asks.setdefault(word, []).append(q)
+        self.finder = ahocorasick.Automaton()
+        for word, asking in self.asks.items():
+            self.finder.add_word(word, (word, np.array(asking)))
+        if self.asks:
+            self.finder.make_automaton()
         self.score = [np.empty(0, dtype=np.int64) for _ in queries]
         self.pos = [np.empty(0, dtype=np.int64) for _ in queries]
-        self.automaton = self._automaton() if len(self.words) >= _AUTOMATON_FROM else None
-
-    def _automaton(self):
-        try:
-            import ahocorasick
-        except ImportError:
-            return None
-        out = ahocorasick.Automaton()
-        for i, word in enumerate(self.words):
-            out.add_word(word, i)
-        out.make_automaton()
-        return out
-
-    def _found(self, texts: list[str]) -> np.ndarray:
-        hits = np.zeros((len(texts), max(1, len(self.words))), dtype=bool)
-        for row, text in enumerate(texts):
-            if self.automaton is not None:
-                for i in {i for _, i in self.automaton.iter(text)}:
-                    hits[row, i] = True
-            else:
-                hits[row, : len(self.words)] = [w in text for w in self.words]
-        return hits
+
+    def _scores(self, text: str) -> np.ndarray:
+        found = {word: asking for _, (word, asking) in self.finder.iter(text)}
+        asking = np.concatenate([*found.values(), np.empty(0, dtype=np.int64)]).astype(np.int64)
+        return np.bincount(asking, minlength=len(self.ids))
 
     def add(self, positions: np.ndarray, texts: list[str]) -> None:
-        step = max(1, _MATRIX_BYTES // max(1, len(self.words)))
+        if not self.asks:
+            return
+        step = max(1, _MATRIX_BYTES // (8 * len(self.ids)))
         for start in range(0, len(texts), step):
             part = positions[start : start + step]
-            hits = self._found(texts[start : start + step])
-            for q, words in enumerate(self.wanted):
-                score = hits[:, words].sum(axis=1) if len(words) else np.zeros(len(part), int)
-                s = np.concatenate([self.score[q], score])
-                p = np.concatenate([self.pos[q], part])
+            scores = np.array([self._scores(t) for t in texts[start : start + step]])
+            for q in np.flatnonzero(scores.any(axis=0)):
+                hit = scores[:, q] > 0
+                s = np.concatenate([self.score[q], scores[hit, q]])
+                p = np.concatenate([self.pos[q], part[hit]])
                 keep = np.lexsort((p, -s))[: self.k]
                 self.score[q], self.pos[q] = s[keep], p[keep]
 
@@ -111,9 +97,8 @@ class _Best:
         )
 
 
-def _shared(entries: DataFrame, queries: DataFrame, k: int, schema: str) -> DataFrame:
-    """Queries of a checked size travel to every task; entries are not moved."""
-    rows = [(r["query_id"], list(r["tokens"])) for r in queries.collect()]
+def _scan(entries: DataFrame, rows: list[tuple[object, list[str]]], k: int, schema: str) -> DataFrame:
+    """One narrow pass over the entries for one block of queries."""
     shared = entries.sparkSession.sparkContext.broadcast(rows)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -125,64 +110,46 @@ def _shared(entries: DataFrame, queries: DataFrame, k: int, schema: str) -> Data
     return entries.mapInPandas(scan, schema)
 
 
-def _numbers(n: int) -> Column:
-    return F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
-
-
-def _grid(
-    entries: DataFrame, queries: DataFrame, k: int, schema: str, query_bytes: int, cell_bytes: int
-) -> DataFrame:
-    """Too many queries to share: blocks of entries meet blocks of queries by shuffle."""
-    text_bytes = entries.agg(F.sum(F.octet_length("hay"))).first()[0] or 0
-    rows_in = max(1, math.ceil(text_bytes / cell_bytes))
-    blocks = max(1, math.ceil(query_bytes / cell_bytes))
-    left = entries.withColumn("_e", F.pmod(F.xxhash64("pos"), F.lit(rows_in))).withColumn(
-        "_c", F.explode(_numbers(blocks))
-    )
-    right = queries.withColumn("_c", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn(
-        "_e", F.explode(_numbers(rows_in))
-    )
-
-    def cell(e: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        best = _Best([(i, list(t)) for i, t in zip(q["query_id"], q["tokens"])], k)
-        if len(e) and len(q):
-            best.add(e["pos"].to_numpy(dtype=np.int64), e["hay"].tolist())
-        return best.frame()
-
-    return left.groupBy("_e", "_c").cogroup(right.groupBy("_e", "_c")).applyInPandas(cell, schema)
+def _blocks(asked: DataFrame, most: int) -> Iterator[list[tuple[object, list[str]]]]:
+    """The queries in blocks of about ``most`` bytes; the driver holds one at a time."""
+    block, size = [], 0
+    for r in asked.toLocalIterator():
+        block.append((r["query_id"], list(r["tokens"])))
+        size += 64 + sum(len(t.encode()) + 8 for t in r["tokens"])
+        if size >= most:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
 
 
 def search(
-    queries: DataFrame,
-    entries: DataFrame,
-    k: int = 5,
-    max_shared_bytes: int = MAX_SHARED_BYTES,
-    cell_bytes: int = CELL_BYTES,
+    queries: DataFrame, entries: DataFrame, k: int = 5, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
     """``query_id, pos, score, rank`` of the k best entries per query.
 
     ``queries`` has ``query_id`` and ``query``; ``entries`` has a unique integer ``pos``
     (the entry order), ``title``, ``content`` and ``tags``. Ties keep entry order. A query
     without tokens, or one nothing matches, gets the first k entries at score 0.
+
+    Entries are never moved: each block of queries goes to them as a broadcast of a fixed
+    size. A task gives at most k rows per query, and none for a query it has no match for.
     """
     asked = queries.select("query_id", tokens(F.col("query")).alias("tokens"))
     texts = entries.select(F.col("pos").cast("bigint").alias("pos"), haystack(entries).alias("hay"))
     schema = _PARTIAL.format(id=asked.schema["query_id"].dataType.simpleString())
-    size = asked.agg(
-        F.coalesce(F.sum(F.octet_length(F.array_join("tokens", " ")) + 64), F.lit(0))
-    ).first()[0]
-    if size <= max_shared_bytes:
-        partial = _shared(texts, asked, k, schema)
-    else:
-        partial = _grid(texts, asked, k, schema, size, cell_bytes)
+    partial = texts.sparkSession.createDataFrame([], schema)
+    for block in _blocks(asked, block_bytes):
+        partial = partial.unionByName(_scan(texts, block, k, schema))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "pos")
     top = partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    best = F.max("score").over(Window.partitionBy("query_id"))
-    return (
-        top.withColumn("_best", best)
-        .filter((F.col("score") > 0) | (F.col("_best") == 0))
-        .drop("_best")
+    first = [r["pos"] for r in texts.select("pos").orderBy("pos").limit(k).collect()]
+    missed = asked.select("query_id").join(top.select("query_id").distinct(), "query_id", "left_anti")
+    places = F.array(*[F.lit(p).cast("bigint") for p in first]).cast("array<bigint>")
+    rest = missed.select("query_id", F.posexplode(places).alias("at", "pos")).select(
+        "query_id", "pos", F.lit(0).alias("score"), (F.col("at") + 1).alias("rank")
     )
+    return top.unionByName(rest)
 
 
 def runbooks(topics: DataFrame, entries: DataFrame, k: int = 5) -> DataFrame:

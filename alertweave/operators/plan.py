@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import actions as A
 from ..functions import fixed as K
 from ..functions.staging import pin
-from ..functions.text import bool_text, clamp, empty_to_null, non_blank, stable_id, two_decimals
+from ..functions.text import bool_text, clamp, empty_to_null, non_blank, stable_id, two_decimals, whole
 from .enrich import criticality, privileged
 
 
@@ -36,7 +36,9 @@ def strategy(confidence: Column, severity: Column, crit: Column, priv: Column) -
 
 
 def priority(confidence: Column, severity: Column, crit: Column) -> Column:
-    return clamp(severity + crit * 10 + (confidence * 20).cast("int"), 0, 100)
+    """Sums in bigint, so that no value of a reply or an asset can overflow."""
+    total = severity.cast("bigint") + crit.cast("bigint") * 10 + whole(confidence * 20)
+    return clamp(total, 0, 100).cast("int")
 
 
 def summary(strategy_: Column, severity: Column, confidence: Column) -> Column:
@@ -162,10 +164,8 @@ def estimate(action: Column, catalog: dict, confidence: Column, crit: Column, pr
     default_risk = A.catalog_field(t, catalog, 2, 0)
     default_impact = A.catalog_field(t, catalog, 3, 0)
     extra = F.when(priv, F.lit(10)).otherwise(F.lit(0))
-    risk = clamp(
-        default_risk + ((F.lit(1.0) - confidence) * 30).cast("int") + extra, 0, 100
-    )
-    impact = clamp(default_impact + crit * 5 + extra, 0, 100)
+    risk = clamp(default_risk + whole((F.lit(1.0) - confidence) * 30) + extra, 0, 100).cast("int")
+    impact = clamp(default_impact + crit.cast("bigint") * 5 + extra, 0, 100).cast("int")
     is_known = A.known(t, catalog)
 
     def or_default(value: Column, default: Column) -> Column:

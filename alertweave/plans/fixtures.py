@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import spread
-
 NOW = "2024-02-01 00:00:00"
 
 
@@ -26,6 +24,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def events(spark: SparkSession, sf: str) -> DataFrame:
+    """The events by hash of their id: the fixture's file may be one split, alerts are CPU work."""
+    e = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type")
+    return e.repartition("event_id")
+
+
 def _text(c: Column) -> Column:
     return c.cast("string")
 
@@ -56,9 +60,7 @@ RULES = dict(
 
 def facts(spark: SparkSession, sf: str) -> DataFrame:
     """Per event: the entity values an alert should end up with."""
-    e = spread(
-        table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type"), "event_id"
-    )
+    e = events(spark, sf)
     host = F.concat(F.lit("srv-"), _text(_u() % 40))
     return e.select(
         "event_id",
@@ -225,9 +227,7 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
 
 def logs(spark: SparkSession, sf: str) -> DataFrame:
     """All-string dataset rows for the heuristics; ordered by time, then event."""
-    e = spread(
-        table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type"), "event_id"
-    )
+    e = events(spark, sf)
     text = _by_event(
         error="sudo: user=root COMMAND=/bin/sh",
         click="powershell -File a.ps1",
@@ -323,35 +323,35 @@ def entries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def topics(spark: SparkSession, sf: str) -> DataFrame:
-    """First five words of each benchmark text; some ask for nothing or for nonsense."""
+    """The whole text of each benchmark item; some ask for nothing or for nonsense."""
     b = table(spark, sf, "benchmark")
-    words = F.slice(F.split(F.trim(F.col("text")), " +"), 1, 5)
     item = F.col("item_id")
     return b.select(
         item.alias("query_id"),
         F.when(item % 10 == 3, F.lit(""))
         .when(item % 10 == 7, F.lit("zzqx qqzx"))
-        .otherwise(F.array_join(words, " "))
+        .otherwise(F.col("text"))
         .alias("query"),
     )
 
 
 def case_events(spark: SparkSession, sf: str) -> DataFrame:
-    """Open, evidence and close events per user."""
+    """Open, evidence and close events per user, and purchases, a kind that cases ignore."""
     t = F.col("event_type")
-    return table(spark, sf, "events").filter(t != "purchase").select(
+    return table(spark, sf, "events").select(
         F.concat(F.lit("case-"), _text(_u())).alias("case_id"),
         F.col("ts").cast("timestamp").alias("ts"),
         _i().alias("seq"),
         F.when(t.isin("signup", "click"), F.lit("open"))
         .when(t == "view", F.lit("evidence"))
+        .when(t == "purchase", F.lit("purchase"))
         .otherwise(F.lit("close"))
         .alias("kind"),
         F.concat(F.lit("summary "), _text(_i())).alias("summary"),
         _text(_i() % 100).alias("severity"),
         F.concat(F.lit("wazuh:"), _text(_i())).alias("alert_key"),
         F.when(
-            t == "error", F.when(_i() % 2 == 0, F.lit("FalsePositive")).otherwise(F.lit("Closed"))
+            t.isin("error", "purchase"), F.when(_i() % 2 == 0, F.lit("FalsePositive")).otherwise(F.lit("Closed"))
         ).alias("status"),
         F.concat(F.lit("seen "), _text(_i())).alias("description"),
     )

@@ -522,6 +522,24 @@ SELECT 'recent' AS what, count(*) AS total_events, count(*) FILTER (WHERE event_
   WHERE ts >= TIMESTAMP '2024-01-01 23:50:00' AND ts <= TIMESTAMP '2024-01-02 00:00:00'
 UNION ALL SELECT 'one', count(*), count(*) FILTER (WHERE event_type IN ('error','purchase')),
   count(*) FILTER (WHERE event_type='error') FROM events WHERE user_id=7"""
+    q["page_since"] = """
+WITH n AS (SELECT *, row_number() OVER (ORDER BY ts, event_id)-1 AS position, count(*) OVER () AS total
+  FROM events WHERE ts >= TIMESTAMP '2024-01-02 00:00:00')
+SELECT CAST(event_id AS VARCHAR) AS alert_id, position, CASE WHEN total>500 THEN '500' END AS next_cursor
+FROM n WHERE position<500"""
+    q["page_cursor"] = """
+WITH n AS (SELECT *, row_number() OVER (ORDER BY ts, event_id)-1 AS position, count(*) OVER () AS total FROM events),
+s AS (SELECT unnest([0, 200, 9900, 10000]) AS start)
+SELECT CAST(event_id AS VARCHAR) AS alert_id, position,
+  CASE WHEN total>start+200 THEN CAST(start+200 AS VARCHAR) END AS next_cursor
+FROM n JOIN s ON position>=start AND position<start+200"""
+    q["extreme_values"] = D + """
+SELECT alert_id, CAST(greatest(0, least(100, xs + xc*10 + trunc(least(1e9, greatest(-1e9, xf*20))))) AS INTEGER) AS priority,
+  CAST(greatest(0, least(100, trunc(least(1e9, greatest(-1e9, (1-xf)*30))))) AS INTEGER) AS risk_part,
+  CAST(greatest(0, least(100, CAST(xc AS BIGINT)*5)) AS INTEGER) AS impact_part
+FROM (SELECT alert_id, CASE i%3 WHEN 0 THEN CAST(2147483647 AS BIGINT) WHEN 1 THEN -2147483648 ELSE 50 END AS xs,
+  CASE i%4 WHEN 0 THEN CAST(2000000000 AS BIGINT) WHEN 1 THEN -2000000000 ELSE 3 END AS xc,
+  CASE i%5 WHEN 0 THEN 1e300 WHEN 1 THEN -1e300 WHEN 2 THEN 0.0 ELSE 0.7 END AS xf FROM hd)"""
     q["cycle_report"] = X + """
 SELECT (SELECT count(*) FROM fx) AS pulled, (SELECT count(*) FROM v) AS processed,
   (SELECT count(*) FROM norm WHERE reject_reason IS NOT NULL) AS normalization_failed,
@@ -596,8 +614,9 @@ SELECT CAST(k AS VARCHAR) AS dataset_id, md5(concat_ws(chr(10)||chr(10), 'You ar
   'Produce a precise Wazuh custom rule (XML) that would detect this behavior.')) AS prompt_md5,
   CASE WHEN k%3<>0 THEN '<rule id="'||k||'"/>' ELSE '<old id="'||k||'"/>' END AS completion FROM lb"""
     q["annotations_missing"] = """
-SELECT CAST(doc_id AS VARCHAR) AS dataset_id FROM labels
-WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id%5<>0)"""
+SELECT CAST(doc_id AS VARCHAR) AS dataset_id FROM (SELECT doc_id FROM labels
+  UNION ALL SELECT doc_id+1000000000 FROM labels WHERE doc_id%5=0)
+WHERE doc_id NOT IN (SELECT doc_id FROM documents)"""
     p_ = _strip("CASE WHEN role='user' AND text<>'' THEN text WHEN turn%3=0 THEN ' goal ' ELSE '' END")
     c_ = _strip("CASE WHEN role<>'user' THEN text ELSE '' END")
     q["training_text"] = f"""
@@ -623,7 +642,7 @@ SELECT conv_id, turn, CASE WHEN (conv_id+turn)%3=0 THEN '{{"severity":7,"note":{
   CASE WHEN (conv_id+turn)%3=1 THEN md5({_strip(plain + " || ' {\"severity\": 7 } and {\"b\": 2}'")})
     WHEN (conv_id+turn)%3=2 THEN md5({_strip(plain)}) END AS message_md5 FROM conversations"""
     know = f"""WITH q AS (SELECT item_id AS query_id, CASE WHEN item_id%10=3 THEN '' WHEN item_id%10=7 THEN 'zzqx qqzx'
-    ELSE array_to_string(string_split_regex(trim(text),' +')[1:5],' ') END AS query FROM benchmark),
+    ELSE text END AS query FROM benchmark),
 tk AS (SELECT query_id, query, list_filter(string_split_regex(lower(query), '{_WS}+'), lambda t: t<>'') AS toks FROM q),
 en AS (SELECT doc_id AS pos, source AS title, text AS content, lower(source||' '||text||' '||lang) AS hay FROM documents),
 scx AS (SELECT query_id, query, pos, title, content, CAST(len(list_filter(toks, lambda t: contains(hay, t))) AS INTEGER) AS score FROM tk, en),

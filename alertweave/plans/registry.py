@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import actions as A
 from ..functions import fixed as K
 from ..operators import (
     approvals,
@@ -201,6 +202,27 @@ def page_alerts(spark, sf):
     )
 
 
+@query
+def page_since(spark, sf):
+    """The first pull from a given time on."""
+    a = X.alerts(spark, sf).select("alert_id", "ts", F.col("alert_id").cast("bigint").alias("id_no"))
+    since = F.lit("2024-01-02 00:00:00").cast("timestamp")
+    return alert_source.page(a, since, None, 500, ("ts", "id_no")).select(
+        "alert_id", "position", "next_cursor"
+    )
+
+
+@query
+def page_cursor(spark, sf):
+    """Pulls at several cursors, near the start and far behind it; all have one schema."""
+    a = X.alerts(spark, sf).select("alert_id", "ts", F.col("alert_id").cast("bigint").alias("id_no"))
+    pulls = [alert_source.page(a, None, c, 200, ("ts", "id_no")) for c in ("0", "200", "9900", "10000")]
+    out = pulls[0]
+    for p in pulls[1:]:
+        out = out.union(p)
+    return out.select("alert_id", "position", "next_cursor")
+
+
 # --- enrichment -------------------------------------------------------------------
 
 
@@ -427,6 +449,31 @@ def plan_replies(spark, sf):
     )
 
 
+@query
+def extreme_values(spark, sf):
+    """Priority, risk and impact for scores and criticalities far beyond their ranges."""
+    n = F.col("alert_id").cast("bigint")
+    case = lambda m, *v: F.get(F.array(*[F.lit(x) for x in v]), (n % m).cast("int"))
+    crit = case(4, 2_000_000_000, -2_000_000_000, 3, 3)
+    asset = F.struct(
+        F.lit("a").alias("asset_id"), crit.alias("criticality"), F.lit("dev").alias("environment"),
+        F.array().cast("array<string>").alias("roles"),
+    )
+    a = F.col("assessment")
+    df = scored(spark, sf).withColumn(
+        "assessment",
+        a.withField("confidence", case(5, 1e300, -1e300, 0.0, 0.7, 0.7)).withField(
+            "severity", case(3, 2_147_483_647, -2_147_483_648, 50)
+        ),
+    ).withColumn("asset", asset)
+    free = {"Notify": (*K.ACTION_CATALOG["Notify"][:2], 0, 0, *K.ACTION_CATALOG["Notify"][4:])}
+    action = A.action(F.lit("Notify"), A.empty_params(), F.lit(""), F.lit(0), F.lit(0), F.lit(False))
+    rated = plan.estimate(action, free, a["confidence"], crit, F.lit(False))
+    return plan.plan_header(df).select(
+        "alert_id", "priority", rated["risk"].alias("risk_part"), rated["impact"].alias("impact_part")
+    )
+
+
 # --- policy -----------------------------------------------------------------------
 
 
@@ -611,7 +658,10 @@ def audit_recent(spark, sf):
 
 @query
 def cycle_report(spark, sf):
-    return chain(spark, sf).cycle(X.alerts(spark, sf), X.now(), "200")
+    """One cycle over all alerts; the cursor is that of the first pull."""
+    pull = alert_source.page(X.alerts(spark, sf).select("alert_id", "ts"), limit=200)
+    cursor = alert_source.next_pull(pull, X.now(), X.now()).first()["next_cursor"]
+    return chain(spark, sf).cycle(X.alerts(spark, sf), X.now(), cursor)
 
 
 @query
@@ -738,9 +788,14 @@ def training_pairs(spark, sf):
 
 @query
 def annotations_missing(spark, sf):
-    """Annotations whose row is not in the dataset (every fifth document is left out)."""
-    rows = X.document_rows(spark, sf).filter(F.col("id").cast("bigint") % 5 != 0)
-    return training.missing_annotations(X.annotated(spark, sf), rows).select("dataset_id")
+    """Annotations whose row is not in the dataset: every fifth label once more, by another id."""
+    known = X.annotated(spark, sf)
+    number = F.col("dataset_id").cast("bigint")
+    strange = known.filter(number % 5 == 0).withColumn(
+        "dataset_id", (number + 1_000_000_000).cast("string")
+    )
+    rows = X.document_rows(spark, sf)
+    return training.missing_annotations(known.unionByName(strange), rows).select("dataset_id")
 
 
 @query

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -21,25 +21,26 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread an input with fewer partitions than cores; larger inputs stay untouched.
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Use the folder in ``spark.checkpoint.dir``, which all executors share.
 
-    The alert chain is CPU work per row. A small single-file table would run it in one
-    task; a table with enough splits pays no shuffle here.
+    Only a session in local mode may go without; it gets a temporary folder. On a cluster a
+    folder of the driver's machine would be lost to the executors, so that is an error.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; a local folder only where none is set."""
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
+    if not shared:
+        if not is_local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="checkpoint-")
+    sc.setCheckpointDir(shared)
+
+
+def is_local(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
 
 
 def local_session(cores: int | str = "*", memory: str = "8g") -> SparkSession:
@@ -52,6 +53,7 @@ def local_session(cores: int | str = "*", memory: str = "8g") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.host", "localhost")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # Recording the call site of every column expression makes building plans slow.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )

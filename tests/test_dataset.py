@@ -134,8 +134,8 @@ def _brute(queries, entries, k):
     return out
 
 
-@pytest.mark.parametrize("shared", [True, False])
-def test_search_equals_brute_force(spark, shared):
+@pytest.mark.parametrize("block_bytes", [1 << 20, 1])
+def test_search_equals_brute_force(spark, block_bytes):
     rng = random.Random(3)
     words = ["alpha", "beta", "gam", "gamma", "x", "Del"]
     entries = [(i, rng.choice(words), " ".join(rng.choices(words, k=4)), [rng.choice(words)])
@@ -144,8 +144,7 @@ def test_search_equals_brute_force(spark, shared):
     queries.append((99, "nomatch"))
     q = spark.createDataFrame(queries, "query_id int, query string")
     e = spark.createDataFrame(entries, "pos int, title string, content string, tags array<string>")
-    got = knowledge.search(q, e.repartition(4), 5, **({} if shared else
-                           dict(max_shared_bytes=0, cell_bytes=500)))
+    got = knowledge.search(q, e.repartition(4), 5, block_bytes)
     result = {}
     for r in got.orderBy("query_id", "rank").collect():
         result.setdefault(r["query_id"], []).append((r["pos"], r["score"]))
