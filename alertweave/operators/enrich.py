@@ -1,8 +1,9 @@
 """Asset, identity and threat-intel lookups and the enrichment merge (J-1 .. J-4).
 
 Each lookup is "the earliest dimension row that matches on any of several keys".
-It runs as one equi-join per key against a per-key table holding the earliest
-row, and the lowest position among the hits wins. No hint forces a broadcast:
+It runs as one equi-join per key against a table of the earliest position of each
+key value; the lowest position among the hits wins and one join fetches its record.
+Only numbers are aggregated, and records move once. No hint forces a broadcast:
 Spark broadcasts a lookup only while its size stays under
 ``spark.sql.autoBroadcastJoinThreshold`` and otherwise shuffles both sides, where
 adaptive execution splits skewed keys.
@@ -28,25 +29,29 @@ def first_match(
 
     ``keys`` pairs a dimension column with the alert expression it is compared to,
     ignoring case; blank values on either side never match. ``dimension`` carries
-    ``pos``, the row's place in the source.
+    ``pos``, the row's place in the source, which is unique.
     """
-    record = F.struct("pos", *[c for c in dimension.columns if c != "pos"])
     joined = alerts
-    hits = []
+    places = []
     for i, (dim_column, alert_value) in enumerate(keys):
         lookup = (
-            dimension.select(F.lower(blank_to_null(dim_column)).alias(f"_k{i}"),
-                             record.alias("_rec"))
+            dimension.select(F.lower(blank_to_null(dim_column)).alias(f"_k{i}"), "pos")
             .filter(F.col(f"_k{i}").isNotNull())
             .groupBy(f"_k{i}")
-            .agg(F.min("_rec").alias(f"_hit{i}"))
+            .agg(F.min("pos").alias(f"_p{i}"))
         )
         key = F.lower(blank_to_null(alert_value))
-        joined = joined.join(lookup, key == F.col(f"_k{i}"), "left")
-        hits.append(f"_hit{i}")
-    best = F.array_min(F.array_compact(F.array(*[F.col(h) for h in hits])))
-    drop = hits + [f"_k{i}" for i in range(len(keys))]
-    return joined.withColumn(out, best).drop(*drop)
+        if "alert_id" in alerts.columns:
+            # A value that no key has: alerts without one spread over the tasks of a shuffle.
+            key = F.coalesce(key, F.concat(F.lit("\x00"), F.hex(F.xxhash64("alert_id"))))
+        joined = joined.join(lookup, key == F.col(f"_k{i}"), "left").drop(f"_k{i}")
+        places.append(f"_p{i}")
+    record = F.struct("pos", *[c for c in dimension.columns if c != "pos"])
+    records = dimension.select(F.col("pos").alias("_pos"), record.alias(out))
+    best = F.col(places[0]) if len(places) == 1 else F.least(*places)
+    return joined.withColumn("_best", best).drop(*places).join(
+        records, F.col("_best") == F.col("_pos"), "left"
+    ).drop("_best", "_pos")
 
 
 def _note(provider: str, summary: str, now: Column, when: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..functions import fixed as K
+
 FX = """
 fx0 AS (SELECT event_id AS i, user_id AS u, ts, event_type AS et FROM events),
 fx AS (
@@ -540,6 +542,64 @@ SELECT alert_id, CAST(greatest(0, least(100, xs + xc*10 + trunc(least(1e9, great
 FROM (SELECT alert_id, CASE i%3 WHEN 0 THEN CAST(2147483647 AS BIGINT) WHEN 1 THEN -2147483648 ELSE 50 END AS xs,
   CASE i%4 WHEN 0 THEN CAST(2000000000 AS BIGINT) WHEN 1 THEN -2000000000 ELSE 3 END AS xc,
   CASE i%5 WHEN 0 THEN 1e300 WHEN 1 THEN -1e300 WHEN 2 THEN 0.0 ELSE 0.7 END AS xf FROM hd)"""
+    q["approved_execution"] = D + PENDING + """,
+ap AS (SELECT p.* REPLACE (CASE WHEN p.status='PendingApproval' AND p.action_id IN
+    (SELECT action_id FROM state WHERE status='Approved') THEN 'Approved' ELSE p.status END AS status) FROM po p),""" + RUN + "," + DRY.replace(
+        "FROM po p", "FROM ap p") + " SELECT alert_id, seq, action_id, type, status, executor, message FROM dry"
+    q["pull_failure_events"] = """
+SELECT 'Orchestrator' AS component, 'PullFailed' AS event_type, 'Failed to pull alerts: timeout '||event_id AS message,
+  CASE WHEN event_id%2=0 THEN CAST(event_id AS VARCHAR) ELSE '' END AS cursor,
+  CASE WHEN event_id%3=0 THEN strftime(ts,'%Y-%m-%dT%H:%M:%S.%f')||'Z' ELSE '' END AS since_utc
+FROM events WHERE event_type='error'"""
+    q["audit_ids"] = """
+SELECT event_id AS event_no, CASE WHEN event_id%3=1 THEN 'e'||event_id ELSE substr(sha256('entry:c'||user_id||
+  ':2024-02-01 00:00:00:Execution:'||CASE event_type WHEN 'error' THEN 'ActionResult' WHEN 'purchase' THEN 'actionresult' ELSE 'Note' END||
+  ':m:{"k":"c'||user_id||'"}'),1,32) END AS entry_id FROM events"""
+    q["log_files"] = r"""
+WITH f AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS path, text FROM documents)
+SELECT path, CAST(0 AS INTEGER) AS pos, md5('{"id":'||path||'}') AS document_md5, CAST(NULL AS VARCHAR) AS error FROM f WHERE doc_id%5 IN (0,1,2)
+UNION ALL SELECT path, 1, md5('{"t":"x"}'), NULL FROM f WHERE doc_id%5=0
+UNION ALL SELECT path, 1, md5('broken {'), 'Line is not valid JSON.' FROM f WHERE doc_id%5=2
+UNION ALL SELECT path, 2, md5('{"b":2}'), NULL FROM f WHERE doc_id%5=2
+UNION ALL SELECT path, 0, md5(path), 'Log file must contain a JSON object or array.' FROM f WHERE doc_id%5=3
+UNION ALL SELECT path, CAST(generate_subscripts(l,1)-1 AS INTEGER), md5(unnest(l)), 'Line is not valid JSON.'
+  FROM (SELECT path, list_transform(string_split(text, chr(10)), lambda x: 'x '||x) AS l FROM f WHERE doc_id%5=4)"""
+    q["asset_files"] = """
+SELECT s_suppkey AS file_no, 'host-'||s_suppkey AS host_id, 'srv-'||(s_suppkey%40) AS hostname,
+  '10.0.'||(s_suppkey%8)||'.'||(s_suppkey%50) AS ip,
+  CAST(CASE WHEN s_suppkey%3<>0 THEN s_nationkey%6 ELSE 0 END AS INTEGER) AS criticality,
+  CASE WHEN s_suppkey%2=0 THEN 'prod' ELSE 'dev' END AS environment, 'owner'||s_nationkey AS owner,
+  CASE WHEN s_suppkey%5<>0 THEN 'team'||(s_nationkey%3) END AS team FROM supplier"""
+    q["identity_files"] = """
+SELECT c_custkey AS file_no, 'u-'||c_custkey AS user_id, 'user'||c_custkey AS username,
+  c_mktsegment='MACHINERY' AS privileged, c_mktsegment AS department, c_acctbal<0 AS is_service_account FROM customer"""
+    q["intel_files"] = """
+SELECT p_partkey AS file_no, '10.0.'||(p_partkey%8)||'.'||(p_partkey%50) AS src_ip,
+  CASE WHEN p_partkey%3=0 THEN 'hash'||(p_partkey%30) END AS file_hash, CAST(p_size AS INTEGER) AS reputation,
+  p_brand AS source, lower(p_type) AS tags FROM part"""
+    q["audit_lines"] = """
+SELECT 'e'||event_id AS entry_id, epoch_us(ts) AS ts_us, event_type, 'status=Failed' AS data
+FROM events WHERE event_id%5 NOT IN (0,1) AND event_id%7<>0"""
+    q["annotation_files"] = """
+SELECT CAST(doc_id AS VARCHAR) AS dataset_id,
+  CASE WHEN doc_id%4<>0 THEN 'Quality '||quality||', toxic '||toxic END AS detection_goal,
+  CASE WHEN doc_id%3<>0 THEN '  <rule id="'||doc_id||'"/>'||chr(10) END AS completion,
+  '<old id="'||doc_id||'"/>' AS rule_xml FROM labels"""
+    q["knowledge_lines"] = """
+SELECT doc_id AS line_no, CASE WHEN doc_id%3<>0 THEN source ELSE 'untitled' END AS title,
+  md5(CASE WHEN doc_id%4<>0 THEN text ELSE '' END) AS content_md5, CASE WHEN doc_id%5<>0 THEN lang ELSE '' END AS tags,
+  CAST(0 AS INTEGER) AS n_commands FROM documents WHERE doc_id%3<>0 OR doc_id%4<>0 OR doc_id%5<>0"""
+    q["rejected_bodies"] = """
+SELECT event_id, CASE WHEN event_id%3=0 THEN 'Empty body.' ELSE 'Malformed JSON.' END AS reject_reason
+FROM events WHERE event_id%3<2"""
+    q["scorer_replies"] = f"""
+SELECT CAST(event_id AS VARCHAR) AS alert_id, CASE WHEN event_id%4=0 THEN 'h' ELSE '{K.SCORER_NO_HYPOTHESIS}' END AS summary,
+  CASE WHEN event_id%4=0 THEN 'e|f' ELSE '' END AS details, CASE WHEN event_id%4=0 THEN 0.8::DOUBLE ELSE 1e300 END AS confidence,
+  CAST(CASE WHEN event_id%4=0 THEN event_id%100 ELSE 2147483647 END AS INTEGER) AS severity
+FROM events WHERE event_id%4 IN (0,3)"""
+    q["dataset_statistics"] = """
+SELECT (SELECT count(DISTINCT text) FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE doc_id%2=0)) AS added_rows,
+  (SELECT count(*)-count(DISTINCT text) FROM documents WHERE doc_id%2=0) AS duplicates_removed"""
     q["cycle_report"] = X + """
 SELECT (SELECT count(*) FROM fx) AS pulled, (SELECT count(*) FROM v) AS processed,
   (SELECT count(*) FROM norm WHERE reject_reason IS NOT NULL) AS normalization_failed,

@@ -31,6 +31,7 @@ from ..operators import (
 )
 from ..session import ensure_checkpoint_dir, prepare
 from ..sources import alerts as alert_source
+from ..sources import readers, sinks
 from . import fixtures as X
 from .triage import Triage, ranking
 
@@ -611,6 +612,16 @@ def ack_updates(spark, sf):
     )
 
 
+@query
+def approved_execution(spark, sf):
+    """The plans once more, after the approvals: granted actions run."""
+    state = _state(_pinned_pending(spark, sf))
+    granted = approvals.apply_approvals(decided(spark, sf), state)
+    return execute.result_table(execute.execute(granted)).select(
+        "alert_id", "seq", "action_id", "type", "status", "executor", "message"
+    )
+
+
 # --- audit, reports, cases --------------------------------------------------------
 
 
@@ -700,6 +711,169 @@ def case_openings(spark, sf):
     )
 
 
+@query
+def pull_failure_events(spark, sf):
+    e = X.table(spark, sf, "events").filter(F.col("event_type") == "error")
+    i = F.col("event_id")
+    pulls = e.select(
+        F.when(i % 2 == 0, i.cast("string")).alias("cursor"),
+        F.when(i % 3 == 0, F.col("ts").cast("timestamp")).alias("since"),
+        F.concat(F.lit("timeout "), i.cast("string")).alias("error"),
+    )
+    d = F.col("data")
+    return audit.pull_failures(pulls, X.now()).select(
+        "component", "event_type", "message", F.try_element_at(d, F.lit("cursor")).alias("cursor"),
+        F.try_element_at(d, F.lit("sinceUtc")).alias("since_utc"),
+    )
+
+
+@query
+def audit_ids(spark, sf):
+    """The audit table as it is written: blank ids become hashes of the entries."""
+    e = X.audit_entries(spark, sf).drop("data").withColumn("data", F.create_map(F.lit("k"), F.col("correlation_id")))
+    number = F.substring("entry_id", 2, 20).cast("bigint")
+    blank = F.when(number % 3 == 0, F.lit(" ")).when(number % 3 == 1, F.col("entry_id"))
+    whole = e.withColumn("event_no", number).withColumn("entry_id", blank).withColumn("ts", X.now())
+    return sinks.with_entry_ids(whole).select("event_no", "entry_id")
+
+
+# --- files, as the readers parse them ----------------------------------------------
+
+
+@query
+def log_files(spark, sf):
+    """A log file per document: an array, an object, lines, a scalar, and plain text."""
+    d = X.table(spark, sf, "documents")
+    i = F.col("doc_id")
+    n = i.cast("string")
+    value = (
+        F.when(i % 5 == 0, F.concat(F.lit('[{"id":'), n, F.lit('},{"t":"x"}]')))
+        .when(i % 5 == 1, F.concat(F.lit('{"id":'), n, F.lit("}")))
+        .when(i % 5 == 2, F.concat(F.lit('{"id":'), n, F.lit('}\n\nbroken {\n{"b":2}\n')))
+        .when(i % 5 == 3, n)
+        .otherwise(F.concat(F.lit("x "), F.regexp_replace("text", "\n", "\nx ")))
+    )
+    return readers.parse_log_files(d.select(n.alias("path"), value.alias("value"))).select(
+        "path", "pos", F.md5("document").alias("document_md5"), "error"
+    )
+
+
+def _files(df: DataFrame, key: str, **fields: Column) -> DataFrame:
+    """One file for each row: a JSON array with one object."""
+    body = F.to_json(F.array(F.struct(*[c.alias(n) for n, c in fields.items()])))
+    return df.select(F.col(key).alias("file_no"), body.alias("value"))
+
+
+@query
+def asset_files(spark, sf):
+    a = X.assets(spark, sf)
+    files = _files(
+        a, "pos", hostId=F.col("host_id"), HOSTNAME=F.col("hostname"), ip=F.col("ip"), environment=F.col("environment"),
+        criticality=F.when(F.col("pos") % 3 != 0, F.col("criticality").cast("string")).otherwise("high"),
+        owner=F.col("owner"), Team=F.col("team"),
+    )
+    return readers.parse_assets(files).drop("pos")
+
+
+@query
+def identity_files(spark, sf):
+    i = X.identities(spark, sf)
+    files = _files(
+        i, "pos", userId=F.col("user_id"), username=F.col("username"), privileged=F.col("privileged"),
+        department=F.col("department"), isserviceaccount=F.col("is_service_account"),
+    )
+    return readers.parse_identities(files).drop("pos")
+
+
+@query
+def intel_files(spark, sf):
+    t = X.intel(spark, sf)
+    files = _files(
+        t, "pos", srcIp=F.col("src_ip"), fileHash=F.col("file_hash"), reputationScore=F.col("reputation"),
+        source=F.col("source"), tags=F.col("tags"),
+    )
+    return readers.parse_intel(files).withColumn("tags", flat_list(F.col("tags"))).drop("pos")
+
+
+@query
+def audit_lines(spark, sf):
+    """Audit lines: good ones, a cut one, a blank one, and one without a time."""
+    e = X.table(spark, sf, "events")
+    i = F.col("event_id")
+    n = i.cast("string")
+    stamp = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    good = F.to_json(
+        F.struct(
+            F.concat(F.lit("e"), n).alias("entryId"),
+            F.when(i % 7 != 0, stamp).alias("timestampUtc"),
+            F.lit("c").alias("correlationId"),
+            F.col("event_type").alias("eventType"),
+            F.create_map(F.lit("status"), F.lit("Failed")).alias("data"),
+        )
+    )
+    value = F.when(i % 5 == 0, F.concat(F.lit('{"entryId":"'), n)).when(i % 5 == 1, F.lit("  ")).otherwise(good)
+    return readers.parse_audit(e.select(value.alias("value"))).select(
+        "entry_id", micros(F.col("ts")).alias("ts_us"), "event_type", flat_map(F.col("data")).alias("data")
+    )
+
+
+@query
+def annotation_files(spark, sf):
+    a = X.annotated(spark, sf)
+    files = _files(
+        a, "dataset_id", dataset_id=F.col("dataset_id"), detection_goal=F.col("detection_goal"),
+        completion=F.col("completion"), rule_xml=F.col("rule_xml"),
+    )
+    return readers.parse_annotations(files.drop("file_no")).drop("pos")
+
+
+@query
+def knowledge_lines(spark, sf):
+    e = X.entries(spark, sf)
+    i = F.col("pos")
+    body = F.to_json(
+        F.struct(
+            F.when(i % 3 != 0, F.col("title")).alias("title"),
+            F.when(i % 4 != 0, F.col("content")).alias("content"),
+            F.when(i % 5 != 0, F.col("tags")).alias("tags"),
+        )
+    )
+    lines = e.select(i.alias("line_no"), body.alias("value"))
+    return readers.parse_knowledge(lines).select(
+        "line_no", "title", F.md5("content").alias("content_md5"), flat_list(F.col("tags")).alias("tags"),
+        F.size("commands").alias("n_commands"),
+    )
+
+
+@query
+def rejected_bodies(spark, sf):
+    e = X.table(spark, sf, "events")
+    i = F.col("event_id")
+    body = F.when(i % 3 == 0, F.lit(" \t")).when(i % 3 == 1, F.lit('{"a":')).otherwise(F.lit('{"a":1}'))
+    return alert_source.unreadable(e.select("event_id", body.alias("document"))).select(
+        "event_id", "reject_reason"
+    )
+
+
+@query
+def scorer_replies(spark, sf):
+    """Scorer replies: an object in prose, an empty one, none, and values out of range."""
+    n = F.col("alert_id").cast("bigint")
+    reply = (
+        F.when(n % 4 == 0, F.concat(F.lit('sure: {"confidence":0.8,"severity":'), (n % 100).cast("string"),
+                                    F.lit(',"hypothesis":"h","evidence":["e","f"]} done')))
+        .when(n % 4 == 1, F.lit("{}"))
+        .when(n % 4 == 2, F.lit("no object"))
+        .otherwise(F.lit('{"confidence":1e300,"severity":2147483647}'))
+    )
+    a = F.col("assessment")
+    read = X.alerts(spark, sf).select("alert_id", replies.decode_assessment(reply).alias("assessment"))
+    read = read.filter(a.isNotNull())
+    return score.explain(read).withColumn("details", flat_list(F.col("details"))).join(
+        read.select("alert_id", a["confidence"].alias("confidence"), a["severity"].alias("severity")), "alert_id"
+    )
+
+
 # --- dataset and heuristics -------------------------------------------------------
 
 DOC_FIELDS = ["text", "lang", "source", "meta", "even", "meta.n"]
@@ -727,6 +901,14 @@ def dataset_append(spark, sf):
     )
 
 
+@query
+def dataset_statistics(spark, sf):
+    """What an ingest of all rows into the stored half reports."""
+    rows = _doc_rows(spark, sf)
+    stored = rows.filter(F.col("doc_id") % 2 == 0)
+    return sinks.ingest_statistics(stored, rows, ["text"], ["doc_id"])
+
+
 @query
 def dataset_dedupe(spark, sf):
     return dataset.deduplicate(_doc_rows(spark, sf), ["text"], ["doc_id"]).select(

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed as K
 from ..functions.json_access import single_value
+from ..functions.staging import pin
 from ..functions.text import non_blank, parse_instant
 from ..operators.ordered import with_position
 from ..operators.policy import PolicyConfig
@@ -89,10 +89,15 @@ def read_logs(
 # --- S-6 -------------------------------------------------------------------------
 
 
-def _array_elements(spark: SparkSession, path: str) -> DataFrame:
-    text = spark.read.text(path, wholetext=True)
-    return text.select(
-        F.posexplode(F.from_json("value", "array<map<string,string>>")).alias("pos", "_m")
+def _whole_files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path, wholetext=True)
+
+
+def _array_elements(files: DataFrame) -> DataFrame:
+    """The objects of JSON arrays in ``value``, by place, with the other columns of the row."""
+    kept = [c for c in files.columns if c != "value"]
+    return files.select(
+        *kept, F.posexplode(F.from_json("value", "array<map<string,string>>")).alias("pos", "_m")
     )
 
 
@@ -104,7 +109,13 @@ def _field(name: str) -> Column:
 
 def read_assets(spark: SparkSession, path: str) -> DataFrame:
     """Asset records in array order (``pos``): the first matching record wins later."""
-    return _array_elements(spark, path).select(
+    return parse_assets(_whole_files(spark, path))
+
+
+def parse_assets(files: DataFrame) -> DataFrame:
+    kept = [c for c in files.columns if c != "value"]
+    return _array_elements(files).select(
+        *kept,
         "pos",
         _field("hostId").alias("host_id"),
         _field("hostname").alias("hostname"),
@@ -117,7 +128,13 @@ def read_assets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_identities(spark: SparkSession, path: str) -> DataFrame:
-    return _array_elements(spark, path).select(
+    return parse_identities(_whole_files(spark, path))
+
+
+def parse_identities(files: DataFrame) -> DataFrame:
+    kept = [c for c in files.columns if c != "value"]
+    return _array_elements(files).select(
+        *kept,
         "pos",
         _field("userId").alias("user_id"),
         _field("username").alias("username"),
@@ -130,7 +147,13 @@ def read_identities(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_intel(spark: SparkSession, path: str) -> DataFrame:
-    return _array_elements(spark, path).select(
+    return parse_intel(_whole_files(spark, path))
+
+
+def parse_intel(files: DataFrame) -> DataFrame:
+    kept = [c for c in files.columns if c != "value"]
+    return _array_elements(files).select(
+        *kept,
         "pos",
         _field("srcIp").alias("src_ip"),
         _field("fileHash").alias("file_hash"),
@@ -151,21 +174,26 @@ AUDIT_SCHEMA = (
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
     """Audit entries from JSON lines; blank and malformed lines are dropped."""
     if "*" not in path and not _exists(spark, path):
-        raw = spark.createDataFrame([], AUDIT_SCHEMA)
-    else:
-        raw = spark.read.schema(AUDIT_SCHEMA).json(path, mode="PERMISSIVE")
-    return (
-        raw.select("*")
-        .filter(F.col("_corrupt_record").isNull() & F.col("timestampUtc").isNotNull())
-        .select(
-            F.col("entryId").alias("entry_id"),
-            parse_instant("timestampUtc").alias("ts"),
-            F.col("correlationId").alias("correlation_id"),
-            "component",
-            F.col("eventType").alias("event_type"),
-            "message",
-            "data",
-        )
+        return parse_audit(spark.createDataFrame([], "value string"))
+    return parse_audit(spark.read.text(path))
+
+
+def parse_audit(lines: DataFrame) -> DataFrame:
+    """Audit entries of the JSON lines in ``value``."""
+    e = F.from_json(
+        "value", AUDIT_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    )
+    parsed = pin(lines.filter(non_blank("value")), {"_e": e}).select("_e.*")
+    return parsed.filter(
+        F.col("_corrupt_record").isNull() & F.col("timestampUtc").isNotNull()
+    ).select(
+        F.col("entryId").alias("entry_id"),
+        parse_instant("timestampUtc").alias("ts"),
+        F.col("correlationId").alias("correlation_id"),
+        "component",
+        F.col("eventType").alias("event_type"),
+        "message",
+        "data",
     )
 
 
@@ -210,7 +238,10 @@ def read_dataset(
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     """Annotations from a JSON list; anything but a list is an error."""
-    text = spark.read.text(path, wholetext=True)
+    return parse_annotations(_whole_files(spark, path))
+
+
+def parse_annotations(text: DataFrame) -> DataFrame:
     shape = (
         "array<struct<dataset_id:string,detection_goal:string,completion:string,rule_xml:string>>"
     )
@@ -226,38 +257,52 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
 
 def read_knowledge(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Knowledge entries from JSON lines, in file order, with defaults filled in."""
-    raw = spark.read.schema(
-        "title string, content string, commands array<string>, tags array<string>"
-    ).json(path)
+    lines = spark.read.text(path).select("value", file_order().alias("_order"))
+    return with_position(parse_knowledge(lines), ["_order"], "pos").drop("_order", "total")
+
+
+def parse_knowledge(lines: DataFrame) -> DataFrame:
+    """Entries of the JSON lines in ``value``, beside the other columns."""
+    shape = "title string, content string, commands array<string>, tags array<string>"
+    kept = [c for c in lines.columns if c != "value"]
+    raw = pin(lines, {"_e": F.from_json("value", shape)}).select(*kept, "_e.*")
     empty = F.array().cast("array<string>")
     present = (
         F.coalesce("title", "content").isNotNull()
         | F.col("commands").isNotNull()
         | F.col("tags").isNotNull()
     )
-    entries = raw.filter(present).select(
-        file_order().alias("_order"),
+    return raw.filter(present).select(
+        *kept,
         F.coalesce("title", F.lit("untitled")).alias("title"),
         F.coalesce("content", F.lit("")).alias("content"),
         F.coalesce("commands", empty).alias("commands"),
         F.coalesce("tags", empty).alias("tags"),
     )
-    return with_position(entries, ["_order"], "pos").drop("_order", "total")
 
 
 # --- small settings files --------------------------------------------------------
 
 
-def load_policy(path: str | None, fallback: PolicyConfig | None = None) -> PolicyConfig:
-    """Policy settings; missing or blank file and missing values fall back.
+def _settings_text(spark: SparkSession, path: str) -> str:
+    """A settings file through Spark, so any store that the cluster reads will do."""
+    return "".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
+
+
+def load_policy(
+    spark: SparkSession, path: str | None, fallback: PolicyConfig | None = None
+) -> PolicyConfig:
+    """Policy settings; a path that does not exist, a blank file and missing values fall back.
+
+    A file that is there but cannot be read, or is no JSON, is an error.
 
     Names read in any case, unknown actions are dropped, and an empty action list means
     the default list. Environment lists may be empty.
     """
     fallback = fallback or PolicyConfig()
-    if path is None or not Path(path).exists():
+    if path is None or not _exists(spark, path):
         return fallback
-    text = Path(path).read_text(encoding="utf-8")
+    text = _settings_text(spark, path)
     if not text.strip():
         return fallback
     raw = json.loads(text)
@@ -299,12 +344,12 @@ def load_policy(path: str | None, fallback: PolicyConfig | None = None) -> Polic
     )
 
 
-def load_response_actions(path: str | None) -> dict[str, list[str]]:
+def load_response_actions(spark: SparkSession, path: str | None) -> dict[str, list[str]]:
     """Severity to action list; keys lower-cased, ``default`` added when missing."""
     if path is None:
         raw = K.RESPONSE_ACTIONS
     else:
-        raw = json.loads(Path(path).read_text(encoding="utf-8"))
+        raw = json.loads(_settings_text(spark, path))
         if not isinstance(raw, dict):
             raise ValueError("Action map must be a JSON object.")
     out = {k.lower(): list(v) for k, v in raw.items()}

@@ -18,13 +18,7 @@ def write_audit(
     Parquet partitioned by date is the form to query; ``json`` keeps one line per entry
     under the interchange names.
     """
-    id_ = F.when(non_blank("entry_id"), F.col("entry_id")).otherwise(
-        stable_id(
-            F.lit("entry"), "correlation_id", F.col("ts").cast("string"), "component",
-            "event_type", "message", F.to_json("data"),
-        )
-    )
-    fixed = entries.withColumn("entry_id", id_)
+    fixed = with_entry_ids(entries)
     if fmt == "json":
         fixed.select(
             F.col("entry_id").alias("entryId"),
@@ -42,6 +36,17 @@ def write_audit(
     writer.save(path)
 
 
+def with_entry_ids(entries: DataFrame) -> DataFrame:
+    """Entries with a hash of the entry in place of a blank id."""
+    id_ = F.when(non_blank("entry_id"), F.col("entry_id")).otherwise(
+        stable_id(
+            F.lit("entry"), "correlation_id", F.col("ts").cast("string"), "component",
+            "event_type", "message", F.to_json("data"),
+        )
+    )
+    return entries.withColumn("entry_id", id_)
+
+
 def _write_csv(df: DataFrame, path: str, mode: str) -> None:
     df.select(*[empty_to_null(c).alias(c) for c in df.columns]).write.mode(mode).csv(
         path, header=True, escape='"', quote='"', emptyValue="", nullValue="",
@@ -99,6 +104,18 @@ def rewrite_deduplicated(
     return removed
 
 
+def ingest_statistics(
+    stored: DataFrame, incoming: DataFrame, unique_fields: list[str], order_by: list[str]
+) -> DataFrame:
+    """What ``ingest`` would report: rows it adds, and repeats that a dedupe then removes."""
+    fresh = D.new_rows(stored, incoming, unique_fields, order_by)
+    added = fresh.agg(F.count("*").alias("added_rows"))
+    removed = D.duplicate_count(stored.unionByName(fresh), unique_fields)
+    return added.select("added_rows", F.lit(1).alias("_one")).join(
+        removed.withColumn("_one", F.lit(1)), "_one"
+    ).drop("_one")
+
+
 def ingest(
     spark: SparkSession,
     incoming: DataFrame,

@@ -151,13 +151,13 @@ def test_search_equals_brute_force(spark, block_bytes):
     assert result == _brute(queries, entries, 5)
 
 
-def test_policy_file(tmp_path):
+def test_policy_file(spark, tmp_path):
     f = tmp_path / "p.json"
     f.write_text('{"MinConfidenceForAutonomy":0.7,"safeLowConfidenceActions":[],'
                  '"requireApprovalInProd":["blockip","Nope"],'
                  '"forbiddenActionsByEnvironment":{"PROD":["killprocess"],"dev":[]}}')
-    c = readers.load_policy(str(f))
+    c = readers.load_policy(spark, str(f))
     assert c.min_confidence == 0.7 and c.safe == ("OpenTicket", "Notify")
     assert c.prod_approval == ("BlockIp",)
     assert c.environment_forbidden == {"prod": ("KillProcess",), "dev": ()}
-    assert readers.load_policy(str(tmp_path / "none.json")) == readers.PolicyConfig()
+    assert readers.load_policy(spark, str(tmp_path / "none.json")) == readers.PolicyConfig()
