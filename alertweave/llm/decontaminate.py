@@ -70,10 +70,10 @@ def frequencies(index: DataFrame) -> DataFrame:
 
 
 def anchors(tests: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(term, item_id, at): the rarest term of every window of every item.
+    """(term, item_id, at, term2, at2): the two rarest terms of every window of every item.
 
     Of equally rare terms the first counts. A term that the corpus lacks is rarest of all,
-    and its empty list ends the search for that window.
+    and its empty list ends the search for that window. Windows of one word have no second.
     """
     each = tests.select("item_id", "size", F.posexplode("words").alias("at", "term"))
     rated = each.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
@@ -82,37 +82,64 @@ def anchors(tests: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFr
         F.greatest(F.lit(0), F.least(F.col("at"), F.col("size") - window)),
     )
     by_window = rated.select("item_id", "at", "term", "n", F.explode(starts).alias("start"))
-    best = by_window.groupBy("item_id", "start").agg(F.min_by(F.struct("at", "term"), F.struct("n", "at")).alias("b"))
-    return best.select("b.term", "item_id", "b.at").distinct()
+    # A window has at most ``window`` words, so this list is short.
+    ranked = by_window.groupBy("item_id", "start").agg(
+        F.array_sort(F.collect_list(F.struct("n", "at", "term"))).alias("r")
+    )
+    one, two = F.get("r", F.lit(0)), F.get("r", F.lit(1))
+    return ranked.select(
+        one["term"].alias("term"), "item_id", one["at"].alias("at"),
+        two["term"].alias("term2"), two["at"].alias("at2"),
+    ).distinct()
 
 
 def phrases(index: DataFrame, tests: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, item_id, pos): document words inside an occurrence of a window of an item.
 
-    ``tests`` are ``items()``. A word is given once for each item.
+    ``tests`` are ``items()``. A word is given once for each item. Null ids are one document.
     """
     tests = materialize(tests, "items")
     counts = materialize(frequencies(index), "frequencies")
     found = materialize(anchors(tests, counts, window), "anchors")
-    # Candidates: where an item would begin in a document if an anchor is part of a hit.
+    # Where an item would begin in a document, by the rarest term of one of its windows ...
     begin = F.col("pos") - F.col("at")
-    lines = index.join(shared(found), "term").select("doc_id", "item_id", begin.alias("begin")).distinct()
+    first = index.join(shared(found), "term").select(
+        "doc_id", "item_id", begin.alias("begin"), "term2", (begin + F.col("at2")).alias("pos2")
+    )
+    first = materialize(first.distinct(), "first-lists")
+    # ... and by the second rarest, whose list must have a posting at the place it gives.
+    terms = found.select(F.col("term2").alias("term")).filter("term is not null").distinct()
+    second = index.join(shared(materialize(terms, "second-terms")), "term", "left_semi")
+    met = first.alias("a").join(
+        second.alias("b"),
+        F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("pos2") == F.col("pos"))
+        & (F.col("term2") == F.col("term")),
+        "left_semi",
+    )
+    line = ["doc_id", "item_id", "begin"]
+    lines = met.select(*line).unionByName(first.filter("term2 is null").select(*line)).distinct()
     lines = materialize(lines, "candidates")
     # The lists of all terms of the item, adjusted by their offsets, against each candidate.
     wanted = lines.join(shared(tests), "item_id").select(
-        "doc_id", "item_id", "begin", "size", F.posexplode("words").alias("at", "term")
-    ).withColumn("pos", F.col("begin") + F.col("at"))
+        *line, "size", F.posexplode("words").alias("at", "term")
+    ).withColumn("at_pos", F.col("begin") + F.col("at"))
     ids = materialize(lines.select("doc_id").distinct(), "candidate-ids")
-    postings = index.filter("term <> ''").join(shared(ids), "doc_id", "left_semi")
-    met = wanted.join(postings, ["doc_id", "pos", "term"], "left_semi")
+    postings = index.alias("i").join(
+        shared(ids).alias("c"), F.col("i.doc_id").eqNullSafe(F.col("c.doc_id")), "left_semi"
+    )
+    met = wanted.alias("w").join(
+        postings.alias("p"),
+        F.col("w.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("at_pos") == F.col("pos"))
+        & (F.col("w.term") == F.col("p.term")),
+        "left_semi",
+    )
     # Runs of neighbouring matches on one candidate line; a run as long as a window is a hit.
-    line = Window.partitionBy("doc_id", "item_id", "begin")
-    run = F.col("at") - F.row_number().over(line.orderBy("at"))
+    run = F.col("at") - F.row_number().over(Window.partitionBy(*line).orderBy("at"))
     runs = met.withColumn("run", run).withColumn(
-        "length", F.count("*").over(Window.partitionBy("doc_id", "item_id", "begin", "run"))
+        "length", F.count("*").over(Window.partitionBy(*line, "run"))
     )
     hits = runs.filter(F.col("length") >= F.least(F.col("size"), F.lit(window)))
-    return hits.select("doc_id", "item_id", "pos").distinct()
+    return hits.select("doc_id", "item_id", F.col("at_pos").alias("pos")).distinct()
 
 
 def near(index: DataFrame, queries: DataFrame, within: int) -> DataFrame:
