@@ -351,10 +351,9 @@ SELECT * FROM (
  SELECT alert_id||'b', 'wazuh', epoch_us(ts), rule_name, alert_type, NULL,
    CASE WHEN i%6 IN (0,2) THEN CAST(i+1 AS VARCHAR) WHEN i%6=1 THEN 'n'||i END FROM fx WHERE i%6<>5)"""
     q["push_headers"] = V + """
-SELECT CASE WHEN siem_name='splunk' THEN 'wazuh' ELSE siem_name END AS siem_name,
+SELECT alert_id AS source_id, CASE WHEN siem_name='splunk' THEN 'wazuh' ELSE siem_name END AS siem_name,
   CASE WHEN siem_name<>'simulator' THEN rule_name END AS rule_name, CAST(NULL AS VARCHAR) AS alert_type,
-  CASE WHEN siem_name<>'simulator' THEN level END AS original_severity, count(*) AS n
-FROM fx GROUP BY 1,2,3,4"""
+  CASE WHEN siem_name<>'simulator' THEN level END AS original_severity FROM fx"""
     q["page_alerts"] = """
 SELECT CAST(event_id AS VARCHAR) AS alert_id, rn AS position, rn//200 AS page,
   CASE WHEN (rn//200+1)*200 < n THEN CAST((rn//200+1)*200 AS VARCHAR) END AS next_cursor
@@ -506,14 +505,26 @@ fin AS (SELECT alert_id, CASE WHEN count(*) FILTER (WHERE message='Policy pendin
 SELECT alert_id, CAST(0 AS INTEGER) AS step, 'Seen' AS status FROM fin
 UNION ALL SELECT alert_id, CAST(1 AS INTEGER), status FROM fin"""
     q["audit_events"] = X + """,
-pa AS (SELECT i, count(*) AS total, count(*) FILTER (WHERE message='Policy pending approval.') AS pending FROM dry GROUP BY i),
+pa AS (SELECT d.i, count(*) AS total, count(*) FILTER (WHERE d.status='Failed') AS failed,
+  count(*) FILTER (WHERE d.status='Skipped') AS skipped, count(*) FILTER (WHERE d.status='DryRun') AS dry_run,
+  count(*) FILTER (WHERE p.status='Approved') AS approved, count(*) FILTER (WHERE p.status='PendingApproval') AS pending,
+  count(*) FILTER (WHERE p.status='Denied') AS denied FROM dry d JOIN po p ON p.i=d.i AND p.seq=d.seq GROUP BY d.i),
+hh AS (SELECT i, alert_id, substr(sha256(siem_name||':'||alert_id),1,32) AS plan_id FROM hd),
 ev AS (
-  SELECT 'Execution' AS component, 'ExecutionStart' AS event_type, NULL AS status, NULL AS executor, NULL AS total, NULL AS pending FROM pa
-  UNION ALL SELECT 'Execution','ActionResult',status,executor,NULL,NULL FROM dry WHERE NOT (status='Skipped' AND executor='ExecutionPipeline')
-  UNION ALL SELECT 'Execution','ExecutionEnd',NULL,NULL,CAST(total AS VARCHAR),NULL FROM pa
-  UNION ALL SELECT 'Orchestrator','AlertProcessed',NULL,NULL,NULL,CAST(pending AS VARCHAR) FROM pa
-  UNION ALL SELECT 'Orchestrator','NormalizationFailed',NULL,NULL,NULL,NULL FROM norm WHERE reject_reason IS NOT NULL)
-SELECT component, event_type, status, executor, total, pending, count(*) AS n, count(*) AS ids FROM ev GROUP BY ALL"""
+  SELECT 'Execution' AS component, 'ExecutionStart' AS event_type, 'Execution started.' AS message, plan_id, NULL AS action_id,
+    NULL AS action_type, NULL AS status, NULL AS executor, NULL AS total, NULL AS failed, NULL AS skipped, NULL AS dry_run,
+    NULL AS approved, NULL AS pending, NULL AS denied FROM hh
+  UNION ALL SELECT 'Execution','ActionResult',message,plan_id,action_id,type,status,executor,NULL,NULL,NULL,NULL,NULL,NULL,NULL
+    FROM dry JOIN hh ON hh.i=dry.i WHERE NOT (status='Skipped' AND executor='ExecutionPipeline')
+  UNION ALL SELECT 'Execution','ExecutionEnd','Execution finished.',plan_id,NULL,NULL,NULL,NULL,total,failed,skipped,dry_run,NULL,NULL,NULL
+    FROM pa JOIN hh ON hh.i=pa.i
+  UNION ALL SELECT 'Orchestrator','AlertProcessed','Alert '||alert_id||' processed.',plan_id,NULL,NULL,NULL,NULL,NULL,NULL,NULL,NULL,
+    approved,pending,denied FROM pa JOIN hh ON hh.i=pa.i
+  UNION ALL SELECT 'Orchestrator','NormalizationFailed','Normalization failed: InvalidOperationException: '||reject_reason,
+    NULL,NULL,NULL,NULL,NULL,NULL,NULL,NULL,NULL,NULL,NULL,NULL FROM norm WHERE reject_reason IS NOT NULL)
+SELECT component, event_type, message, plan_id, action_id, action_type, status, executor, CAST(total AS VARCHAR) AS total,
+  CAST(failed AS VARCHAR) AS failed, CAST(skipped AS VARCHAR) AS skipped, CAST(dry_run AS VARCHAR) AS dry_run,
+  CAST(approved AS VARCHAR) AS approved, CAST(pending AS VARCHAR) AS pending, CAST(denied AS VARCHAR) AS denied FROM ev"""
     q["audit_report"] = """
 SELECT *, 'Total events: '||total_events||'|Action executions: '||action_executions||'|Failures: '||failures AS lines FROM (
 SELECT count(*) AS total_events, count(*) FILTER (WHERE event_type IN ('error','purchase')) AS action_executions,

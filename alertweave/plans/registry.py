@@ -186,13 +186,13 @@ def unwrap_responses(spark, sf):
 
 @query
 def push_headers(spark, sf):
-    payloads = X.alerts(spark, sf).select("payload", "siem_name")
+    payloads = X.alerts(spark, sf).select(
+        "payload", "siem_name", F.col("alert_id").alias("source_id")
+    )
     raw = alert_source.build_raw(
         payloads, X.now(), profile="push", siem=F.nullif(F.col("siem_name"), F.lit("splunk"))
     )
-    return raw.groupBy("siem_name", "rule_name", "alert_type", "original_severity").agg(
-        F.count("*").alias("n")
-    )
+    return raw.select("source_id", "siem_name", "rule_name", "alert_type", "original_severity")
 
 
 @query
@@ -627,24 +627,17 @@ def approved_execution(spark, sf):
 
 @query
 def audit_events(spark, sf):
-    """Audit entries derived from the run, counted by kind and by key facts."""
+    """Every audit entry of the run, with its message and the main facts of its data."""
     n = normalized(spark, sf)
     t = chain(spark, sf)
     e = t.events(executed(spark, sf), normalize.rejects(n), X.now())
-    d = F.col("data")
-    return (
-        e.select(
-            "component",
-            "event_type",
-            F.try_element_at(d, F.lit("status")).alias("status"),
-            F.try_element_at(d, F.lit("executor")).alias("executor"),
-            F.try_element_at(d, F.lit("total")).alias("total"),
-            F.try_element_at(d, F.lit("pending")).alias("pending"),
-            "entry_id",
-        )
-        .groupBy("component", "event_type", "status", "executor", "total", "pending")
-        .agg(F.count("*").alias("n"), F.countDistinct("entry_id").alias("ids"))
-    )
+    names = {
+        "planId": "plan_id", "actionId": "action_id", "actionType": "action_type", "status": "status",
+        "executor": "executor", "total": "total", "failed": "failed", "skipped": "skipped",
+        "dryRunCount": "dry_run", "approved": "approved", "pending": "pending", "denied": "denied",
+    }
+    fact = lambda k: F.try_element_at(F.col("data"), F.lit(k))
+    return e.select("component", "event_type", "message", *[fact(k).alias(v) for k, v in names.items()])
 
 
 @query
