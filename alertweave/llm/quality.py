@@ -198,11 +198,9 @@ def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not rejected, with all their columns.
 
-    Fits like ``scored``; texts are read a second time instead of being shuffled.
+    Fits like ``scored``. Texts are read a second time for their scores, so none is shuffled.
     """
-    text_rows = documents.select("doc_id", "text")
-    known = labels.select("doc_id", F.col("quality").alias("label")).distinct()
-    learn = text_rows.filter(~held_out()).join(known, "doc_id")
-    model = fit(add_statistics(learn))
+    vectors = materialize(add_statistics(documents.select("doc_id", "text")).drop("text"), "vectors")
+    model = fit(_labelled(vectors.filter(~held_out()), labels))
     scores = add_scores(add_statistics(documents, out="_features"), model, "_features", "_score")
     return scores.filter(F.col("_score") >= 0.5).select(*documents.columns)

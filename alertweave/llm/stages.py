@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, line_dedup as lines, quality, simhash
-from .common import table
+from .common import materialize, table
+from .decontaminate import shared
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,13 +34,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         docs, words=5, most=8, groups=3, extra=2, wide_most=20
     )
     copies = classes.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(shared(materialize(copies, "copies")), "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a window of a benchmark item."""
     hits = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(shared(materialize(hits, "hits")), "doc_id", "left_anti").select(*docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
