@@ -17,13 +17,24 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
+_PARTITION_BYTES = 256 << 20
+_MOST_PARTITIONS = 1_000_000
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 
 
+def _partitions(df: DataFrame) -> int:
+    """As many partitions as a shuffle has by default, and more for an input that needs them."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(
+        int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+        min(_MOST_PARTITIONS, size // _PARTITION_BYTES + 1),
+    )
+
+
 def _ranged(df: DataFrame, order: list[Column], partitions: int | None) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or _partitions(df)
     numbered = (
         df.repartitionByRange(n, *order)
         .sortWithinPartitions(*order)

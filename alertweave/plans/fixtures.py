@@ -102,6 +102,18 @@ def facts(spark: SparkSession, sf: str) -> DataFrame:
         F.when(
             F.col("event_type") == "error", F.concat(F.lit("hash"), _text(_i() % 30))
         ).alias("file_hash"),
+        # Only beside a source address, so that it never decides whether an alert has entities.
+        F.when(
+            (_i() % 5 != 0) & (_i() % 3 == 1), F.concat(F.lit("192.168.0."), _text(_i() % 9))
+        ).alias("dst_ip"),
+        F.when(_i() % 7 == 2, F.concat(F.lit("d"), _text(_u() % 5), F.lit(".example"))).alias("domain"),
+        F.when(
+            (F.col("event_type") == "purchase") & (_i() % 2 == 0),
+            F.concat(F.lit("proc"), _text(_i() % 6), F.lit(".exe")),
+        ).alias("process_name"),
+        F.when(
+            F.col("event_type") == "purchase", F.concat(F.lit("/bin/proc"), _text(_i() % 6))
+        ).alias("process_path"),
     )
 
 
@@ -124,6 +136,12 @@ def payload() -> Column:
                 F.when(_i() % 2 == 1, F.col("username")).alias("dstuser"),
                 F.col("uid").alias("userId"),
                 F.col("file_hash").alias("md5"),
+                F.when(_i() % 2 == 0, F.col("dst_ip")).alias("DstIp"),
+                F.when(_i() % 2 == 1, F.col("dst_ip")).alias("dst_ip"),
+                F.col("domain"),
+                F.when(_i() % 4 == 2, F.col("process_name")).alias("image"),
+                F.when(_i() % 4 != 2, F.col("process_name")).alias("Process_Name"),
+                F.col("process_path").alias("path"),
             ).alias("data"),
         )
     )
@@ -135,6 +153,10 @@ def payload() -> Column:
             F.col("uid").alias("user_id"),
             F.col("src_ip").alias("Src_Ip"),
             F.col("file_hash"),
+            F.col("dst_ip"),
+            F.col("domain"),
+            F.col("process_name").alias("Process_name"),
+            F.col("process_path"),
         )
     )
     return F.when(F.col("siem_name") == "simulator", flat).otherwise(nested)

@@ -82,7 +82,7 @@ sc AS (
     CASE alert_type WHEN 'PortScanFromIp' THEN 'src_ip='||coalesce(src_ip,'10.0.0.1')
       WHEN 'BruteForceUser' THEN 'username='||coalesce(username,'user1')
       WHEN 'MalwareHashOnHost' THEN 'file_hash='||coalesce(file_hash,'hash')||'|host_id='||coalesce(host_id,'host-1')
-      WHEN 'SuspiciousProcessOnHost' THEN 'host_id='||coalesce(host_id,'host-1')||'|process_name=powershell.exe'
+      WHEN 'SuspiciousProcessOnHost' THEN 'host_id='||coalesce(host_id,'host-1')||'|process_name='||CASE WHEN et='purchase' AND i%2=0 THEN 'proc'||(i%6)||'.exe' ELSE 'powershell.exe' END
       END AS rec_params,
     CASE alert_type WHEN 'PortScanFromIp' THEN 'Block scanning IP.'
       WHEN 'BruteForceUser' THEN 'Disable targeted user.'
@@ -337,8 +337,10 @@ def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["normalize_alerts"] = V + """
 SELECT alert_id, siem_name, epoch_us(ts) AS ts_us, alert_type, rule_name, severity, hostname, host_id,
-  username, user_id, src_ip, CAST(NULL AS VARCHAR) AS dst_ip, CAST(NULL AS VARCHAR) AS domain,
-  CAST(NULL AS VARCHAR) AS process_name, CAST(NULL AS VARCHAR) AS process_path, file_hash FROM v"""
+  username, user_id, src_ip, CASE WHEN i%5<>0 AND i%3=1 THEN '192.168.0.'||(i%9) END AS dst_ip,
+  CASE WHEN i%7=2 THEN 'd'||(u%5)||'.example' END AS domain,
+  CASE WHEN et='purchase' AND i%2=0 THEN 'proc'||(i%6)||'.exe' END AS process_name,
+  CASE WHEN et='purchase' THEN '/bin/proc'||(i%6) END AS process_path, file_hash FROM v"""
     q["reject_alerts"] = V + """
 SELECT alert_id, siem_name, reject_reason FROM norm WHERE reject_reason IS NOT NULL"""
     q["unwrap_responses"] = V + """
