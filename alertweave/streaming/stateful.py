@@ -20,7 +20,9 @@ ship(__name__)
 
 
 def first_requests(pending: DataFrame, bound: str | None = None) -> DataFrame:
-    """First pending row per action id over the whole stream.
+    """One pending row per action id over the whole stream, of the batch that has it first.
+
+    Inside that batch any row may be taken; ``first_request_stream`` takes the first in order.
 
     State never expires by default, as the request store never forgets. ``bound`` (for
     example ``"7 days"`` on ``ts``) limits the state and may repeat older ids.
@@ -30,6 +32,16 @@ def first_requests(pending: DataFrame, bound: str | None = None) -> DataFrame:
     return pending.withWatermark("ts", bound).dropDuplicatesWithinWatermark(["action_id"])
 
 
+def first_request_stream(
+    pending: DataFrame,
+    root: str,
+    checkpoint: str,
+    order_by: tuple[str, ...] = ("ts", "alert_id", "seq"),
+) -> StreamingQuery:
+    """Store the first pending row per action id: by arrival, then in order inside a batch."""
+    return append_stream(pending, root, checkpoint, ["action_id"], list(order_by))
+
+
 CHANGE_SCHEMA = "agent_key string, id string, previous_ip string, agent_ip string"
 
 

@@ -92,6 +92,34 @@ def test_first_requests_stream(spark, tmp_path):
     assert sorted(r[0] for r in got) == ["x", "y", "z"]
 
 
+def test_first_request_of_a_batch_is_the_first_in_order(spark, tmp_path):
+    src, root = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "action_id string, ts int, alert_id string, seq int"
+    for rows in ([("x", 5, "b", 0), ("x", 3, "a", 1), ("x", 3, "a", 0), ("y", 9, "c", 0)], [("x", 1, "z", 0), ("z", 2, "d", 0)]):
+        spark.createDataFrame(rows, schema).repartition(1).write.mode("append").json(src)
+        stream = spark.readStream.schema(schema).json(src)
+        stateful.first_request_stream(stream, root, str(tmp_path / "cp")).awaitTermination()
+    got = spark.read.parquet(f"{root}/dataset").select("action_id", "ts", "alert_id", "seq").collect()
+    assert sorted(tuple(r) for r in got) == [("x", 3, "a", 0), ("y", 9, "c", 0), ("z", 2, "d", 0)]
+
+
+def test_malformed_lines_and_recent_audit(spark, tmp_path):
+    landed, root = tmp_path / "in", str(tmp_path / "out")
+    landed.mkdir()
+    good = {"alert_id": "1", "siem_name": "wazuh", "payload": json.dumps({"hostname": "h"})}
+    (landed / "a.json").write_text(json.dumps(good) + "\n" + "{broken line\n")
+    stream = triage.read_alert_stream(spark, str(landed))
+    query = triage.start(stream, Triage(), root, str(tmp_path / "cp"), 0, lambda: X.now())
+    query.awaitTermination()
+    assert spark.read.parquet(f"{root}/plans").count() == 1
+    assert spark.read.parquet(f"{root}/rejects").select("payload").first()[0] == "{broken line"
+    report = triage.recent_audit(spark, root, X.now())
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(hour" in plan and report.first()["total_events"] > 0
+    later = triage.recent_audit(spark, root, X.now() + F.expr("INTERVAL 2 HOURS"))
+    assert later.first()["total_events"] == 0
+
+
 def test_bad_alert_stops_nothing(spark, tmp_path):
     rows = [("1", "wazuh", None, None, None, None, "not json"),
             ("2", "wazuh", None, None, None, None, json.dumps({"hostname": "h"}))]
