@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 
 import public_tokenizers
@@ -23,7 +24,9 @@ ship(__name__)
 
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens bigint"
 #: Word counts kept per task; the store starts anew beyond it. It never changes a result.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
+#: Texts and words that are handled at once; the library's encodings take much memory.
+TEXTS, WORDS = 128, 4096
 _UNSURE = re.compile(r" \s|\s ")
 
 
@@ -49,6 +52,8 @@ class WordCounter:
     """
 
     def __init__(self, definition: str):
+        # A task has one core; threads of the library would only take memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
@@ -65,9 +70,17 @@ class WordCounter:
         )
 
     def _library(self, texts: list[str]) -> list[int]:
-        return [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out = []
+        for at in range(0, len(texts), WORDS):
+            part = texts[at : at + WORDS]
+            out += [len(e) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        return out
 
     def count(self, texts: list[str]) -> list[int]:
+        parts = (texts[at : at + TEXTS] for at in range(0, len(texts), TEXTS))
+        return [n for part in parts for n in self._count(part)]
+
+    def _count(self, texts: list[str]) -> list[int]:
         words, whole = {}, []
         for i, text in enumerate(texts):
             if not self.by_word or _UNSURE.search(text) or self.added.search(text):
