@@ -30,8 +30,10 @@ ship(__name__)
 NONE = -1
 #: A space is surely the start of a match if no white space stands beside it.
 _UNSURE = re.compile(r" \s|\s ")
-#: Encoded words kept per task; the store starts anew beyond it. It never changes a result.
-REMEMBERED = 400_000
+#: Words and prefixes kept per task; a store starts anew beyond it. It never changes a result.
+REMEMBERED = 600_000
+#: Longest prefix, in bytes, that is kept for other words.
+SHARED_PREFIX = 24
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -50,37 +52,48 @@ class Bpe:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {token: data for data, token in ranks.items()}
+        self.length_of = {token: len(data) for data, token in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
-        self._pairs: dict[tuple[int, int], bool] = {}
+        # Every end of a token, with the token that it is itself, or NONE.
+        self._ends = {data[i:]: NONE for data in ranks for i in range(1, len(data))} | ranks
+        self._pairs: dict[int, bool] = {}
+        self.known: dict[bytes, int] = {}
 
     def merged(self, data: bytes) -> list[int]:
         """Encoding by its definition: merge the pair of the lowest rank, leftmost first."""
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best = min(
-                range(len(parts) - 1),
-                key=lambda i: self.ranks.get(parts[i] + parts[i + 1], len(self.ranks) * 2),
-            )
-            joined = parts[best] + parts[best + 1]
-            if joined not in self.ranks:
-                break
-            parts[best : best + 2] = [joined]
+        none = len(self.ranks) * 2
+        ranks = [self.ranks.get(x + y, none) for x, y in zip(parts, parts[1:], strict=False)]
+        while ranks and (low := min(ranks)) < none:
+            i = ranks.index(low)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = self.ranks.get(parts[i - 1] + parts[i], none)
+            if i < len(ranks):
+                ranks[i] = self.ranks.get(parts[i] + parts[i + 1], none)
         return [self.ranks[p] for p in parts]
 
     def may_follow(self, a: int, b: int) -> bool:
         """Whether ``b`` can come right after ``a`` (or, after NONE, at the start)."""
-        known = self._pairs.get((a, b))
+        key = (a + 1) << 32 | b
+        known = self._pairs.get(key)
         if known is None:
             left = [a] if a != NONE else []
             data = b"".join(self.bytes_of[t] for t in [*left, b])
-            known = self._pairs[a, b] = self.merged(data) == [*left, b]
+            known = self._pairs[key] = self.merged(data) == [*left, b]
         return known
 
     def _last_token(self, data: bytes, end: int, last: list[int]) -> int:
-        ranks = self.ranks
-        for start in range(max(0, end - self.longest), end):
-            token = ranks.get(data[start:end])
-            if token is not None and self.may_follow(last[start], token):
+        found, ends = [], self._ends
+        for start in range(end - 1, max(-1, end - 1 - self.longest), -1):
+            token = ends.get(data[start:end])
+            if token is None:  # no longer token ends here
+                break
+            if token >= 0:
+                found.append((start, token))
+        for start, token in reversed(found):
+            if self.may_follow(last[start], token):
                 return token
         raise ValueError(f"no token for byte {data[end - 1]}")
 
@@ -113,9 +126,45 @@ class Bpe:
         return out[::-1]
 
     def encode_piece(self, data: bytes) -> list[int]:
-        """One match of the pattern; a match that is a token itself is that token."""
+        """One match of the pattern; a match that is a token itself is that token.
+
+        The last tokens of short prefixes are kept, so a word is computed from where it
+        leaves all words before it.
+        """
         whole = self.ranks.get(data)
-        return [whole] if whole is not None else self.tokens(self.append(Prefixes(), data))
+        if whole is not None:
+            return [whole]
+        if len(data) > SHARED_PREFIX:
+            return self.tokens(self.append(Prefixes(), data))
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        known, ends, pairs = self.known, self._ends, self._pairs
+        known[b""] = NONE
+        at = len(data)
+        while data[:at] not in known:
+            at -= 1
+        for end in range(at + 1, len(data) + 1):
+            found = []
+            for start in range(end - 1, -1, -1):
+                token = ends.get(data[start:end])
+                if token is None:
+                    break
+                if token >= 0:
+                    found.append((start, token))
+            for start, token in reversed(found):
+                before = known[data[:start]]
+                fits = pairs.get((before + 1) << 32 | token)
+                if fits or (fits is None and self.may_follow(before, token)):
+                    known[data[:end]] = token
+                    break
+            else:
+                raise ValueError(f"no token for byte {data[end - 1]}")
+        out, at = [], len(data)
+        while at:
+            token = known[data[:at]]
+            out.append(token)
+            at -= self.length_of[token]
+        return out[::-1]
 
 
 class _Remembered(dict):
@@ -136,23 +185,33 @@ class TextEncoder:
 
     def __init__(self, bpe: Bpe, pattern: str):
         self.pattern = regex.compile(pattern)
-        self.piece = _Remembered(lambda p: _pack(bpe.encode_piece(p.encode())), REMEMBERED)
-        self.after_space = _Remembered(lambda word: self._plain(f" {word}"), REMEMBERED)
+        # Letters, and marks that end a word, are matches of their own in the public pattern.
+        self.by_word = pattern == public_tokenizers.PATTERN
+        self.bpe = bpe
+        self.packed = {t: t.to_bytes(4, "little") for t in bpe.bytes_of}
+        self.mark = {m: self._plain(m) for m in ".,"}
+        self.after_space = _Remembered(self._after_space, REMEMBERED)
+
+    def _piece(self, piece: str) -> bytes:
+        return b"".join([self.packed[t] for t in self.bpe.encode_piece(piece.encode())])
 
     def _plain(self, text: str) -> bytes:
-        return b"".join(map(self.piece.__getitem__, self.pattern.findall(text)))
+        return b"".join(map(self._piece, self.pattern.findall(text)))
+
+    def _after_space(self, word: str) -> bytes:
+        if word.isalpha():
+            return self._piece(f" {word}")
+        if word[-1:] in self.mark and word[:-1].isalpha():
+            return self.after_space[word[:-1]] + self.mark[word[-1]]
+        return self._plain(f" {word}")
 
     def encode(self, text: str) -> bytes:
-        if _UNSURE.search(text):
+        if not self.by_word or _UNSURE.search(text):
             return self._plain(text)
         first, *rest = text.split(" ")
         return self._plain(first) + b"".join(map(self.after_space.__getitem__, rest))
 
 
-def _pack(ids: list[int]) -> bytes:
-    return np.array(ids, "<i4").tobytes()
-
-
 def _lists(values: np.ndarray, sizes: list[int], kind=pa.ListArray) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum(sizes, dtype="i8")]).astype("i4")
     return kind.from_arrays(pa.array(offsets), pa.array(values))
