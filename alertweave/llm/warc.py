@@ -39,6 +39,8 @@ ID = "urn:x-page:"
 #: A package is closed, and a block of records is cut, once it holds this many bytes.
 PACKAGE_BYTES = 256 << 20
 BLOCK_BYTES = 2 << 20
+#: Bytes of packages that one reading task gets.
+TASK_BYTES = 16 << 20
 #: Rows up to which the table of repeated digests is broadcast; a larger one is shuffled.
 SHARED_ROWS = 100_000
 _LEVEL = 1
@@ -285,9 +287,12 @@ def write_packages(rows: DataFrame, folder: str) -> DataFrame:
             rows = _chain(first, each)
             with store.open_output_stream(f"{root}/{name}") as sink:
                 n = write_package(sink, rows)
-            yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "records": [n]})
+                size = sink.tell()
+            yield pa.RecordBatch.from_pydict(
+                {"path": [f"{folder}/{name}"], "records": [n], "bytes": [size]}
+            )
 
-    out = rows.select(*names).mapInArrow(write, "path string, records bigint")
+    out = rows.select(*names).mapInArrow(write, "path string, records bigint, bytes bigint")
     return materialize(out, "packages")
 
 
@@ -321,8 +326,12 @@ RECORDS = (
 )
 
 
-def read_records(places: DataFrame) -> DataFrame:
-    """The records of each block, fetched with one range read per block."""
+def read_records(places: DataFrame, tasks: int) -> DataFrame:
+    """The records of each block, fetched with one range read per block.
+
+    The blocks are dealt to a fixed number of tasks: their rows are small, but their work is
+    not, so joining small partitions would put all of it into one task.
+    """
 
     schema = pa.schema([
         ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()),
@@ -342,7 +351,7 @@ def read_records(places: DataFrame) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    spread = places.repartition(F.col("path"), F.col("offsets")[0])
+    spread = places.repartition(tasks, F.col("path"), F.col("offsets")[0])
     return spread.mapInArrow(run, RECORDS)
 
 
@@ -355,7 +364,8 @@ def round_trip(pages: DataFrame) -> DataFrame:
     folder = f"{shared_folder(pages.sparkSession)}/wacz-{uuid.uuid4().hex}"
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     packages = write_packages(with_revisits(pages, payload), folder)
-    r = read_records(find_records(packages))
+    size = packages.agg(F.sum("bytes")).first()[0] or 0
+    r = read_records(find_records(packages), max(1, -(-size // TASK_BYTES)))
     return r.select(
         "page_id",
         F.coalesce(F.octet_length("payload").cast("bigint"), "declared_bytes").alias("payload_bytes"),
