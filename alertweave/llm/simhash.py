@@ -31,6 +31,8 @@ SEGMENT_BITS = 2
 WORDS = 4
 MOST_BITS = 4
 GROUPS = 2
+#: Rows of a cell up to which all of them are compared; beyond, a forest is grown.
+FEW = 128
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -181,11 +183,22 @@ def links(distinct: DataFrame, most: int, groups: int, wide_most: int) -> DataFr
             # The last cell may go on in the next batch.
             held, held_cell = data[begins[-1] :], cells[-1]
             begins, size = begins[:-1], (ends - begins)[:-1]
-            # Most cells have two rows at most; those are compared all at once.
-            two = begins[size == 2]
-            hit = near(data[two][:, 1:], data[two + 1][:, 1:], most, wide_most)
-            edges = list(zip(data[two][hit, 0].tolist(), data[two + 1][hit, 0].tolist(), strict=True))
-            for start, n in zip(begins[size > 2], size[size > 2], strict=True):
+            # Cells of few rows are compared all at once, each row with those some steps on.
+            few = np.repeat(size <= FEW, size)
+            one, two = [], []
+            for step in range(1, min(FEW, int(size.max(initial=0)))):
+                at = np.flatnonzero(few[:-step] & (cells[: len(few) - step] == cells[step : len(few)]))
+                hit = at[near(data[at, 1:], data[at + step, 1:], most, wide_most)]
+                one.append(hit)
+                two.append(hit + step)
+            one, two = np.concatenate([[], *one]).astype("i8"), np.concatenate([[], *two]).astype("i8")
+            # Where many rows link to many, a forest says the same with fewer edges.
+            cell_of = np.repeat(np.arange(len(size)), size)
+            dense = np.bincount(cell_of[one], minlength=len(size)) > size
+            sparse = ~dense[cell_of[one]]
+            edges = list(zip(data[one[sparse], 0].tolist(), data[two[sparse], 0].tolist(), strict=True))
+            grown = dense | (size > FEW)
+            for start, n in zip(begins[grown], size[grown], strict=True):
                 edges += forest(data[start : start + n])
             yield out(edges)
         yield out(forest(held))
