@@ -31,7 +31,9 @@ NONE = -1
 #: A space is surely the start of a match if no white space stands beside it.
 _UNSURE = re.compile(r" \s|\s ")
 #: Words and prefixes kept per task; a store starts anew beyond it. It never changes a result.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
+#: Tokens that are decoded at once.
+SLICE = 1 << 16
 #: Longest prefix, in bytes, that is kept for other words.
 SHARED_PREFIX = 24
 
@@ -261,20 +263,25 @@ def decode(
             length[t] = len(data)
         begin = np.cumsum(length) - length
 
-        def fn(batch: pa.RecordBatch) -> dict:
-            column = batch.column(ids)
-            tokens = np.asarray(column.flatten(), "i8")
+        def bytes_of(tokens: np.ndarray) -> bytes:
             sizes = length[tokens]
-            ends = np.cumsum(sizes)
             # Byte i of the output is byte i - (start of its token) of that token.
-            place = np.repeat(begin[tokens] - (ends - sizes), sizes) + np.arange(sizes.sum())
+            starts = begin[tokens] - (np.cumsum(sizes) - sizes)
+            return flat[np.repeat(starts, sizes) + np.arange(sizes.sum())].tobytes()
+
+        def fn(batch: pa.RecordBatch) -> dict:
+            column = batch.column(ids)
+            tokens = np.asarray(column.flatten())
             counts = np.nan_to_num(column.value_lengths().to_numpy(False)).astype("i8")
-            stops = np.concatenate([[0], ends])[np.cumsum(counts)]
+            stops = np.concatenate([[0], np.cumsum(length[tokens])])[np.cumsum(counts)]
             offsets = np.concatenate([[0], stops]).astype("i4")
-            data = pa.py_buffer(flat[place].tobytes())
+            data = b"".join(
+                bytes_of(tokens[at : at + SLICE].astype("i8")) for at in range(0, len(tokens), SLICE)
+            )
             return {
                 out: pa.Array.from_buffers(
-                    pa.binary(), len(counts), [None, pa.py_buffer(offsets.tobytes()), data]
+                    pa.binary(), len(counts),
+                    [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)],
                 )
             }
 
