@@ -112,16 +112,14 @@ def training_sample(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE
 
 def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE,
         landmarks: int = LANDMARKS_PER_LANGUAGE, ridge: float = RIDGE) -> Model | None:
-    """Fit on ``doc_id, text, lang`` rows; rows without text, letters or language are ignored.
+    """Fit on ``doc_id, text, lang`` rows; rows without id, text, letters or language are ignored.
 
     The sample's ids are bounded (``per_language`` for each language), so they are broadcast,
     and what the driver gets is n-gram numbers below ``SIZE`` of the landmarks and one kernel
     row per sampled text. None if nothing can be learned from. Ties and repeated ids do no
     harm: a repeated id gives more than one training text.
     """
-    usable = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(
-        "doc_id", "text", "lang"
-    )
+    usable = labelled.select("doc_id", "text", "lang").dropna()
     ids = training_sample(usable.select("doc_id", "lang"), per_language).collect()
     if not ids:
         return None
