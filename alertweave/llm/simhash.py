@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.staging import ship
 from .common import add_columns, materialize, texts_of
+from .decontaminate import shared
 
 ship(__name__)
 
@@ -271,6 +272,166 @@ def near_duplicates(
     return docs.join(classes, keys).select("doc_id", "fp", "component_id")
 
 
+def add_sets(df: DataFrame, words: int, extra: int | None = None, text: str = "text") -> DataFrame:
+    """Add ``node``, a 64-bit name of the set of shingles, and what is asked for of it.
+
+    With ``extra``: ``fp`` and ``wide``, fingerprints in which every distinct shingle counts
+    once; without: ``shingles``, the sorted hashes themselves.
+    """
+
+    def make():
+        def fn(batch: pa.RecordBatch) -> dict:
+            sets = [np.unique(shingle_hashes(x, words)) for x in texts_of(batch, text)]
+            out = {"node": pa.array([_signed(xxhash.xxh64_intdigest(h.tobytes(), SEED)) for h in sets], pa.int64())}
+            kind = pa.list_(pa.int64())
+            if extra is None:
+                return out | {"shingles": pa.array([h.view("i8") for h in sets], kind)}
+            wide = [[_signed(fingerprint(_mixed(h, s))) for s in range(1, extra + 1)] for h in sets]
+            fps = [_signed(fingerprint(h)) for h in sets]
+            return out | {"fp": pa.array(fps, pa.int64()), "wide": pa.array(wide, kind)}
+
+        return fn
+
+    new = "shingles array<bigint>" if extra is None else "fp bigint, wide array<bigint>"
+    return add_columns(df, make, f"node bigint, {new}")
+
+
+def close_pairs(nodes: DataFrame, at: int, extra: int, groups: int, most: int) -> DataFrame:
+    """All pairs (a, b) of ``nodes`` (``node, root, fp, wide``) with different roots that meet in
+    a grid cell of fingerprint number ``at`` and differ in at most ``most`` bits of all.
+    """
+    names = ["node", "root", *[f"p{i}" for i in range(extra + 1)]]
+
+    def enter(batches):
+        for batch in batches:
+            fps = batch.column("fp").to_numpy()
+            wide = np.asarray(batch.column("wide").flatten(), "i8").reshape(len(fps), extra)
+            prints = np.column_stack([fps, wide])
+            rows, cells = grid_cells(np.ascontiguousarray(prints[:, at]), groups)
+            data = np.column_stack([batch.column("node").to_numpy(), batch.column("root").to_numpy(), prints])
+            for start in range(0, len(rows), 65536):
+                part = slice(start, start + 65536)
+                yield pa.RecordBatch.from_pydict(
+                    {"cell": pa.array(cells[part].astype("i4"))}
+                    | {n: pa.array(np.ascontiguousarray(c)) for n, c in zip(names, data[rows[part]].T, strict=True)}
+                )
+
+    def hits(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        bits = np.bitwise_count((one[..., 2:] ^ two[..., 2:]).view("u8")).sum(axis=-1, dtype="i4")
+        return (bits <= most) & (one[..., 1] != two[..., 1])
+
+    def out(one: np.ndarray, two: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict(
+            {"a": pa.array(np.minimum(one, two), pa.int64()), "b": pa.array(np.maximum(one, two), pa.int64())}
+        )
+
+    def inside(cells: np.ndarray, data: np.ndarray):
+        """The pairs of whole cells: small ones all at once, large ones row by row."""
+        cuts = np.flatnonzero(np.diff(cells)) + 1
+        begins, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(cells)]])
+        size = ends - begins
+        few = np.repeat(size <= FEW, size)
+        for step in range(1, int(size[size <= FEW].max(initial=0))):
+            i = np.flatnonzero(few[:-step] & (cells[:-step] == cells[step:]))
+            i = i[hits(data[i], data[i + step])]
+            if len(i):
+                yield out(data[i, 0], data[i + step, 0])
+        for start, end in zip(begins[size > FEW].tolist(), ends[size > FEW].tolist(), strict=True):
+            for i in range(start, end - 1):
+                j = i + 1 + np.flatnonzero(hits(data[i][None], data[i + 1 : end]))
+                if len(j):
+                    yield out(np.full(len(j), data[i, 0]), data[j, 0])
+
+    def meet(batches):
+        # The rows of the last cell wait in parts until the cell ends.
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            cells = batch.column("cell").to_numpy()
+            if not len(cells):
+                continue
+            data = np.column_stack([batch.column(n).to_numpy() for n in names])
+            last = int(np.searchsorted(cells, cells[-1]))
+            if waiting and (last or waiting[0][0][0] != cells[0]):
+                parts = [*waiting, (cells[:last], data[:last])]
+                yield from inside(*map(np.concatenate, zip(*parts, strict=True)))
+                waiting = []
+            elif last:
+                yield from inside(cells[:last], data[:last])
+            waiting.append((cells[last:], data[last:]))
+        if waiting:
+            yield from inside(*map(np.concatenate, zip(*waiting, strict=True)))
+
+    columns = ", ".join(f"{n} bigint" for n in names)
+    entered = nodes.select("node", "root", "fp", "wide").mapInArrow(enter, f"cell int, {columns}")
+    met = entered.repartition("cell").sortWithinPartitions("cell").mapInArrow(meet, "a bigint, b bigint")
+    return met.distinct()
+
+
+def similar(edges: DataFrame, nodes: DataFrame, df: DataFrame, words: int) -> DataFrame:
+    """The ``edges`` whose shingle sets have a Jaccard similarity of 0.8 or more.
+
+    Sets are made only of the texts of nodes that have edges, one text for each node.
+    """
+    edges = materialize(edges, "candidate-edges")
+    ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+    wanted = materialize(nodes.join(ends, "node", "left_semi").select("key"), "wanted")
+    keyed = df.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    texts = keyed.join(shared(wanted), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
+    sets = materialize(add_sets(texts, words).select("node", "shingles"), "sets")
+    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    # Jaccard >= 4 / 5 in whole numbers.
+    enough = 5 * both >= 4 * (F.size("x") + F.size("y") - both)
+    return materialize(edges.join(one, "a").join(two, "b").filter(enough).select("a", "b"), "similar")
+
+
+def jaccard_classes(
+    df: DataFrame, words: int = 5, extra: int = 2, groups: int = 3, most: int = 48
+) -> DataFrame:
+    """``doc_id, key, component_id``: documents linked by Jaccard similarity >= 0.8 of their
+    sets of shingles, directly or not; ``key`` is XXH64 of the text.
+
+    Candidates meet in a grid cell of any of the ``1 + extra`` fingerprints and differ in at
+    most ``most`` of all their bits (at a similarity of 0.8 about 29 of 192); the sets decide.
+    A first round over forests of close prints joins large groups; the second takes all pairs
+    of what the first has not joined. Equal sets are one node from the start, and so are
+    texts without words. Ids are treated as in ``near_duplicates``.
+    """
+    rows = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = materialize(
+        add_sets(rows.withColumn("key", F.xxhash64("text")), words, extra).drop("text"), "prints"
+    )
+    # Fingerprints follow from the set, so all rows of a node have the same.
+    nodes = materialize(
+        docs.groupBy("node", "fp", "wide").agg(F.min("doc_id").alias("_least"), F.min("key").alias("key")),
+        "nodes",
+    )
+    sure = similar(links(nodes, 8, groups, 20), nodes, df, words)
+    first = components(sure).withColumnRenamed("node", "_node")
+    rooted = materialize(
+        nodes.join(first, F.col("node") == F.col("_node"), "left").select(
+            "node", "fp", "wide", F.coalesce("root", "node").alias("root")
+        ),
+        "rooted",
+    )
+    parts = [materialize(close_pairs(rooted, at, extra, groups, most), "pairs") for at in range(extra + 1)]
+    pairs = parts[0]
+    for part in parts[1:]:
+        pairs = pairs.unionByName(part)
+    more = similar(pairs.distinct(), nodes, df, words)
+    roots = components(sure.unionByName(more)).withColumnRenamed("node", "_node")
+    named = materialize(
+        nodes.join(roots, F.col("node") == F.col("_node"), "left").select(
+            "node", "_least", F.coalesce("root", "node").alias("_root")
+        ),
+        "named",
+    )
+    least = materialize(named.groupBy("_root").agg(F.min("_least").alias("component_id")), "least")
+    classes = materialize(named.join(least, "_root").select("node", "component_id"), "classes")
+    return docs.join(classes, "node").select("doc_id", "key", "component_id")
+
+
 def as_hex(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 

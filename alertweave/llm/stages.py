@@ -27,12 +27,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, that of the smallest id, of each group of near copies.
 
-    Fingerprints of five-word shingles link at 8 of 64 bits (similarity 0.875), if 128 more
-    bits differ in at most 20 as well (0.84).
+    Near copies have a Jaccard similarity of 0.8 or more between their sets of five-word
+    shingles, or are linked by others that have.
     """
-    classes = simhash.near_duplicates(
-        docs, words=5, most=8, groups=3, extra=2, wide_most=20
-    )
+    classes = simhash.jaccard_classes(docs)
     copies = classes.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(shared(materialize(copies, "copies")), "doc_id", "left_anti").select(*docs.columns)
 

@@ -116,3 +116,19 @@ def test_run_equals_a_plain_pipeline(spark):
     for i, (text, ids) in want.items():
         assert got[i].text == text and got[i].ids == ids
         assert got[i].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_near_dedup_stage_finds_copies_from_similarity_08(corpus, docs):
+    import random
+
+    from test_simhash import _pair, _shingles
+
+    rng = random.Random(5)
+    pairs = [_pair(rng, j) for j in (0.8, 0.85, 0.9) for _ in range(15)]
+    similar = [5 * len(_shingles(a) & _shingles(b)) >= 4 * len(_shingles(a) | _shingles(b)) for a, b in pairs]
+    rows = [(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)]
+    kept = {r.doc_id for r in stages()["SimHash near-dedup"](corpus, docs(rows), SF).collect()}
+    assert {i for i, _ in rows if i % 2 == 0} <= kept
+    lost = [2 * i + 1 not in kept for i in range(len(pairs))]
+    assert sum(lost) <= sum(similar) and not any(x > y for x, y in zip(lost, similar, strict=True))
+    assert sum(lost) >= 0.97 * sum(similar)

@@ -108,3 +108,66 @@ def test_wide_fingerprints_must_agree(docs):
     assert got == {1: 1, 2: 1, 3: 3}
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs(rows), wide_most=0, **kw).collect()}
     assert got[2] == 2
+
+
+def _pair(rng, jaccard, words=400):
+    """Two texts of ``words`` words whose sets of five-word shingles have about this similarity."""
+    a = [f"w{rng.randrange(10**9)}" for _ in range(words)]
+    b, at = a.copy(), 2
+    n = words - 4
+    while True:
+        sa, sb = ({tuple(x[i : i + 5]) for i in range(n)} for x in (a, b))
+        similarity = len(sa & sb) / len(sa | sb)
+        if similarity <= jaccard + 0.012 or at >= words:
+            return " ".join(a), " ".join(b)
+        b[at] = f"x{rng.randrange(10**9)}"
+        at += 5
+
+
+def _shingles(text):
+    w = text.lower().split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def test_near_copies_as_brute_force_jaccard(docs):
+    rng = random.Random(11)
+    rows = []
+    for jaccard in (0.7, 0.78, 0.8, 0.85, 0.9):
+        for _ in range(20):
+            rows += [(len(rows) + i, t) for i, t in enumerate(_pair(rng, jaccard))]
+    # Repeats count once: these sets are far apart or equal, unlike the counts of their shingles.
+    rows += [(1000, "a b c d e " * 300 + rows[0][1]), (1001, "a b c d e " * 300 + rows[2][1])]
+    rows += [(1002, rows[4][1] + " " + rows[4][1]), (1003, " ".join(rows[4][1].split() * 3)), (1004, None), (1005, " ")]
+    sets = {i: _shingles(t or "") for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    true = []
+    for i, x in sets.items():
+        for j, y in sets.items():
+            if i < j and 5 * len(x & y) >= 4 * len(x | y):
+                true.append((i, j))
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    assert len(true) > 50
+    got = {r.doc_id: r.component_id for r in simhash.jaccard_classes(docs(rows)).collect()}
+    assert all(find(got[i]) == find(i) for i in sets)  # nothing links that should not
+    linked = sum(got[i] == got[j] for i, j in true)
+    assert linked / len(true) >= 0.97
+
+
+def test_pairs_of_a_large_cell_in_several_batches(corpus):
+    rng = random.Random(12)
+    fp = simhash._signed(rng.getrandbits(64))
+    rows = [(i, i // 2, fp, [fp ^ (1 << i % 60)]) for i in range(300)]
+    nodes = corpus.createDataFrame(rows, "node bigint, root bigint, fp bigint, wide array<bigint>").coalesce(1)
+    old = corpus.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    corpus.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "70")
+    try:
+        got = {(r.a, r.b) for r in simhash.close_pairs(nodes, 0, 1, 3, 2).collect()}
+        one = {(r.a, r.b) for r in simhash.close_pairs(nodes, 0, 1, 3, 1).collect()}
+    finally:
+        corpus.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got == {(i, j) for i in range(300) for j in range(i + 1, 300) if i // 2 != j // 2}
+    assert one == {(i, j) for i, j in got if i % 60 == j % 60}
