@@ -69,42 +69,51 @@ def frequencies(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count("*").alias("n"))
 
 
+def distinct_texts(tests: DataFrame) -> DataFrame:
+    """(item, words, size): each distinct text of ``items()`` under a number of its own.
+
+    Written once, so the numbers stay; items of one text share it, whatever their ids.
+    """
+    texts = tests.select("words", "size").distinct()
+    return materialize(texts.withColumn("item", F.monotonically_increasing_id()), "item-texts")
+
+
 def anchors(tests: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(term, item_id, at, term2, at2): the two rarest terms of every window of every item.
+    """(term, item, at, term2, at2): the two rarest terms of every window of every text.
 
     Of equally rare terms the first counts. A term that the corpus lacks is rarest of all,
     and its empty list ends the search for that window. Windows of one word have no second.
     """
-    each = tests.select("item_id", "size", F.posexplode("words").alias("at", "term"))
+    each = tests.select("item", "size", F.posexplode("words").alias("at", "term"))
     rated = each.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     starts = F.sequence(
         F.greatest(F.lit(0), F.col("at") - window + 1),
         F.greatest(F.lit(0), F.least(F.col("at"), F.col("size") - window)),
     )
-    by_window = rated.select("item_id", "at", "term", "n", F.explode(starts).alias("start"))
+    by_window = rated.select("item", "at", "term", "n", F.explode(starts).alias("start"))
     # A window has at most ``window`` words, so this list is short.
-    ranked = by_window.groupBy("item_id", "start").agg(
+    ranked = by_window.groupBy("item", "start").agg(
         F.array_sort(F.collect_list(F.struct("n", "at", "term"))).alias("r")
     )
     one, two = F.get("r", F.lit(0)), F.get("r", F.lit(1))
     return ranked.select(
-        one["term"].alias("term"), "item_id", one["at"].alias("at"),
+        one["term"].alias("term"), "item", one["at"].alias("at"),
         two["term"].alias("term2"), two["at"].alias("at2"),
     ).distinct()
 
 
 def phrases(index: DataFrame, tests: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, item_id, pos): document words inside an occurrence of a window of an item.
+    """(doc_id, item, pos): document words inside an occurrence of a window of a text.
 
-    ``tests`` are ``items()``. A word is given once for each item. Null ids are one document.
+    ``tests`` are ``distinct_texts()``. A word is given once for each text. Null ids are one
+    document.
     """
-    tests = materialize(tests, "items")
     counts = materialize(frequencies(index), "frequencies")
     found = materialize(anchors(tests, counts, window), "anchors")
     # Where an item would begin in a document, by the rarest term of one of its windows ...
     begin = F.col("pos") - F.col("at")
     first = index.join(shared(found), "term").select(
-        "doc_id", "item_id", begin.alias("begin"), "term2", (begin + F.col("at2")).alias("pos2")
+        "doc_id", "item", begin.alias("begin"), "term2", (begin + F.col("at2")).alias("pos2")
     )
     first = materialize(first.distinct(), "first-lists")
     # ... and by the second rarest, whose list must have a posting at the place it gives.
@@ -116,11 +125,11 @@ def phrases(index: DataFrame, tests: DataFrame, window: int = WINDOW) -> DataFra
         & (F.col("term2") == F.col("term")),
         "left_semi",
     )
-    line = ["doc_id", "item_id", "begin"]
+    line = ["doc_id", "item", "begin"]
     lines = met.select(*line).unionByName(first.filter("term2 is null").select(*line)).distinct()
     lines = materialize(lines, "candidates")
     # The lists of all terms of the item, adjusted by their offsets, against each candidate.
-    wanted = lines.join(shared(tests), "item_id").select(
+    wanted = lines.join(shared(tests), "item").select(
         *line, "size", F.posexplode("words").alias("at", "term")
     ).withColumn("at_pos", F.col("begin") + F.col("at"))
     ids = materialize(lines.select("doc_id").distinct(), "candidate-ids")
@@ -139,7 +148,7 @@ def phrases(index: DataFrame, tests: DataFrame, window: int = WINDOW) -> DataFra
         "length", F.count("*").over(Window.partitionBy(*line, "run"))
     )
     hits = runs.filter(F.col("length") >= F.least(F.col("size"), F.lit(window)))
-    return hits.select("doc_id", "item_id", F.col("at_pos").alias("pos")).distinct()
+    return hits.select("doc_id", "item", F.col("at_pos").alias("pos")).distinct()
 
 
 def near(index: DataFrame, queries: DataFrame, within: int) -> DataFrame:
@@ -173,9 +182,9 @@ def vocabulary(tests: DataFrame) -> DataFrame:
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The distinct ``doc_id`` of documents in which a window occurs."""
-    tests = items(benchmark)
-    index = build_index(documents.select("doc_id", "text"), vocabulary(tests))
-    return phrases(index, tests, window).select("doc_id").distinct()
+    texts = distinct_texts(items(benchmark))
+    index = build_index(documents.select("doc_id", "text"), vocabulary(texts))
+    return phrases(index, texts, window).select("doc_id").distinct()
 
 
 def report(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -183,14 +192,23 @@ def report(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
 
     Rows with equal ids count as one document: its words are those of the longest row and its
     hits those of all. Null and empty texts have no words; items without words never occur.
+    An item counts once, however many rows and texts it has; a null ``item_id`` counts as one
+    item and has no part in the digest.
     """
     tests = items(benchmark)
-    index = build_index(documents.select("doc_id", "text"), vocabulary(tests))
-    hits = phrases(index, tests, window)
-    item_ids = F.array_sort(F.collect_set(F.col("item_id").cast("string")))
-    by_doc = hits.groupBy("doc_id").agg(
-        F.count_distinct("pos").alias("n_hit"), item_ids.alias("item_ids")
-    ).withColumnRenamed("doc_id", "_id")
+    texts = distinct_texts(tests)
+    index = build_index(documents.select("doc_id", "text"), vocabulary(texts))
+    hits = materialize(phrases(index, texts, window), "hits")
+    ids = materialize(
+        tests.join(texts, "words").select("item", F.col("item_id").cast("string").alias("item_id")).distinct(),
+        "item-ids",
+    )
+    held = hits.select("doc_id", "item").distinct().join(shared(ids), "item").groupBy("doc_id").agg(
+        F.array_sort(F.collect_set("item_id")).alias("item_ids"),
+        F.max(F.col("item_id").isNull().cast("int")).alias("n_null"),
+    ).withColumnRenamed("doc_id", "_held")
+    words_hit = hits.groupBy("doc_id").agg(F.count_distinct("pos").alias("n_hit"))
+    by_doc = words_hit.withColumnRenamed("doc_id", "_id").join(held, F.col("_id").eqNullSafe(F.col("_held")))
     ends = index.filter("term = ''").groupBy("doc_id").agg(F.max("pos").alias("n_words"))
     none = F.array().cast("array<string>")
     rows = ends.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id")), "left").withColumn(
@@ -200,7 +218,7 @@ def report(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
         "doc_id",
         F.col("n_words").cast("bigint").alias("n_words"),
         F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
-        F.size("item_ids").cast("bigint").alias("n_items"),
+        (F.size("item_ids") + F.coalesce("n_null", F.lit(0))).cast("bigint").alias("n_items"),
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )

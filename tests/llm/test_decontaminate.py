@@ -89,3 +89,19 @@ def test_no_python_in_the_plan(docs, corpus):
     df = dec.report(docs([(1, "a b")]), corpus.createDataFrame([(1, "a")], ITEM))
     text = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in text and "Arrow" not in text and "Cartesian" not in text
+
+
+def test_repeated_varied_and_null_item_ids(docs, corpus):
+    text = "one two three four five six seven eight nine ten eleven"
+    items = [(1, text), (1, text), (2, text), (3, "red green blue"), (3, "red green blue"), (3, "red black blue"),
+             (None, "sun moon star"), (None, "sun moon star"), (None, "only here"), (4, "sun moon star"), (5, "a b c d")]
+    rows = [(1, "x " + text + " y"), (2, "red green blue z"), (3, "red black blue z"), (4, "red green blue red black blue"),
+            (5, "sun moon star"), (6, "only here"), (7, "red moon star"), (8, "a b c d and a b c d"), (None, "only here")]
+    want = brute(rows, items)
+    # A null item counts, and is no part of the digest.
+    null = lambda t: hashlib.sha256(t).hexdigest()
+    want[5], want[6] = (3, 3, 2, null(b"4"), True), (2, 2, 1, null(b""), True)
+    want[None] = want[6]
+    assert result(docs(rows), corpus.createDataFrame(items, ITEM)) == want
+    hit = dec.contaminated(docs(rows), corpus.createDataFrame(items, ITEM))
+    assert {r.doc_id for r in hit.collect()} == {1, 2, 3, 4, 5, 6, 8, None}
