@@ -8,7 +8,7 @@ words nearby raise or lower. Offsets count code points; ends are exclusive.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,6 +31,18 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b")
+#: Length by country in the IBAN registry.
+_IBAN_SIZES = {
+    country: size
+    for size, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+        21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC",
+        32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
 #: Score of a confirmed span without context, and what a word nearby adds or takes.
@@ -104,18 +116,33 @@ def phones(text: str) -> Iterator[tuple[int, int]]:
             yield start, end
 
 
-def ibans(text: str) -> Iterator[tuple[int, int]]:
-    for start, end in _found(_IBAN, text):
+def _ibans(text: str, at: int, to: int, sizes: Callable[[str], Iterable[int]]) -> Iterator[tuple[int, int]]:
+    """A proposal may run on into the next account, so the search goes on behind what was
+    confirmed of it, or behind its first letter if nothing was.
+    """
+    while proposal := _IBAN.search(text, at, to):
+        start, end = proposal.span()
         code = text[start:end].replace(" ", "")
-        # A word in capitals may follow; the longest confirmed form counts.
-        for size in range(min(34, len(code)), 14, -1):
-            if mod97(code[:size]):
-                stop, seen = start, 0
-                while seen < size:
-                    seen += text[stop] != " "
-                    stop += 1
-                yield start, stop
-                break
+        size = next((n for n in sizes(code) if n <= len(code) and mod97(code[:n])), 0)
+        stop, seen = start, 0
+        while seen < size:
+            seen += text[stop] != " "
+            stop += 1
+        if size:
+            yield start, stop
+        at = max(stop, start + 1)
+
+
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """First the accounts of their country's length; between them the longest confirmed forms,
+    as words in capitals may follow."""
+    at = 0
+    listed = _ibans(text, 0, len(text), lambda code: [_IBAN_SIZES[code[:2]]] if code[:2] in _IBAN_SIZES else [])
+    for start, stop in [*listed, (len(text), len(text))]:
+        yield from _ibans(text, at, start, lambda code: range(min(34, len(code)), 14, -1))
+        if start < stop:
+            yield start, stop
+        at = stop
 
 
 def ssns(text: str) -> Iterator[tuple[int, int]]:

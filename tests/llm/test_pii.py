@@ -76,3 +76,14 @@ def test_frame(docs):
     df = pii.find_pii(docs([(1, "mail a@b.co or +1 415 555 2671!"), (2, "none")]))
     texts = [r[0] for r in df.orderBy("doc_id").select(pii.redact(df.text, df.spans)).collect()]
     assert texts == ["mail [email] or [phone]!", "none"]
+
+
+def test_ibans_one_after_another():
+    spaced = ["GB29 NWBK 6016 1331 9268 19", "DE89 3704 0044 0532 0130 00", "FR14 2004 1010 0505 0001 3M02 606"]
+    found = lambda t: [t[a:b] for a, b in pii.ibans(t)]
+    for one in spaced:
+        for two in spaced:
+            assert found(f"{one} {two}") == [one, two]
+            assert found(f"AB12 CODE {one} {two} XY34 {one}") == [one, two, one]
+    assert found("AB12 CODE 34 WORDS IN CAPITALS 77 ONLY") == []
+    assert found(" ".join(spaced * 2000)) == spaced * 2000
