@@ -389,8 +389,9 @@ def similar(edges: DataFrame, nodes: DataFrame, df: DataFrame, words: int) -> Da
 def jaccard_classes(
     df: DataFrame, words: int = 5, extra: int = 2, groups: int = 3, most: int = 48
 ) -> DataFrame:
-    """``doc_id, key, component_id``: documents linked by Jaccard similarity >= 0.8 of their
-    sets of shingles, directly or not; ``key`` is XXH64 of the text.
+    """``doc_id, key, component_id, first``: documents linked by Jaccard similarity >= 0.8 of their
+    sets of shingles, directly or not; ``key`` is XXH64 of the text. ``first`` is the
+    smallest (doc_id is null, doc_id, key) of the component.
 
     Candidates meet in a grid cell of any of the ``1 + extra`` fingerprints and differ in at
     most ``most`` of all their bits (at a similarity of 0.8 about 29 of 192); the sets decide.
@@ -404,7 +405,8 @@ def jaccard_classes(
     )
     # Fingerprints follow from the set, so all rows of a node have the same.
     nodes = materialize(
-        docs.groupBy("node", "fp", "wide").agg(F.min("doc_id").alias("_least"), F.min("key").alias("key")),
+        docs.groupBy("node", "fp", "wide").agg(F.min("key").alias("key"),
+            F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("_least"),),
         "nodes",
     )
     sure = similar(links(nodes, 8, groups, 20), nodes, df, words)
@@ -427,9 +429,11 @@ def jaccard_classes(
         ),
         "named",
     )
-    least = materialize(named.groupBy("_root").agg(F.min("_least").alias("component_id")), "least")
-    classes = materialize(named.join(least, "_root").select("node", "component_id"), "classes")
-    return docs.join(classes, "node").select("doc_id", "key", "component_id")
+    least = materialize(named.groupBy("_root").agg(F.min("_least").alias("first")), "least")
+    classes = materialize(named.join(least, "_root").select("node", "first"), "classes")
+    return docs.join(classes, "node").select(
+        "doc_id", "key", F.col("first.doc_id").alias("component_id"), "first"
+    )
 
 
 def as_hex(fp: Column) -> Column:

@@ -25,14 +25,28 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, that of the smallest id, of each group of near copies.
+    """Keep one row, that of the smallest id, of each group of near copies.
 
     Near copies have a Jaccard similarity of 0.8 or more between their sets of five-word
-    shingles, or are linked by others that have.
+    shingles, or are linked by others that have. Rows without an id come after all others, and
+    of rows with the same id that of the smallest XXH64 of the text stays; if id and text are
+    repeated, the smallest row. So a group without any id keeps one row too.
     """
-    classes = simhash.jaccard_classes(docs)
-    copies = classes.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(shared(materialize(copies, "copies")), "doc_id", "left_anti").select(*docs.columns)
+    names = docs.columns
+    classes = materialize(simhash.jaccard_classes(docs), "near-copies")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
+    copies = materialize(classes.filter(~stays).select("doc_id", "key").distinct(), "copies")
+    twice = classes.filter(stays).groupBy("doc_id", "key").count().filter("count > 1").select("doc_id", "key")
+    twice = shared(materialize(twice, "repeated"))
+    same = lambda other: F.col("d.doc_id").eqNullSafe(other["doc_id"]) & (F.col("d._key") == other["key"])
+    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit("")))).alias("d")
+    copies = shared(copies)
+    kept = keyed.join(copies, same(copies), "left_anti").alias("d")
+    once = kept.join(twice, same(twice), "left_anti").select(*names)
+    one = kept.join(twice, same(twice), "left_semi").groupBy("doc_id", "_key").agg(
+        F.min(F.struct(*names)).alias("row")
+    )
+    return once.unionByName(one.select("row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -132,3 +132,12 @@ def test_near_dedup_stage_finds_copies_from_similarity_08(corpus, docs):
     lost = [2 * i + 1 not in kept for i in range(len(pairs))]
     assert sum(lost) <= sum(similar) and not any(x > y for x, y in zip(lost, similar, strict=True))
     assert sum(lost) >= 0.97 * sum(similar)
+
+
+def test_near_dedup_stage_with_repeated_and_null_ids(corpus, docs):
+    text = lambda k, n=60: " ".join(f"{k}{i}" for i in range(n))
+    rows = [(1, text("a")), (1, text("a")), (2, text("a", 61)), (None, text("b")), (None, text("b")), (None, text("b", 61)),
+            (None, text("c")), (9, text("c")), (2, text("d")), (5, text("e")), (5, text("e", 61))]
+    got = [(r.doc_id, r.text) for r in stages()["SimHash near-dedup"](corpus, docs(rows), SF).collect()]
+    firsts = sorted((str(i), t.split()[0]) for i, t in got)
+    assert firsts == [("1", "a0"), ("2", "d0"), ("5", "e0"), ("9", "c0"), ("None", "b0")]
