@@ -116,8 +116,8 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE,
 
     The sample's ids are bounded (``per_language`` for each language), so they are broadcast,
     and what the driver gets is n-gram numbers below ``SIZE`` of the landmarks and one kernel
-    row per sampled text. None if nothing can be learned from. Ties and repeated ids do no
-    harm: a repeated id gives more than one training text.
+    row per sampled text. None if nothing can be learned from. Rows of the same id and
+    language give one training text, the smallest with letters, so the bound holds for rows too.
     """
     usable = labelled.select("doc_id", "text", "lang").dropna()
     ids = training_sample(usable.select("doc_id", "lang"), per_language).collect()
@@ -183,7 +183,9 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE,
 
 def _rows_of(usable: DataFrame, ids: list[tuple[int, str]]) -> DataFrame:
     wanted = usable.sparkSession.createDataFrame(ids, "doc_id bigint, lang string")
-    return usable.join(F.broadcast(wanted), ["doc_id", "lang"], "left_semi")
+    rows = usable.join(F.broadcast(wanted), ["doc_id", "lang"], "left_semi")
+    least = F.min(F.struct(~F.rlike("text", F.lit(r"\p{L}")), "text"))
+    return rows.groupBy("doc_id", "lang").agg(least["text"].alias("text"))
 
 
 def _alphabet(rows: DataFrame) -> str:

@@ -72,3 +72,11 @@ def test_kernel_is_the_blended_spectrum():
 
     assert len(a & b) == len(plain("ab c") & plain("abX,  b")) and len(a) == len(plain("ab c"))
     assert grams.of("").tolist() == []
+
+
+def test_a_repeated_id_gives_one_training_row(corpus):
+    rows = [(1, f"the same id again {i % 7}", "en") for i in range(500)] + [(1, "...", "en"), (1, "noch ein text", "de")]
+    df = corpus.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = sorted((r.lang, r.doc_id, r.text) for r in language_id._rows_of(df, [(1, "en"), (1, "de")]).collect())
+    assert got == [("de", 1, "noch ein text"), ("en", 1, "the same id again 0")]
+    assert language_id.fit(df).marks.shape[1] == 2
