@@ -7,7 +7,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, iblt, language_id, line_dedup, pii, quality, simhash, token_counts, warc
+from . import (
+    bpe,
+    decontaminate,
+    iblt,
+    language_id,
+    line_dedup,
+    pii,
+    quality,
+    simhash,
+    spelling,
+    token_counts,
+    warc,
+)
 from .common import prepare, shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +94,8 @@ def op9_pii(spark, sf_dir):
 @query
 def op10_quality(spark, sf_dir):
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op11_spelling_variants(spark, sf_dir):
+    return spelling.report(table(spark, sf_dir, "documents"))
