@@ -54,6 +54,11 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/corpus-{spark.sparkContext.applicationId}"
 
 
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

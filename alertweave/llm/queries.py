@@ -15,10 +15,12 @@ from . import (
     line_dedup,
     pii,
     quality,
+    secrets,
     simhash,
     spelling,
     token_counts,
     warc,
+    whitening,
 )
 from .common import prepare, shared_folder, table
 
@@ -99,3 +101,18 @@ def op10_quality(spark, sf_dir):
 @query
 def op11_spelling_variants(spark, sf_dir):
     return spelling.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_secret_scan(spark, sf_dir):
+    """A new ledger for each call, so each call scans every distinct text."""
+    ledger = f"{shared_folder(spark)}/blob-ledger-{uuid.uuid4().hex}"
+    return secrets.report(table(spark, sf_dir, "documents"), ledger)
+
+
+ORACLE["op12_secret_scan"] = secrets.ORACLE
+
+
+@query
+def op13_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
