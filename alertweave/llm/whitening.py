@@ -33,8 +33,11 @@ SPARE = 16
 SCALE, SHIFT = 64, 1_000_000
 #: Rows in a block.
 BLOCK = 4096
-#: Residual of an eigenpair over the largest eigenvalue, and the most rounds to reach it.
+#: Residual of an eigenpair over its eigenvalue, and the most rounds to reach it.
 TOLERANCE, ROUNDS = 1e-13, 40
+#: Share of the largest eigenvalue that a residual is measured against at least: products carry
+#: rounding errors in proportion to the largest.
+FLOOR = 1e-4
 #: The least that counts as certified when rounding stops the progress.
 CERTIFIED = 1e-9
 FIRST_DEGREE, MOST_DEGREE = 10, 40
@@ -199,7 +202,7 @@ def eigenpairs(
     product: Callable[[np.ndarray], np.ndarray], dims: int, wanted: int, spare: int = SPARE, seed: int = 11
 ) -> tuple[np.ndarray, np.ndarray, float]:
     """The ``wanted`` largest eigenvalues of a covariance, their unit vectors as columns, and
-    the largest residual over the largest eigenvalue.
+    the largest residual over the eigenvalue (or ``FLOOR`` of the largest).
 
     ``product`` multiplies the covariance with columns. Fewer pairs come back if its rank, as far as
     rounding tells, is less. Vectors of equal eigenvalues are any basis of their space.
@@ -216,7 +219,8 @@ def eigenpairs(
         q, image = q @ turnings, image @ turnings
         top = max(values[0], 0.0)
         residual = np.linalg.norm(image - q * values, axis=0)[:wanted]
-        error = float(residual.max() / top) if top else 0.0
+        errors = residual / np.maximum(values[:wanted], FLOOR * top) if top else np.zeros(wanted)
+        error = float(errors.max())
         stalled = 0 if best is None or error < best[2] / 2 else stalled + 1
         if best is None or error < best[2]:
             best = values[:wanted].copy(), q[:, :wanted].copy(), error
@@ -224,14 +228,32 @@ def eigenpairs(
             break
         if stalled >= 4:  # the lower bound may have been none
             low, stalled = 0.0, 0
+        # Leading pairs that are certified stay as they are and out of the filter, whose degree
+        # the largest of them would keep low.
+        done = int(np.argmax(errors > TOLERANCE))
+        still, moving = q[:, :done], q[:, done:]
+
+        def beside(block: np.ndarray) -> np.ndarray:
+            return block - still @ (still.T @ block)  # noqa: B023 - used in this turn only
+
+        ask = lanczos if turn == 0 else product
         high = max(float(values[-1]), top * 1e-12)
         low = min(low, high * 0.999)
-        reach = [np.arccosh(max(1.0, 2 * (v - low) / (high - low) - 1)) for v in (top, values[wanted - 1])]
+        reach = [np.arccosh(max(1.0, 2 * (v - low) / (high - low) - 1)) for v in (values[done], values[wanted - 1])]
         widest = int(np.log(SPREAD) / max(reach[0] - reach[1], 1e-3))
         degree = FIRST_DEGREE if turn == 0 else max(2, min(MOST_DEGREE, widest))
-        q = filtered(lanczos if turn == 0 else product, q, image, low, high, max(top, high * 1.001), degree)
-        q = np.linalg.qr(q)[0]
-        image = product(q)
+        middle = (low + high) / 2
+
+        def damped(block: np.ndarray) -> np.ndarray:
+            # For the filter, what is certified has the eigenvalue that it damps most.
+            return beside(ask(block)) + middle * (block - beside(block))  # noqa: B023
+
+        moving = filtered(
+            damped, moving, beside(image[:, done:]), low, high,
+            max(float(values[done]), high * 1.001), degree,
+        )
+        moving = np.linalg.qr(beside(np.linalg.qr(beside(moving))[0]))[0]
+        q, image = np.column_stack([still, moving]), np.column_stack([image[:, :done], product(moving)])
         if turn == 0:
             low = lanczos.lower_bound()
     values, vectors, error = best
