@@ -24,10 +24,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def events(spark: SparkSession, sf: str) -> DataFrame:
-    """The events by hash of their id: the fixture's file may be one split, alerts are CPU work."""
+def events(spark: SparkSession, sf: str, tasks: int | None = None) -> DataFrame:
+    """The events by hash of their id: the fixture's file may be one split, alerts are CPU work.
+
+    ``tasks`` (one for each core if not given) is explicit, so adaptive execution, which sees
+    few bytes, does not join the partitions again.
+    """
     e = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type")
-    return e.repartition("event_id")
+    return e.repartition(tasks or max(2, spark.sparkContext.defaultParallelism), "event_id")
 
 
 def _text(c: Column) -> Column:

@@ -563,7 +563,7 @@ ap AS (SELECT p.* REPLACE (CASE WHEN p.status='PendingApproval' AND p.action_id
 SELECT 'Orchestrator' AS component, 'PullFailed' AS event_type, 'Failed to pull alerts: timeout '||event_id AS message,
   CASE WHEN event_id%2=0 THEN CAST(event_id AS VARCHAR) ELSE '' END AS cursor,
   CASE WHEN event_id%3=0 THEN strftime(ts,'%Y-%m-%dT%H:%M:%S.%f')||'Z' ELSE '' END AS since_utc
-FROM events WHERE event_type='error'"""
+FROM events"""
     q["audit_ids"] = """
 SELECT event_id AS event_no, CASE WHEN event_id%3=1 THEN 'e'||event_id ELSE substr(sha256('entry:c'||user_id||
   ':2024-02-01 00:00:00:Execution:'||CASE event_type WHEN 'error' THEN 'ActionResult' WHEN 'purchase' THEN 'actionresult' ELSE 'Note' END||

@@ -13,6 +13,7 @@ from ..functions.staging import pin
 from ..functions.text import non_blank, parse_instant
 from ..operators.ordered import with_position
 from ..operators.policy import PolicyConfig
+from . import csv_records, json_ranges
 
 
 # --- S-5 / U-1 -------------------------------------------------------------------
@@ -42,48 +43,85 @@ def parse_log_files(files: DataFrame) -> DataFrame:
             F.when(scalar, F.lit("Log file must contain a JSON object or array.")),
         )
         .select("path", "_file_error", F.posexplode(documents).alias("pos", "document"))
-        .withColumn(
-            "error",
-            F.coalesce(
-                "_file_error",
-                F.when(single_value("document").isNull(), F.lit("Line is not valid JSON.")),
-            ),
-        )
+        .withColumn("error", F.coalesce("_file_error", _line_error()))
         .drop("_file_error")
     )
 
 
+def _line_error() -> Column:
+    return F.when(single_value(F.col("document")).isNull(), F.lit("Line is not valid JSON."))
+
+
+#: Size from which ``read_logs`` looks into a file by ranges.
+LARGE_FILE = 64 << 20
+
+
 def read_logs(
-    spark: SparkSession, paths: str | list[str], layout: str = "auto"
+    spark: SparkSession, paths: str | list[str], layout: str = "auto", large: int = LARGE_FILE
 ) -> DataFrame:
     """JSON logs as ``path, pos, document, error``, files in sorted order.
 
-    ``auto`` looks at each file as a whole, like the tolerant loader does. ``lines`` is for
-    large JSON-lines inputs: splittable, ``pos`` orders lines within a file by offset block.
+    ``auto`` tells an object, an array and lines apart like the tolerant loader does: small
+    files as whole rows, files of ``large`` bytes or more by ranges, where an array is cut into its elements
+    and lines stay lines, each in as many tasks as the file has splits. In large files of lines,
+    and with ``lines``, ``pos`` orders lines within a file by offset block.
     """
     if layout == "lines":
-        return (
-            spark.read.text(paths)
-            .select(
-                F.col("_metadata.file_path").alias("path"),
-                (
-                    F.col("_metadata.file_block_start") * F.lit(1 << 20)
-                    + F.monotonically_increasing_id() % F.lit(1 << 33)
-                ).alias("pos"),
-                F.col("value").alias("document"),
-            )
-            .filter(non_blank("document"))
-            .withColumn(
-                "error",
-                F.when(
-                    single_value(F.col("document")).isNull(), F.lit("Line is not valid JSON.")
-                ),
-            )
+        return _log_lines(spark.read.text(paths))
+    size = F.col("_metadata.file_size")
+    files = spark.read.text(paths, wholetext=True).filter(size < large)
+    small = parse_log_files(files.select(F.col("_metadata.file_path").alias("path"), "value"))
+    listed = spark.read.format("binaryFile").load(paths).select("path", "length")
+    big = [r.path for r in listed.filter(F.col("length") >= large).select("path").collect()]
+    return small.unionByName(_large_logs(spark, big)) if big else small
+
+
+def _log_lines(lines: DataFrame) -> DataFrame:
+    return (
+        lines.select(
+            F.col("_metadata.file_path").alias("path"),
+            (
+                F.col("_metadata.file_block_start") * F.lit(1 << 20)
+                + F.monotonically_increasing_id() % F.lit(1 << 33)
+            ).alias("pos"),
+            F.col("value").alias("document"),
         )
-    files = spark.read.text(paths, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"), "value"
+        .filter(non_blank("document"))
+        .withColumn("error", _line_error())
     )
-    return parse_log_files(files)
+
+
+def _large_logs(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Large files by what their structure and then their elements show them to be."""
+    pieces = json_ranges.split_pieces(spark, paths)
+    starts, shapes = json_ranges.fold(json_ranges.summaries(pieces))
+    arrays = {p: f for p, f in shapes.items() if f.single and f.first == "["}
+    objects = [p for p, f in shapes.items() if f.single and f.first == "{"]
+    of = lambda reader, chosen: reader.filter(F.col("_metadata.file_path").isin(list(chosen)))
+    found = None
+    if arrays:
+        mine = pieces.filter(F.col("path").isin(list(arrays)))
+        every = json_ranges.elements(mine, starts, arrays)
+        # An element as the array's parser gives it: compact JSON, or the text of a string.
+        parsed = F.from_json(F.concat(F.lit("["), "value", F.lit("]")), "array<string>")
+        value = F.concat(F.lit("["), "value", F.lit("]"))
+        bad = every.filter(single_value(value).isNull() | (F.size(parsed) != 1))
+        broken = [r.path for r in bad.select("path").distinct().collect()]
+        arrays = {p: f for p, f in arrays.items() if p not in broken}
+        found = every.filter(F.col("path").isin(list(arrays))).select(
+            "path", F.col("pos").cast("bigint").alias("pos"), F.get(parsed, F.lit(0)).alias("document")
+        ).withColumn("error", _line_error())
+    rest = [p for p in shapes if p not in arrays and p not in objects]
+    parts = [found] if found is not None else []
+    if objects:
+        files = of(spark.read.text(paths, wholetext=True), objects)
+        parts.append(parse_log_files(files.select(F.col("_metadata.file_path").alias("path"), "value")))
+    if rest:
+        parts.append(_log_lines(of(spark.read.text(paths), rest)))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 # --- S-6 -------------------------------------------------------------------------
@@ -221,16 +259,10 @@ def read_dataset(
 ) -> DataFrame:
     """All-string CSV with a header and quoted multi-line values; empty stays empty text.
 
-    ``row_order`` names a sortable column with the file order of the rows.
+    A file is read by as many tasks as it has splits. ``row_order`` names a sortable column
+    with the file order of the rows.
     """
-    df = spark.read.csv(
-        path, header=True, multiLine=True, escape='"', quote='"', inferSchema=False,
-        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
-    )
-    columns = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns]
-    if row_order is not None:
-        columns.append(file_order().alias(row_order))
-    return df.select(*columns)
+    return csv_records.read_records(spark, path, row_order)
 
 
 # --- S-10 ------------------------------------------------------------------------

@@ -14,7 +14,8 @@ from ..functions.staging import ship
 from ..functions.text import empty_to_null
 from ..operators import dataset as D
 from ..operators.heuristics import parse_rows
-from .triage import other_batches, write_batch
+from .known import KnownIds, append_new
+from .triage import batch_folder, write_batch
 
 ship(__name__)
 
@@ -86,13 +87,18 @@ def append_batch(
 ) -> None:
     """Append the rows of one micro-batch that are new to the stored table.
 
-    The signature is stored next to the row, so the check reads one column of the store.
+    The signatures of the table are kept in hash buckets next to it (``known``): the batch reads
+    those of its own rows, not the table.
     """
     spark = rows.sparkSession
     fresh = D.deduplicate(rows, unique_fields, order_by)
     signed = fresh.withColumn("_sig", D.signature(fresh, unique_fields))
-    seen = other_batches(spark, root, "dataset", batch_id, signed).select("_sig")
-    write_batch(signed.join(seen, "_sig", "left_anti"), root, "dataset", batch_id)
+
+    def write(new: DataFrame) -> DataFrame:
+        write_batch(new, root, "dataset", batch_id)
+        return spark.read.schema(signed.schema).parquet(batch_folder(root, "dataset", batch_id))
+
+    append_new(signed, F.col("_sig"), batch_id, KnownIds(spark, f"{root}/dataset-known"), write)
 
 
 def append_stream(

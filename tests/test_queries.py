@@ -45,3 +45,13 @@ def test_chain_does_not_shuffle_alerts(spark):
     narrow = Triage().executed(Triage().normalized(raw).filter("reject_reason is null"), X.now())
     # The only exchange is the one that spreads the single-file fixture.
     assert _plan(narrow).count("Exchange") <= 1
+
+
+def test_alerts_are_dealt_over_all_cores(spark):
+    from alertweave.plans import fixtures as X
+
+    alerts = X.alerts(spark, SF)
+    tasks = alerts.selectExpr("spark_partition_id() AS p").groupBy("p").count().collect()
+    assert len(tasks) == spark.sparkContext.defaultParallelism
+    five = X.events(spark, SF, 5).selectExpr("spark_partition_id() AS p").distinct()
+    assert five.count() == 5
