@@ -12,15 +12,20 @@ The texts are cut by the tokenizer's pattern first, and each match is encoded on
 from __future__ import annotations
 
 import base64
+import gc
+import hashlib
 import re
+import sys
+import threading
+import time
+import types
 from collections.abc import Callable
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from ..functions.staging import ship
 from .common import add_columns, texts_of
@@ -30,8 +35,8 @@ ship(__name__)
 NONE = -1
 #: A space is surely the start of a match if no white space stands beside it.
 _UNSURE = re.compile(r" \s|\s ")
-#: Words and prefixes kept per task; a store starts anew beyond it. It never changes a result.
-REMEMBERED = 400_000
+#: Words, prefixes and pairs of tokens kept in a Python process, by store; they never change a result.
+REMEMBERED = 300_000
 #: Tokens that are decoded at once.
 SLICE = 1 << 16
 #: Longest prefix, in bytes, that is kept for other words.
@@ -81,6 +86,8 @@ class Bpe:
         key = (a + 1) << 32 | b
         known = self._pairs.get(key)
         if known is None:
+            if len(self._pairs) >= REMEMBERED:
+                self._pairs.clear()
             left = [a] if a != NONE else []
             data = b"".join(self.bytes_of[t] for t in [*left, b])
             known = self._pairs[key] = self.merged(data) == [*left, b]
@@ -130,8 +137,7 @@ class Bpe:
     def encode_piece(self, data: bytes) -> list[int]:
         """One match of the pattern; a match that is a token itself is that token.
 
-        The last tokens of short prefixes are kept, so a word is computed from where it
-        leaves all words before it.
+        The last tokens of short prefixes are kept, for this word and those that begin like it.
         """
         whole = self.ranks.get(data)
         if whole is not None:
@@ -140,45 +146,50 @@ class Bpe:
             return self.tokens(self.append(Prefixes(), data))
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        known, ends, pairs = self.known, self._ends, self._pairs
-        known[b""] = NONE
-        at = len(data)
-        while data[:at] not in known:
-            at -= 1
-        for end in range(at + 1, len(data) + 1):
-            found = []
-            for start in range(end - 1, -1, -1):
-                token = ends.get(data[start:end])
-                if token is None:
-                    break
-                if token >= 0:
-                    found.append((start, token))
-            for start, token in reversed(found):
-                before = known[data[:start]]
-                fits = pairs.get((before + 1) << 32 | token)
-                if fits or (fits is None and self.may_follow(before, token)):
-                    known[data[:end]] = token
-                    break
-            else:
-                raise ValueError(f"no token for byte {data[end - 1]}")
-        out, at = [], len(data)
-        while at:
-            token = known[data[:at]]
+        out = []
+        while data:
+            token = self.last_of(data)
             out.append(token)
-            at -= self.length_of[token]
+            data = data[: -self.length_of[token]]
         return out[::-1]
 
+    def last_of(self, data: bytes) -> int:
+        """Last token of a short prefix. It is kept, and so are those of the shorter prefixes
+        that it follows; prefixes that no token leads to are not asked for."""
+        known, ends, pairs = self.known, self._ends, self._pairs
+        if data in known:
+            return known[data]
+        found = []
+        for start in range(len(data) - 1, -1, -1):
+            token = ends.get(data[start:])
+            if token is None:  # no longer token ends here
+                break
+            if token >= 0:
+                found.append((start, token))
+        for start, token in reversed(found):
+            before = self.last_of(data[:start]) if start else NONE
+            fits = pairs.get((before + 1) << 32 | token)
+            if fits or (fits is None and self.may_follow(before, token)):
+                known[data] = token
+                return token
+        raise ValueError(f"no token for byte {data[-1]}")
+
 
 class _Remembered(dict):
-    """Values of a function by key, up to a number of keys."""
+    """Values of a function by key: up to ``most`` new keys and as many that came before them.
+
+    When the new ones are full they become the old ones; what is asked for again is new again.
+    """
 
     def __init__(self, fn: Callable, most: int):
-        self.fn, self.most = fn, most
+        self.fn, self.most, self.old = fn, most, {}
 
     def __missing__(self, key):
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.fn(key)
+        value = self.old.get(key)
+        value = self[key] = self.fn(key) if value is None else value
         return value
 
 
@@ -192,7 +203,7 @@ class TextEncoder:
         self.bpe = bpe
         self.packed = {t: t.to_bytes(4, "little") for t in bpe.bytes_of}
         self.mark = {m: self._plain(m) for m in ".,"}
-        self.after_space = _Remembered(self._after_space, REMEMBERED)
+        self.after_space = _Remembered(self._after_space, REMEMBERED // 2)
 
     def _piece(self, piece: str) -> bytes:
         return b"".join([self.packed[t] for t in self.bpe.encode_piece(piece.encode())])
@@ -214,6 +225,91 @@ class TextEncoder:
         return self._plain(first) + b"".join(map(self.after_space.__getitem__, rest))
 
 
+class Decoder:
+    """The bytes of ids, by one table of all tokens."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        ordered = sorted((t, data) for data, t in ranks.items())
+        self.flat = np.frombuffer(b"".join(data for _, data in ordered), "u1")
+        self.length = np.zeros(ordered[-1][0] + 1 if ordered else 1, "i8")
+        for t, data in ordered:
+            self.length[t] = len(data)
+        self.begin = np.cumsum(self.length) - self.length
+        self.decimal = [str(t).encode() for t in range(len(self.length))]
+
+    def bytes_of(self, tokens: np.ndarray) -> bytes:
+        out = []
+        for at in range(0, len(tokens), SLICE):
+            part = tokens[at : at + SLICE].astype("i8")
+            sizes = self.length[part]
+            # Byte i of the output is byte i - (start of its token) of that token.
+            starts = self.begin[part] - (np.cumsum(sizes) - sizes)
+            out.append(self.flat[np.repeat(starts, sizes) + np.arange(sizes.sum())].tobytes())
+        return b"".join(out)
+
+    def decimals(self, tokens: np.ndarray) -> bytes:
+        """The decimal ids joined by commas."""
+        return b",".join(map(self.decimal.__getitem__, tokens.tolist()))
+
+
+class _Kept:
+    """A value of a Python process, let go when nobody has asked for it for some seconds."""
+
+    def __init__(self, value, idle: float):
+        self.value, self.idle, self.asked = value, idle, time.monotonic()
+        self._wait()
+
+    def _wait(self) -> None:
+        timer = threading.Timer(self.idle, self._look)
+        timer.daemon = True
+        timer.start()
+
+    def _look(self) -> None:
+        if self.value is not None and time.monotonic() - self.asked < self.idle:
+            self._wait()
+        else:
+            self.value = None
+            gc.collect()
+
+
+def of_process(key: tuple, make: Callable, idle: float = 3.0):
+    """``make()``, once in each Python process for ``key`` while tasks that use it follow each other.
+
+    This module travels by value, so its own globals are new in each task. Each batch asks
+    anew, so a task keeps it; later stages of other kinds get the memory back.
+    """
+    name = "process_store_of_corpus_operators"
+    store = sys.modules.setdefault(name, types.ModuleType(name)).__dict__.setdefault("made", {})
+    kept = store.get(key)
+    value = kept.value if kept else None
+    if value is None:
+        value = make()
+        store[key] = _Kept(value, idle)
+    else:
+        kept.asked = time.monotonic()
+    return value
+
+
+class Vocabulary:
+    """A rank file for the tasks of a session: read on the driver, a few MB, sent once.
+
+    ``encoder()`` and ``decoder()`` are called in tasks and made once in each process.
+    """
+
+    def __init__(self, df: DataFrame, path: str | None, pattern: str = public_tokenizers.PATTERN):
+        path = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+        ranks = read_ranks(path)
+        self.pattern = pattern
+        self.name = hashlib.sha256(repr(sorted(ranks.items(), key=lambda x: x[1])).encode()).hexdigest()
+        self.shared = df.sparkSession.sparkContext.broadcast(ranks)
+
+    def encoder(self) -> TextEncoder:
+        return of_process(("encoder", self.name, self.pattern), lambda: TextEncoder(Bpe(self.shared.value), self.pattern))
+
+    def decoder(self) -> Decoder:
+        return of_process(("decoder", self.name), lambda: Decoder(self.shared.value))
+
+
 def _lists(values: np.ndarray, sizes: list[int], kind=pa.ListArray) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum(sizes, dtype="i8")]).astype("i4")
     return kind.from_arrays(pa.array(offsets), pa.array(values))
@@ -232,13 +328,11 @@ def encode(
     independent, so repeated rows give equal arrays. The rank file is read on the driver; it is
     a fixed vocabulary of a few MB and goes to the tasks as one broadcast value.
     """
-    ranks = read_ranks(path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    shared = df.sparkSession.sparkContext.broadcast(ranks)
+    vocabulary = Vocabulary(df, path, pattern)
 
     def make():
-        encoder = TextEncoder(Bpe(shared.value), pattern)
-
         def fn(batch: pa.RecordBatch) -> dict:
+            encoder = vocabulary.encoder()
             packed = [encoder.encode(x) for x in texts_of(batch, text)]
             values = np.frombuffer(b"".join(packed), "<i4")
             return {out: _lists(values, [len(p) // 4 for p in packed])}
@@ -252,36 +346,20 @@ def decode(
     df: DataFrame, path: str | None = None, ids: str = "ids", out: str = "decoded"
 ) -> DataFrame:
     """Add the bytes that the ids stand for; a null or empty array gives empty bytes."""
-    ranks = read_ranks(path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    shared = df.sparkSession.sparkContext.broadcast(ranks)
+    vocabulary = Vocabulary(df, path)
 
     def make():
-        ordered = sorted((t, data) for data, t in shared.value.items())
-        flat = np.frombuffer(b"".join(data for _, data in ordered), "u1")
-        length = np.zeros(ordered[-1][0] + 1, "i8")
-        for t, data in ordered:
-            length[t] = len(data)
-        begin = np.cumsum(length) - length
-
-        def bytes_of(tokens: np.ndarray) -> bytes:
-            sizes = length[tokens]
-            # Byte i of the output is byte i - (start of its token) of that token.
-            starts = begin[tokens] - (np.cumsum(sizes) - sizes)
-            return flat[np.repeat(starts, sizes) + np.arange(sizes.sum())].tobytes()
-
         def fn(batch: pa.RecordBatch) -> dict:
+            decoder = vocabulary.decoder()
             column = batch.column(ids)
             tokens = np.asarray(column.flatten())
             counts = np.nan_to_num(column.value_lengths().to_numpy(False)).astype("i8")
-            stops = np.concatenate([[0], np.cumsum(length[tokens])])[np.cumsum(counts)]
+            stops = np.concatenate([[0], np.cumsum(decoder.length[tokens])])[np.cumsum(counts)]
             offsets = np.concatenate([[0], stops]).astype("i4")
-            data = b"".join(
-                bytes_of(tokens[at : at + SLICE].astype("i8")) for at in range(0, len(tokens), SLICE)
-            )
             return {
                 out: pa.Array.from_buffers(
                     pa.binary(), len(counts),
-                    [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)],
+                    [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(decoder.bytes_of(tokens))],
                 )
             }
 
@@ -290,17 +368,44 @@ def decode(
     return add_columns(df, make, f"`{out}` binary")
 
 
-def ids_digest(ids: Column) -> Column:
-    """SHA-256 of the decimal ids joined by commas."""
-    return F.sha2(F.array_join(ids.cast("array<string>"), ","), 256)
+def round_trip(df: DataFrame, path: str | None = None, text: str = "text", ids: str | None = None) -> DataFrame:
+    """Encode ``text``, decode the ids, and add the digests of both, in one pass of one worker.
+
+    Adds ``n_tokens``, ``ids_sha256`` (of the decimal ids joined by commas), ``decoded_sha256``
+    and, if ``ids`` names it, the array of ids; input columns of these names are replaced. Null
+    counts as empty; rows are independent, so repeated rows give equal results and an empty
+    table none.
+    """
+    vocabulary = Vocabulary(df, path)
+
+    def make():
+        def fn(batch: pa.RecordBatch) -> dict:
+            encoder, decoder = vocabulary.encoder(), vocabulary.decoder()
+            sizes, names, decoded, kept = [], [], [], []
+            for x in texts_of(batch, text):
+                packed = encoder.encode(x)
+                tokens = np.frombuffer(packed, "<i4")
+                sizes.append(len(tokens))
+                names.append(hashlib.sha256(decoder.decimals(tokens)).hexdigest())
+                decoded.append(hashlib.sha256(decoder.bytes_of(tokens)).hexdigest())
+                if ids:
+                    kept.append(packed)
+            out = {
+                "n_tokens": pa.array(sizes, pa.int64()),
+                "ids_sha256": pa.array(names, pa.string()),
+                "decoded_sha256": pa.array(decoded, pa.string()),
+            }
+            return out | ({ids: _lists(np.frombuffer(b"".join(kept), "<i4"), sizes)} if ids else {})
+
+        return fn
+
+    new = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return add_columns(df, make, new + (f", `{ids}` array<int>" if ids else ""))
 
 
 def digests(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Encode and decode ``text``; one row per row with counts and digests of both results."""
-    both = decode(encode(df.select("doc_id", "text"), path).drop("text"), path)
-    return both.select(
-        "doc_id",
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        ids_digest(F.col("ids")).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    """Encode and decode ``text``; one row per row with counts and digests of both results.
+
+    Nulls, empty texts, repeats and empty tables: see ``round_trip``.
+    """
+    return round_trip(df.select("doc_id", "text"), path).drop("text")

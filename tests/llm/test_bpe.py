@@ -84,3 +84,29 @@ def test_frame_handles_null_empty_long_repeated_and_clashing(docs):
     want = ",".join(map(str, REFERENCE.encode_ordinary("It's É.")))
     assert digests[4].ids_sha256 == hashlib.sha256(want.encode()).hexdigest()
     assert digests[1].n_tokens == 0 and bpe.digests(docs([])).count() == 0
+
+
+def test_round_trip_in_one_pass_and_small_stores(docs, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 3)
+    random.seed(3)
+    texts = [" ".join(random.choices(["abcdefgh", "xyzzyq", "Éàù", "it's", "12345", "q" * 40], k=60)) for _ in range(20)]
+    rows = list(enumerate([*texts, None, ""]))
+    df = bpe.round_trip(docs(rows, clash=("n_tokens", "ids")), ids="ids")
+    assert str(df._jdf.queryExecution().executedPlan()).count("MapInArrow") == 1
+    for r in df.collect():
+        want = REFERENCE.encode_ordinary(r.text or "")
+        assert r.ids == want and r.n_tokens == len(want)
+        assert r.ids_sha256 == hashlib.sha256(",".join(map(str, want)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
+
+
+def test_stores_keep_to_their_bounds(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 50)
+    model = bpe.Bpe(RANKS)
+    encoder = bpe.TextEncoder(model, public_tokenizers.PATTERN)
+    random.seed(4)
+    for _ in range(30):
+        text = " ".join("".join(random.choices("abcdefghijklmnopqr", k=9)) for _ in range(30))
+        assert bpe.np.frombuffer(encoder.encode(text), "<i4").tolist() == REFERENCE.encode_ordinary(text)
+    assert len(model._pairs) <= 50 and len(model.known) <= 100
+    assert len(encoder.after_space) <= 25 and len(encoder.after_space.old) <= 25
