@@ -112,6 +112,14 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have: ``name`` behind as many underscores as it takes."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def crc_of_id(name: str = "doc_id") -> Column:
     return F.crc32(F.col(name).cast("string"))
 

@@ -1,6 +1,6 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index holds one posting (term, doc_id, pos) for every corpus word that the test set uses,
+The index holds one posting (term, doc, pos) for every corpus word that the test set uses,
 and for each document one posting of the empty term behind its last word. A phrase is found
 from its rarest term: each posting of that term, less the term's offset, is a candidate start.
 The lists of the other terms, adjusted in the same way, must meet it there.
@@ -48,10 +48,13 @@ def items(benchmark: DataFrame) -> DataFrame:
     return w.withColumn("size", F.size("words")).filter("size > 0")
 
 
-def build_index(documents: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Postings (term, doc_id, pos) of the words in ``vocabulary`` (one column ``term``).
+def build_index(documents: DataFrame, vocabulary: DataFrame, name: Column | None = None) -> DataFrame:
+    """Postings (term, doc, pos, name) of the words in ``vocabulary`` (one column ``term``).
 
-    The empty term stands at position n of a document of n words, also for n = 0.
+    ``doc`` numbers the rows of ``documents``, so rows with equal or null ids stay apart. The
+    empty term stands at position n of a document of n words, also for n = 0; there alone is
+    ``name``, which tells the document (its ``doc_id`` if not given). The index is written once, and the
+    numbers with it.
     """
     terms = materialize(
         vocabulary.select("term").unionByName(
@@ -59,10 +62,20 @@ def build_index(documents: DataFrame, vocabulary: DataFrame) -> DataFrame:
         ).distinct(),
         "vocabulary",
     )
-    every = documents.select(
-        "doc_id", F.posexplode(F.array_append(words(F.col("text")), F.lit(""))).alias("pos", "term")
+    rows = documents.select(
+        F.monotonically_increasing_id().alias("doc"),
+        (F.col("doc_id") if name is None else name).alias("name"), "text",
     )
-    return materialize(every.join(shared(terms), "term", "left_semi").select("term", "doc_id", "pos"), "index")
+    every = rows.select(
+        "doc", "name", F.posexplode(F.array_append(words(F.col("text")), F.lit(""))).alias("pos", "term")
+    )
+    own = F.when(F.col("term") == "", F.col("name")).alias("name")
+    return materialize(every.join(shared(terms), "term", "left_semi").select("term", "doc", "pos", own), "index")
+
+
+def names_of(index: DataFrame) -> DataFrame:
+    """(doc, name, n_words) of every row of the documents."""
+    return index.filter("term = ''").select("doc", "name", F.col("pos").alias("n_words"))
 
 
 def frequencies(index: DataFrame) -> DataFrame:
@@ -103,17 +116,16 @@ def anchors(tests: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFr
 
 
 def phrases(index: DataFrame, tests: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, item, pos): document words inside an occurrence of a window of a text.
+    """(doc, item, pos): document words inside an occurrence of a window of a text.
 
-    ``tests`` are ``distinct_texts()``. A word is given once for each text. Null ids are one
-    document.
+    ``tests`` are ``distinct_texts()``. A word is given once for each text.
     """
     counts = materialize(frequencies(index), "frequencies")
     found = materialize(anchors(tests, counts, window), "anchors")
     # Where an item would begin in a document, by the rarest term of one of its windows ...
     begin = F.col("pos") - F.col("at")
     first = index.join(shared(found), "term").select(
-        "doc_id", "item", begin.alias("begin"), "term2", (begin + F.col("at2")).alias("pos2")
+        "doc", "item", begin.alias("begin"), "term2", (begin + F.col("at2")).alias("pos2")
     )
     first = materialize(first.distinct(), "first-lists")
     # ... and by the second rarest, whose list must have a posting at the place it gives.
@@ -121,24 +133,22 @@ def phrases(index: DataFrame, tests: DataFrame, window: int = WINDOW) -> DataFra
     second = index.join(shared(materialize(terms, "second-terms")), "term", "left_semi")
     met = first.alias("a").join(
         second.alias("b"),
-        F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("pos2") == F.col("pos"))
+        (F.col("a.doc") == F.col("b.doc")) & (F.col("pos2") == F.col("pos"))
         & (F.col("term2") == F.col("term")),
         "left_semi",
     )
-    line = ["doc_id", "item", "begin"]
+    line = ["doc", "item", "begin"]
     lines = met.select(*line).unionByName(first.filter("term2 is null").select(*line)).distinct()
     lines = materialize(lines, "candidates")
     # The lists of all terms of the item, adjusted by their offsets, against each candidate.
     wanted = lines.join(shared(tests), "item").select(
         *line, "size", F.posexplode("words").alias("at", "term")
     ).withColumn("at_pos", F.col("begin") + F.col("at"))
-    ids = materialize(lines.select("doc_id").distinct(), "candidate-ids")
-    postings = index.alias("i").join(
-        shared(ids).alias("c"), F.col("i.doc_id").eqNullSafe(F.col("c.doc_id")), "left_semi"
-    )
+    ids = materialize(lines.select("doc").distinct(), "candidate-ids")
+    postings = index.join(shared(ids), "doc", "left_semi")
     met = wanted.alias("w").join(
         postings.alias("p"),
-        F.col("w.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("at_pos") == F.col("pos"))
+        (F.col("w.doc") == F.col("p.doc")) & (F.col("at_pos") == F.col("pos"))
         & (F.col("w.term") == F.col("p.term")),
         "left_semi",
     )
@@ -148,7 +158,7 @@ def phrases(index: DataFrame, tests: DataFrame, window: int = WINDOW) -> DataFra
         "length", F.count("*").over(Window.partitionBy(*line, "run"))
     )
     hits = runs.filter(F.col("length") >= F.least(F.col("size"), F.lit(window)))
-    return hits.select("doc_id", "item", F.col("at_pos").alias("pos")).distinct()
+    return hits.select("doc", "item", F.col("at_pos").alias("pos")).distinct()
 
 
 def near(index: DataFrame, queries: DataFrame, within: int) -> DataFrame:
@@ -165,57 +175,61 @@ def near(index: DataFrame, queries: DataFrame, within: int) -> DataFrame:
         "rank", F.row_number().over(whole.orderBy(F.coalesce("n", F.lit(0)), "term"))
     )
     rated = materialize(rated, "query-terms")
-    rarest = index.join(shared(rated.filter("rank = 1")), "term").select("query_id", "doc_id").distinct()
-    found = index.join(shared(rated), "term").join(rarest, ["query_id", "doc_id"], "left_semi")
-    span = Window.partitionBy("query_id", "doc_id").orderBy("pos").rangeBetween(1 - within, 0)
-    return (
+    rarest = index.join(shared(rated.filter("rank = 1")), "term").select("query_id", "doc").distinct()
+    found = index.join(shared(rated), "term").join(rarest, ["query_id", "doc"], "left_semi")
+    span = Window.partitionBy("query_id", "doc").orderBy("pos").rangeBetween(1 - within, 0)
+    spans = (
         found.withColumn("seen", F.size(F.collect_set("term").over(span)))
         .withColumn("first", F.min("pos").over(span))
         .filter("seen = n_terms")
-        .select("query_id", "doc_id", "first", F.col("pos").alias("last"))
+        .select("query_id", "doc", "first", F.col("pos").alias("last"))
     )
+    return spans.join(names_of(index), "doc").select("query_id", F.col("name").alias("doc_id"), "first", "last")
 
 
 def vocabulary(tests: DataFrame) -> DataFrame:
     return tests.select(F.explode("words").alias("term")).distinct()
 
 
+def text_digest(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
 def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The distinct ``doc_id`` of documents in which a window occurs."""
+    """The distinct ``digest`` of the texts in which a window occurs.
+
+    Whether one does depends on the text alone, so rows with equal or null ids need no key.
+    """
     texts = distinct_texts(items(benchmark))
-    index = build_index(documents.select("doc_id", "text"), vocabulary(texts))
-    return phrases(index, texts, window).select("doc_id").distinct()
+    index = build_index(documents, vocabulary(texts), text_digest(F.col("text")))
+    found = materialize(phrases(index, texts, window).select("doc").distinct(), "contaminated")
+    return names_of(index).join(found, "doc", "left_semi").select(F.col("name").alias("digest")).distinct()
 
 
 def report(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Words, hit words and items of every document.
+    """Words, hit words and items of every row of ``documents``.
 
-    Rows with equal ids count as one document: its words are those of the longest row and its
-    hits those of all. Null and empty texts have no words; items without words never occur.
-    An item counts once, however many rows and texts it has; a null ``item_id`` counts as one
-    item and has no part in the digest.
+    Rows with equal or null ids are documents of their own. Null and empty texts have no words; items
+    without words never occur. An item counts once, however many rows and texts it has; a null
+    ``item_id`` counts as one item and has no part in the digest. Other columns are not read.
     """
     tests = items(benchmark)
     texts = distinct_texts(tests)
-    index = build_index(documents.select("doc_id", "text"), vocabulary(texts))
+    index = build_index(documents, vocabulary(texts))
     hits = materialize(phrases(index, texts, window), "hits")
     ids = materialize(
         tests.join(texts, "words").select("item", F.col("item_id").cast("string").alias("item_id")).distinct(),
         "item-ids",
     )
-    held = hits.select("doc_id", "item").distinct().join(shared(ids), "item").groupBy("doc_id").agg(
+    held = hits.select("doc", "item").distinct().join(shared(ids), "item").groupBy("doc").agg(
         F.array_sort(F.collect_set("item_id")).alias("item_ids"),
         F.max(F.col("item_id").isNull().cast("int")).alias("n_null"),
-    ).withColumnRenamed("doc_id", "_held")
-    words_hit = hits.groupBy("doc_id").agg(F.count_distinct("pos").alias("n_hit"))
-    by_doc = words_hit.withColumnRenamed("doc_id", "_id").join(held, F.col("_id").eqNullSafe(F.col("_held")))
-    ends = index.filter("term = ''").groupBy("doc_id").agg(F.max("pos").alias("n_words"))
-    none = F.array().cast("array<string>")
-    rows = ends.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id")), "left").withColumn(
-        "item_ids", F.coalesce("item_ids", none)
     )
+    by_doc = hits.groupBy("doc").agg(F.count_distinct("pos").alias("n_hit")).join(held, "doc")
+    none = F.array().cast("array<string>")
+    rows = names_of(index).join(by_doc, "doc", "left").withColumn("item_ids", F.coalesce("item_ids", none))
     return rows.select(
-        "doc_id",
+        F.col("name").alias("doc_id"),
         F.col("n_words").cast("bigint").alias("n_words"),
         F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
         (F.size("item_ids") + F.coalesce("n_null", F.lit(0))).cast("bigint").alias("n_items"),

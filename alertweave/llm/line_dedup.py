@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.staging import ship
-from .common import add_columns, materialize, texts_of
+from .common import add_columns, materialize, texts_of, unused
 
 ship(__name__)
 
@@ -177,17 +177,21 @@ def dedup_lines(df: DataFrame) -> DataFrame:
     Keys of at least ten code points that two or more documents hold lose all their lines
     except in the smallest ``doc_id``. A null or empty text is one empty line and comes out
     empty. Rows with equal ids are one document; rows with a null id are kept whole and do
-    not count as holders. Other columns pass through.
+    not count as holders. Other columns pass through, whatever their names, but for ``n_lines``
+    and ``n_dropped``, which are replaced.
     """
-    lost = materialize(lost_lines(df), "lost").withColumnRenamed("doc_id", "_id")
-    joined = df.drop("_lost").join(
-        lost.hint("shuffle_hash"), F.col("doc_id").cast("bigint") == F.col("_id"), "left"
-    ).drop("_id")
+    gone_name, id_name = unused(df, "lost"), unused(df, "id")
+    lost = materialize(lost_lines(df), "lost").select(
+        F.col("doc_id").alias(id_name), F.col("_lost").alias(gone_name)
+    )
+    joined = df.join(
+        lost.hint("shuffle_hash"), F.col("doc_id").cast("bigint") == F.col(id_name), "left"
+    ).drop(id_name)
 
     def make():
         def fn(batch: pa.RecordBatch) -> dict:
             kept, lines, dropped = [], [], []
-            for text, gone in zip(texts_of(batch), batch.column("_lost").to_pylist(), strict=True):
+            for text, gone in zip(texts_of(batch), batch.column(gone_name).to_pylist(), strict=True):
                 parts = text.split("\n")
                 lines.append(len(parts))
                 if gone:
@@ -203,7 +207,7 @@ def dedup_lines(df: DataFrame) -> DataFrame:
 
         return fn
 
-    return add_columns(joined, make, "text string, n_lines bigint, n_dropped bigint").drop("_lost")
+    return add_columns(joined, make, "text string, n_lines bigint, n_dropped bigint").drop(gone_name)
 
 
 def digests(documents: DataFrame) -> DataFrame:

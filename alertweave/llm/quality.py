@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.staging import ship
-from .common import add_columns, crc_of_id, materialize, texts_of
+from .common import add_columns, crc_of_id, materialize, texts_of, unused
 
 ship(__name__)
 
@@ -202,5 +202,6 @@ def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """
     vectors = materialize(add_statistics(documents.select("doc_id", "text")).drop("text"), "vectors")
     model = fit(_labelled(vectors.filter(~held_out()), labels))
-    scores = add_scores(add_statistics(documents, out="_features"), model, "_features", "_score")
-    return scores.filter(F.col("_score") >= 0.5).select(*documents.columns)
+    features, score = unused(documents, "features"), unused(documents, "score")
+    scores = add_scores(add_statistics(documents, out=features), model, features, score)
+    return scores.filter(F.col(f"`{score}`") >= 0.5).select(*[F.col(f"`{c}`") for c in documents.columns])

@@ -201,10 +201,10 @@ WITH docs AS (
   SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents
 ), hits AS ({hits}), matches AS (
   SELECT k, kind, ord, least, base, unnest(hits) AS hit, unnest(parts) AS part,
-    unnest(pieces[:len(hits)]) AS piece, generate_subscripts(hits, 1) AS at
+    unnest(pieces[:len(hits)]) AS piece, generate_subscripts(hits, 1) AS nth
   FROM hits WHERE len(hits) > 0
 ), placed AS (
-  SELECT *, sum(length(piece) + length(hit)) OVER (PARTITION BY k, ord ORDER BY at) AS stop FROM matches
+  SELECT *, sum(length(piece) + length(hit)) OVER (PARTITION BY k, ord ORDER BY nth) AS stop FROM matches
 ), spans AS (
   SELECT k, kind, ord, base, stop - length(hit) AS start,
     kind || ':' || CAST(stop - length(hit) AS BIGINT) || ':' || CAST(stop AS BIGINT) AS span

@@ -4,11 +4,10 @@ import hashlib
 
 import compare
 import pytest
-import xxhash
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from alertweave.llm import bpe, common, line_dedup, queries, simhash
+from alertweave.llm import bpe, common, line_dedup, queries
 
 SF = "/root/testdata/sf0.001"
 BATCH = [
@@ -21,7 +20,7 @@ BATCH = [
 
 def test_all_queries_are_registered():
     names = set(entry.queries())
-    assert {f"op{i}_" for i in range(1, 11)} == {n.split("_")[0] + "_" for n in names if n.startswith("op") and n[2].isdigit()}
+    assert {f"op{i}_" for i in range(1, 14)} == {n.split("_")[0] + "_" for n in names if n.startswith("op") and n[2].isdigit()}
     assert "pipeline" in names and set(queries.ORACLE) <= set(queries.QUERIES)
 
 
@@ -71,11 +70,9 @@ def test_stages_of_an_empty_table(corpus, docs, name):
         assert out.columns == df.columns
 
 
-def _plain_simhash(text):
+def _shingle_set(text):
     w = text.encode().lower().split()
-    grams = [b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else []
-    h = simhash.np.array([xxhash.xxh64_intdigest(g, 42) for g in grams], "u8")
-    return [simhash.fingerprint(h)] + [simhash.fingerprint(simhash._mixed(h, s)) for s in (1, 2)]
+    return frozenset(b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
 
 def test_run_equals_a_plain_pipeline(spark):
@@ -94,16 +91,15 @@ def test_run_equals_a_plain_pipeline(spark):
             holders.setdefault(k, []).append(i)
     lost = lambda i, p: line_dedup.long_enough(k := line_dedup.line_key(p)) and min(holders[k]) != i
     rows = [(i, "\n".join(p for p in t.split("\n") if not lost(i, p))) for i, t in rows]
-    prints = {i: _plain_simhash(t) for i, t in rows}
+    sets = {i: _shingle_set(t) for i, t in rows}
     root = {i: i for i, _ in rows}
 
     def find(i):
         return i if root[i] == i else find(root[i])
 
-    for i, a in prints.items():
-        for j, b in prints.items():
-            d = [(x ^ y).bit_count() for x, y in zip(a, b, strict=True)]
-            if i < j and d[0] <= 8 and sum(d[1:]) <= 20 and find(i) != find(j):
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and (a == b or 5 * len(a & b) >= 4 * len(a | b)) and find(i) != find(j):
                 root[max(find(i), find(j))] = min(find(i), find(j))
     rows = [(i, t) for i, t in rows if find(i) == i]
     items = [(r.item_id, r.text) for r in common.table(spark_, SF, "benchmark").collect()]
@@ -141,3 +137,27 @@ def test_near_dedup_stage_with_repeated_and_null_ids(corpus, docs):
     got = [(r.doc_id, r.text) for r in stages()["SimHash near-dedup"](corpus, docs(rows), SF).collect()]
     firsts = sorted((str(i), t.split()[0]) for i, t in got)
     assert firsts == [("1", "a0"), ("2", "d0"), ("5", "e0"), ("9", "c0"), ("None", "b0")]
+
+
+CLASH = ["_id", "_lost", "_key", "_features", "_score", "lost", "key", "rest", "ids", "n_lines", "n_dropped", "n_tokens", "digest",
+         "item", "pos", "doc", "hits", "decoded_sha256"]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_keep_columns_of_any_name(corpus, docs, name):
+    rows = BATCH + [(5, BATCH[4][1]), (None, None), (None, BATCH[6][1])]
+    df = docs(rows, clash=CLASH)
+    out = stages()[name](corpus, df, SF)
+    kept = [c for c in df.columns if name != "byte-level BPE" or c not in ("ids", "ids_sha256", "decoded_sha256")]
+    assert [c for c in out.columns if c in kept] == kept and (name == "byte-level BPE" or out.columns == df.columns)
+    found = common.materialize(out, "clash").collect()
+    assert found and all(r[c] == "x" for r in found for c in CLASH if c in kept)
+
+
+def test_decontamination_stage_with_repeated_and_null_ids(corpus, docs, tmp_path):
+    items = [(1, "one two three four five six seven eight nine ten")]
+    corpus.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, items[0][1]), (1, "clean"), (None, items[0][1] + " more"), (None, None), (None, "clean"), (2, "one two three"), (2, "four five six")]
+    got = stages()["benchmark decontamination"](corpus, docs(rows), str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in got) == [
+        ("1", "clean"), ("2", "four five six"), ("2", "one two three"), ("None", "None"), ("None", "clean")]
