@@ -655,6 +655,8 @@ SELECT doc_id, md5(text) AS text_md5, lang, source, '{"n": '||n_chars||', "l": "
     q["dataset_append"] = """
 SELECT min(doc_id) AS doc_id, arg_min(lang, doc_id) AS lang, arg_min(source, doc_id) AS source, md5(text) AS text_md5
 FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE doc_id%2=0) GROUP BY text"""
+    q["dataset_file"] = """
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(coalesce(text,'')) AS text_md5, coalesce(lang,'') AS lang FROM documents"""
     q["dataset_dedupe"] = """
 SELECT min(doc_id) AS doc_id, arg_min(lang, doc_id) AS lang, arg_min(source, doc_id) AS source, md5(text) AS text_md5
 FROM documents GROUP BY text"""

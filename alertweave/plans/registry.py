@@ -5,6 +5,7 @@ Outputs are flattened to scalar columns so that any engine can compare them.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -884,6 +885,17 @@ def dataset_rows(spark, sf):
     )
 
 
+@query
+def dataset_file(spark, sf):
+    """All documents as one CSV dataset, written and read again by the splits of its files."""
+    ensure_checkpoint_dir(spark)
+    d = X.table(spark, sf, "documents")
+    rows = d.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang")
+    path = f"{spark.sparkContext.getCheckpointDir()}/dataset-file-{uuid.uuid4().hex}"
+    sinks.write_csv(rows, path, "errorifexists")
+    return readers.read_dataset(spark, path).select("doc_id", F.md5("text").alias("text_md5"), "lang")
+
+
 @query
 def dataset_append(spark, sf):
     """Rows with an even source number are stored; all rows arrive."""

@@ -47,7 +47,8 @@ def with_entry_ids(entries: DataFrame) -> DataFrame:
     return entries.withColumn("entry_id", id_)
 
 
-def _write_csv(df: DataFrame, path: str, mode: str) -> None:
+def write_csv(df: DataFrame, path: str, mode: str) -> None:
+    """All-string rows with a header in each file; empty and missing values are both empty."""
     df.select(*[empty_to_null(c).alias(c) for c in df.columns]).write.mode(mode).csv(
         path, header=True, escape='"', quote='"', emptyValue="", nullValue="",
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
@@ -75,7 +76,7 @@ def append_dataset(
     fresh = D.new_rows(before, incoming, unique_fields, order_by).checkpoint()
     added = fresh.count()
     if added:
-        _write_csv(fresh.select(*fields), path, "append")
+        write_csv(fresh.select(*fields), path, "append")
     return added
 
 
@@ -100,7 +101,7 @@ def rewrite_deduplicated(
     """
     removed = D.duplicate_count(dataset, unique_fields).first()[0]
     kept = D.deduplicate(dataset, unique_fields, order_by)
-    _write_csv(kept.select(*fields), new_path, "errorifexists")
+    write_csv(kept.select(*fields), new_path, "errorifexists")
     return removed
 
 
