@@ -272,11 +272,11 @@ class _Kept:
             gc.collect()
 
 
-def of_process(key: tuple, make: Callable, idle: float = 3.0):
+def of_process(key: tuple, make: Callable, idle: float = 30.0):
     """``make()``, once in each Python process for ``key`` while tasks that use it follow each other.
 
     This module travels by value, so its own globals are new in each task. Each batch asks
-    anew, so a task keeps it; later stages of other kinds get the memory back.
+    anew, and takes far less time than that, so a task keeps it; later stages of other kinds get the memory back.
     """
     name = "process_store_of_corpus_operators"
     store = sys.modules.setdefault(name, types.ModuleType(name)).__dict__.setdefault("made", {})
