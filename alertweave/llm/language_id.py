@@ -7,15 +7,15 @@ times the inverse root of the landmarks' own kernel matrix. One ridge regression
 (one against the rest) works on these vectors. Texts are scored in batches, presence matrix
 times landmark matrix.
 
-N-grams run over a small alphabet: letters that are common in the landmark texts, lower-cased;
-a run of anything else is one separator. So an n-gram is a number below 64 ** 3 and needs no
-hashing, and a text of any length gives a fixed-size presence vector.
+N-grams run over the lower-cased letters of any script; a run of anything else is one separator.
+An n-gram is hashed to a number below SIZE, so a text of any length gives a fixed-size presence
+vector and no letter is left out.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,38 +31,42 @@ UNDETERMINED = "und"
 #: Bound of the training sample: rows kept for each language, chosen by a hash of the id.
 SAMPLE_PER_LANGUAGE = 256
 LANDMARKS_PER_LANGUAGE = 24
-#: The alphabet has BASE - 3 letters.
-BASE = 64
-SIZE = BASE**3
+_BITS = 18
+SIZE = 1 << _BITS
+_FACTOR = 0x9E3779B1
+_SEPARATOR = 0x20
 RIDGE = 1e-3
 _ROWS = 32
 
 
-@dataclass
+@cache
+def _letters() -> np.ndarray:
+    """Code point -> its lower-case letter, or the separator."""
+    out = np.full(0x110000, _SEPARATOR, "u4")
+    for c in range(0x110000):
+        letter = chr(c)
+        if letter.isalpha():
+            low = letter.lower()
+            out[c] = ord(low) if len(low) == 1 else c
+    return out
+
+
 class Grams:
     """Texts as sets of n-gram numbers."""
 
-    letters: str
-
-    def __post_init__(self):
-        # 1 is the separator, 2 a letter outside the alphabet; no code is 0, so n-grams of
-        # different lengths have different numbers.
-        alpha = np.frombuffer(bytes(chr(c).isalpha() for c in range(0x110000)), "u1")
-        self.code = (alpha + 1).astype("u1")
-        for i, letter in enumerate(self.letters):
-            for form in {letter, letter.upper(), letter.title()}:
-                if len(form) == 1:
-                    self.code[ord(form)] = i + 3
+    def __init__(self):
+        self.code = _letters()
 
     def fill(self, text: str, row: np.ndarray) -> None:
         """Set the numbers of the n-grams of a text in a boolean row of SIZE."""
         c = self.code[np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), "u4")]
-        c = c[np.concatenate([[True], (c[1:] > 1) | (c[:-1] > 1)])].astype("i4")
-        row[c] = True
-        two = c[:-1] * BASE + c[1:]
-        row[two] = True
-        row[two[:-1] * BASE + c[2:]] = True
-        row[1] = False  # the separator alone says nothing
+        c = c[np.concatenate([[True], (c[1:] != _SEPARATOR) | (c[:-1] != _SEPARATOR)])]
+        # Hashes are taken modulo 2 ** 32; the upper bits are the number.
+        grams = c * np.uint32(_FACTOR)
+        row[grams[c != _SEPARATOR] >> (32 - _BITS)] = True  # the separator alone says nothing
+        for n in (1, 2):
+            grams = ((grams[:-1] ^ (grams[:-1] >> 15)) + c[n:]) * np.uint32(_FACTOR)
+            row[grams >> (32 - _BITS)] = True
 
     def of(self, text: str) -> np.ndarray:
         row = np.zeros(SIZE, bool)
@@ -72,7 +76,6 @@ class Grams:
 
 @dataclass
 class Model:
-    letters: str
     languages: list[str]
     column: np.ndarray  # n-gram number -> column of `marks`, or -1
     marks: np.ndarray  # distinct n-grams of the landmarks x landmarks, scaled
@@ -130,11 +133,10 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE,
     languages = sorted(by_language)
     chosen = [(i, lang) for lang in languages for i in by_language[lang][:landmarks]]
     picked = _rows_of(usable, chosen)
-    letters = _alphabet(picked)
     wanted = [(i, lang) for lang in languages for i in by_language[lang]]
 
     def make_grams():
-        grams = Grams(letters)
+        grams = Grams()
         kind = pa.list_(pa.int32())
         return lambda batch: {"grams": pa.array([grams.of(x) for x in texts_of(batch)], kind)}
 
@@ -152,11 +154,11 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE,
     values, vectors = np.linalg.eigh(own)
     good = values > 1e-6 * values[-1]
     to_nystroem = vectors[:, good] / np.sqrt(values[good])
-    model = Model(letters, languages, column, marks, np.zeros((len(sets), len(languages))))
+    model = Model(languages, column, marks, np.zeros((len(sets), len(languages))))
     shared = spark.sparkContext.broadcast(model)
 
     def make_kernel():
-        grams = Grams(letters)
+        grams = Grams()
 
         def fn(batch: pa.RecordBatch) -> dict:
             texts = texts_of(batch)
@@ -188,15 +190,6 @@ def _rows_of(usable: DataFrame, ids: list[tuple[int, str]]) -> DataFrame:
     return rows.groupBy("doc_id", "lang").agg(least["text"].alias("text"))
 
 
-def _alphabet(rows: DataFrame) -> str:
-    """The most common lower-case letters of the landmark texts, counted in the cluster."""
-    one = F.explode(F.split(F.lower("text"), "")).alias("c")
-    seen = rows.select(one).groupBy("c").count().collect()
-    counts = Counter({r.c: r["count"] for r in seen if len(r.c) == 1 and r.c.isalpha()})
-    best = sorted(counts, key=lambda c: (-counts[c], c))[: BASE - 3]
-    return "".join(sorted(best))
-
-
 def classify(df: DataFrame, model: Model | None, text: str = "text",
              lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """Add the predicted language of ``text`` and a score from 0 to 1.
@@ -208,7 +201,7 @@ def classify(df: DataFrame, model: Model | None, text: str = "text",
 
     def make():
         m = shared.value
-        grams = Grams(m.letters) if m else None
+        grams = Grams()
 
         def fn(batch: pa.RecordBatch) -> dict:
             texts = texts_of(batch, text)

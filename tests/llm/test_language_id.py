@@ -60,14 +60,13 @@ def test_sample_is_bounded_and_even(corpus):
 
 
 def test_kernel_is_the_blended_spectrum():
-    grams = language_id.Grams("abc")
+    grams = language_id.Grams()
     a, b = set(grams.of("ab c").tolist()), set(grams.of("abX,  b").tolist())
 
     def plain(text):
         s = " " + "".join(c if c.isalpha() else " " for c in text).lower() + " "
         while "  " in s:
             s = s.replace("  ", " ")
-        s = "".join(c if c in "abc " else "?" for c in s)
         return {s[i : i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1)} - {" "}
 
     assert len(a & b) == len(plain("ab c") & plain("abX,  b")) and len(a) == len(plain("ab c"))
@@ -80,3 +79,68 @@ def test_a_repeated_id_gives_one_training_row(corpus):
     got = sorted((r.lang, r.doc_id, r.text) for r in language_id._rows_of(df, [(1, "en"), (1, "de")]).collect())
     assert got == [("de", 1, "noch ein text"), ("en", 1, "the same id again 0")]
     assert language_id.fit(df).marks.shape[1] == 2
+
+
+def number(gram):
+    h = 0
+    for i, c in enumerate(gram):
+        h = ((h ^ (h >> 15) if i else 0) + ord(c)) * 0x9E3779B1 % 2**32
+    return h >> 14
+
+
+def grams_of(text):
+    s = " " + "".join(c.lower() if c.isalpha() else " " for c in text) + " "
+    while "  " in s:
+        s = s.replace("  ", " ")
+    return {number(s[i : i + n]) for n in (1, 2, 3) for i in range(len(s) - n + 1) if s[i : i + n] != " "}
+
+
+def brute(train, texts, landmarks):
+    """Language and score of each text, from the definition, over sets of n-grams."""
+    sets = {k: grams_of(t) for k, t in train.items()}
+    kernel = lambda a, b: len(a & b) / (max(len(a), 1) * max(len(b), 1)) ** 0.5
+    languages = sorted({lang for lang, _ in train})
+    marks = [k for lang in languages for k in sorted(k for k in train if k[0] == lang)[:landmarks]]
+    own = np.array([[kernel(sets[a], sets[b]) for b in marks] for a in marks])
+    values, vectors = np.linalg.eigh(own)
+    good = values > 1e-6 * values[-1]
+    root = vectors[:, good] / np.sqrt(values[good])
+    row = lambda g: np.r_[np.array([kernel(g, sets[m]) for m in marks]) @ root, 1]
+    x = np.array([row(sets[k]) for k in sorted(train)])
+    y = np.array([[1.0 if k[0] == lang else -1.0 for lang in languages] for k in sorted(train)])
+    penalty = np.diag([language_id.RIDGE * len(x)] * (x.shape[1] - 1) + [1e-9])
+    w = np.linalg.solve(x.T @ x + penalty, x.T @ y)
+    out = []
+    for t in texts:
+        margin = row(grams_of(t)) @ w
+        out.append((languages[int(margin.argmax())], min(max((margin.max() + 1) / 2, 0), 1)))
+    return out
+
+
+def test_predictions_equal_a_plain_classifier(corpus):
+    rows = rows_of(120, 5)
+    df = frame(corpus, rows)
+    train = {(lang, i): t for i, t, lang in rows if zlib.crc32(str(i).encode()) % 4 != 2}
+    picked = {(r.lang, r.doc_id) for r in language_id.training_sample(
+        df.filter("pmod(crc32(cast(doc_id as string)), 4) <> 2").select("doc_id", "lang")).collect()}
+    want = brute({k: t for k, t in train.items() if k in picked}, [r[1] for r in rows], language_id.LANDMARKS_PER_LANGUAGE)
+    got = {r.doc_id: r for r in language_id.predictions(df).collect()}
+    for (i, _, _), (lang, score) in zip(rows, want, strict=True):
+        assert got[i].lang_pred == lang and abs(got[i].score - score) < 1e-3
+
+
+def test_rare_letters_of_many_scripts_count(corpus):
+    """Two languages in each of five scripts differ only by their letters, 200 in all."""
+    rng = random.Random(9)
+    starts = {"latin": 0x61, "greek": 0x3B1, "cyrillic": 0x430, "hangul": 0xAC00, "han": 0x4E00}
+    letters = {}
+    for script, first in starts.items():
+        own = [chr(c) for c in range(first, first + 60) if chr(c).isalpha() and chr(c).lower() == chr(c)]
+        letters |= {f"{script}{half}": own[half::2] for half in (0, 1)}
+    assert len(set(sum(letters.values(), []))) > 190
+    # One script has most texts, so that its letters are the commonest by far.
+    names = sorted(letters) * 12 + ["latin0", "latin1"] * 100
+    rows = [(i, " ".join("".join(rng.choices(letters[n], k=4)) for _ in range(25)), n) for i, n in enumerate(names)]
+    got = {r.doc_id: r for r in language_id.predictions(frame(corpus, rows)).collect()}
+    held = [(got[i].lang_pred, n) for i, _, n in rows if got[i].held_out]
+    assert len({n for _, n in held}) == 10 and all(a == b for a, b in held)
