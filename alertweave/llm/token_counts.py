@@ -27,6 +27,8 @@ CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens bigint"
 REMEMBERED = 300_000
 #: Texts and words that are handled at once; the library's encodings take much memory.
 TEXTS, WORDS = 128, 4096
+#: At most so many missing digests are sent to the texts, so that texts with a known count stay.
+SHARED_ROWS = 200_000
 _UNSURE = re.compile(r" \s|\s ")
 
 
@@ -57,6 +59,8 @@ class WordCounter:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         self.known: dict[str, int] = {}
@@ -142,10 +146,15 @@ def count_tokens(
         digests.select("content_digest").distinct().join(known, "content_digest", "left_anti"),
         "misses",
     )
-    if not wanted.isEmpty():
-        # Copies meet on the map side first, so a text that is everywhere moves once per task.
-        texts = rows.select("content_digest", "_text").dropDuplicates(["content_digest"])
-        misses = texts.join(wanted, "content_digest", "left_semi")
+    lacking = wanted.count()
+    if lacking:
+        texts = rows.select("content_digest", "_text")
+        if lacking <= SHARED_ROWS:
+            texts = texts.join(F.broadcast(wanted), "content_digest", "left_semi")
+        # Copies meet on the map side, so a text that is everywhere moves once per task.
+        misses = texts.dropDuplicates(["content_digest"])
+        if lacking > SHARED_ROWS:
+            misses = misses.join(wanted, "content_digest", "left_semi")
         add_counts(misses, definition, "_text").select(
             "content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens"
         ).write.mode("append").option("compression", "zstd").parquet(cache)

@@ -49,5 +49,22 @@ def test_only_misses_are_encoded_and_appended(docs, corpus):
     assert token_counts.read_cache(corpus, second).count() == 4
 
 
+def test_many_misses_are_not_broadcast(docs, corpus, monkeypatch):
+    rows = [(i, f"text {i % 7}") for i in range(40)]
+    want = sorted(token_counts.count_tokens(docs(rows), cache_of(corpus), BYTES).collect())
+    monkeypatch.setattr(token_counts, "SHARED_ROWS", 3)
+    cache = cache_of(corpus)
+    assert sorted(token_counts.count_tokens(docs(rows), cache, BYTES).collect()) == want
+    assert token_counts.read_cache(corpus, cache).count() == 7
+
+
+def test_a_tokenizer_that_cuts_and_pads_counts_whole_texts(docs, corpus):
+    tokenizer = Tokenizer.from_str(BYTES)
+    tokenizer.enable_truncation(4)
+    tokenizer.enable_padding(length=50)
+    got = token_counts.count_tokens(docs([(1, "a b c d e f g h"), (2, "a")]), cache_of(corpus), tokenizer.to_str())
+    assert {r.doc_id: r.n_tokens for r in got.collect()} == {1: 8, 2: 1}
+
+
 def test_empty_table(docs, corpus):
     assert token_counts.document_counts(docs([]), cache_of(corpus)).count() == 0
