@@ -170,20 +170,11 @@ def execute(
         F.reverse(plan["actions"]), lambda a: F.array_contains(F.col("_ok"), a["action_id"])
     )
 
-    def undo(original: Column) -> Column:
-        t = A.by_type(original["type"], K.ROLLBACK_OF)
-        wanted = A.action_id(t, original["params"])
-        rollback = F.try_element_at(
-            F.filter(
-                plan["rollback_actions"],
-                lambda r: (A.action_id(r["type"], r["params"]) == wanted) & (r["type"] == t),
-            ),
-            F.lit(-1),
-        )
-        found = F.exists(
-            plan["rollback_actions"],
-            lambda r: (A.action_id(r["type"], r["params"]) == wanted) & (r["type"] == t),
-        )
+    def undo(step: Column) -> Column:
+        original, t, wanted = step["original"], step["type"], step["wanted"]
+        matching = F.filter("_offered", lambda o: (o["wanted"] == wanted) & (o["action"]["type"] == t))
+        rollback = F.try_element_at(matching, F.lit(-1))["action"]
+        found = F.size(matching) > 0
         run = _run(rollback, ctx, executors, outcomes, K.DRY_ROLLBACK_TEXT)
         id_ = original["action_id"]
         return F.when(
@@ -195,8 +186,22 @@ def execute(
                     F.lit(K.NO_ROLLBACK), None, id_, F.lit(False))
         )
 
-    staged = out.withColumn("_ok", succeeded).withColumn(
-        "_undo", F.when(F.col("_stopped"), originals)
+    # The hash of type and parameters is taken once for each action, and only where a run stopped.
+    def wanted_rollback(original: Column) -> Column:
+        t = A.by_type(original["type"], K.ROLLBACK_OF)
+        return F.struct(original.alias("original"), t.alias("type"),
+                        A.action_id(t, original["params"]).alias("wanted"))
+
+    offered = F.transform(
+        plan["rollback_actions"],
+        lambda r: F.struct(r.alias("action"), A.action_id(r["type"], r["params"]).alias("wanted")),
+    )
+    staged = pin(
+        out.withColumn("_ok", succeeded),
+        {
+            "_undo": F.when(F.col("_stopped"), F.transform(originals, wanted_rollback)),
+            "_offered": F.when(F.col("_stopped"), offered),
+        },
     )
     notes = F.when(F.col("_stopped"), F.array(F.lit(K.STOP_NOTE))).otherwise(
         F.array().cast("array<string>")
@@ -207,7 +212,7 @@ def execute(
             "rollback_results": F.coalesce(F.transform("_undo", undo), no_results),
             "execution_notes": notes,
         },
-    ).drop("_p", "_stopped", "_ok", "_undo")
+    ).drop("_p", "_stopped", "_ok", "_undo", "_offered")
 
 
 def count_result(status: str) -> Column:

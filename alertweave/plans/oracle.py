@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from ..functions import fixed as K
 
 FX = """
@@ -282,6 +284,12 @@ def _quote(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _object(**parts: str) -> str:
+    """JSON object of SQL expressions that give JSON; members that are null are left out."""
+    members = ", ".join(f"'\"{name}\":'||({value})" for name, value in parts.items())
+    return f"('{{'||concat_ws(',', {members})||'}}')"
+
+
 def _logs() -> str:
     from ..functions.fixed import HEURISTICS
 
@@ -411,6 +419,12 @@ SELECT CAST(i AS VARCHAR) AS alert_id, string_agg(type, '|' ORDER BY {rank}, ord
   string_agg(rationale, '|' ORDER BY {rank}, ord) AS rationales FROM cand GROUP BY i"""
     q["plan_actions"] = P + """
 SELECT alert_id, seq, action_id, type, risk, impact, undo AS reversible, params, rationale FROM ac"""
+    q["plan_catalog_gaps"] = P + """,
+gap AS (SELECT *, type='IsolateHost' AS strange FROM ac0 WHERE type<>'OpenTicket'),
+gp AS (SELECT alert_id, i, action_id, type, params, rationale, ordinal, CAST(CASE WHEN strange THEN 100 ELSE risk END AS INTEGER) AS risk,
+  CAST(CASE WHEN strange THEN 100 ELSE impact END AS INTEGER) AS impact, undo AND NOT strange AS reversible FROM gap)
+SELECT alert_id, CAST(row_number() OVER (PARTITION BY i ORDER BY risk, impact, ordinal, action_id) - 1 AS INTEGER) AS seq,
+  action_id, type, risk, impact, reversible, params, rationale FROM gp"""
     q["plan_rollbacks"] = P + """
 SELECT alert_id, seq, action_id, type, risk, impact, reversible, params, rationale FROM rb"""
     q["plan_texts"] = S + """
@@ -711,6 +725,63 @@ SELECT alert_id, '{{"correlationId":"'||alert_id||'","alert":{{"sourceSiem":"'||
   ',"timestampUtc":"'||strftime(ts,'%Y-%m-%dT%H:%M:%S.%f')||'Z","entities":{{'||rtrim({ents}, ',')||
   '}},"context":{{"environment":"'||coalesce(environment,'unknown')||'","assetCriticality":'||crit||',"privileged":'||
   CASE WHEN priv THEN 'true' ELSE 'false' END||'}}}}}}' AS request FROM enr"""
+    score_alert = f"""'{{"sourceSiem":"'||siem_name||'","alertId":"'||alert_id||
+  '","type":"'||alert_type||'","ruleName":"'||rule_name||'","severity":'||severity||
+  ',"timestampUtc":"'||strftime(ts,'%Y-%m-%dT%H:%M:%S.%f')||'Z","entities":{{'||rtrim({ents}, ',')||
+  '}},"context":{{"environment":"'||coalesce(environment,'unknown')||'","assetCriticality":'||crit||',"privileged":'||
+  CASE WHEN priv THEN 'true' ELSE 'false' END||'}}}}'"""
+    q["score_prompts"] = E + f"""
+SELECT alert_id, md5({_quote(K.SCORER_REQUEST_INTRO)}||chr(10)||chr(10)||'Alert:'||chr(10)||{score_alert}||chr(10)) AS prompt_md5 FROM enr"""
+    text = lambda c: f"'\"'||{c}||'\"'"
+    flag = lambda c: f"CASE WHEN {c} THEN 'true' WHEN NOT {c} THEN 'false' END"
+    entities = _object(
+        hostname=text("hostname"), hostId=text("host_id"), username=text("username"), userId=text("user_id"),
+        srcIp=text("src_ip"), dstIp="CASE WHEN i%5<>0 AND i%3=1 THEN '\"192.168.0.'||(i%9)||'\"' END",
+        domain="CASE WHEN i%7=2 THEN '\"d'||(u%5)||'.example\"' END",
+        processName="CASE WHEN et='purchase' AND i%2=0 THEN '\"proc'||(i%6)||'.exe\"' END",
+        processPath="CASE WHEN et='purchase' THEN '\"/bin/proc'||(i%6)||'\"' END", fileHash=text("file_hash"),
+    )
+    asset = _object(
+        asset_id=text("asset_id"), criticality="criticality", environment=text("environment"),
+        roles="'[\"'||concat_ws('\",\"', owner, team)||'\"]'",
+    )
+    identity = _object(
+        user_id=text("ident_id"), privileged=flag("privileged"), department=text("department"),
+        groups="CASE WHEN service THEN '[\"service_account\"]' END",
+    )
+    intel = _object(reputation="reputation", matches="'[\"'||tag||'\"]'")
+    tags = _object(
+        asset_owner=text("owner"), asset_team="CASE WHEN apos IS NOT NULL THEN '\"'||coalesce(team,'')||'\"' END",
+        department=text("department"), is_service_account="CASE WHEN service THEN '\"True\"' WHEN NOT service THEN '\"False\"' END",
+        ti_source=text("source"),
+    )
+    context = _object(
+        asset=f"CASE WHEN apos IS NOT NULL THEN {asset} END", identity=f"CASE WHEN dpos IS NOT NULL THEN {identity} END",
+        threatIntel=f"CASE WHEN tpos IS NOT NULL THEN {intel} END",
+        tags=tags, assetCriticality="crit", privileged=flag("priv"), environment=text("coalesce(environment,'unknown')"),
+    )
+    planned = _object(
+        sourceSiem=text("siem_name"), alertId=text("alert_id"), type=text("alert_type"), ruleName=text("rule_name"),
+        timestampUtc=text("strftime(ts,'%Y-%m-%dT%H:%M:%S.%f')||'Z'"), severity="severity", entities=entities, context=context,
+    )
+    # Parameters stand in the order in which the scorer names them.
+    params = """CASE WHEN alert_type='MalwareHashOnHost' THEN
+    '{"host_id":"'||coalesce(host_id,'host-1')||'","file_hash":"'||coalesce(file_hash,'hash')||'"}' ELSE '{"'||replace(replace(rec_params,'=','":"'),'|','","')||'"}' END"""
+    action = _object(type=text("rec_type"), params=params, rationale=text("rec_why"))
+    assessed = _object(
+        confidence="conf", severity="sev", hypothesis=text("hypothesis"), evidence="'[\"scenario:'||alert_type||'\"]'",
+        recommendedActions=f"CASE WHEN rec_type IS NOT NULL THEN '['||{action}||']' END",
+    )
+    shape = json.dumps(K.PLANNER_REPLY_SHAPE, indent=2)
+    q["plan_request_table"] = S + f""",
+rq AS (SELECT alert_id, {planned} AS alert, {assessed} AS assessment FROM sc)
+SELECT alert_id, '{{"alert":'||alert||',"assessment":'||assessment||',"planning":{{"environment":"dev","dryRun":true,"nowUtc":"2024-02-01T00:00:00.000000Z"}}}}' AS request,
+  md5({_quote(K.PLANNER_REQUEST_INTRO + chr(10) + shape + chr(10) * 2 + K.PLANNER_REQUEST_OUTRO + chr(10) * 2 + 'Alert:' + chr(10))}||alert||
+    chr(10)||chr(10)||'Assessment:'||chr(10)||assessment||chr(10)) AS prompt_md5 FROM rq"""
+    q["rule_request_table"] = f"""
+SELECT conv_id, turn, md5('{{"detection_goal":'||CAST(to_json(text) AS VARCHAR)||',"siem":"{K.NESTED_SIEM}","example_events":'||
+  CASE WHEN turn%2=0 THEN CAST(to_json(role) AS VARCHAR) ELSE 'null' END||',"existing_rules":'||
+  CASE WHEN conv_id%3=0 THEN '"<rule id=\\"1\\">\\n</rule>"' ELSE 'null' END||',"existing_logs":null}}') AS request_md5 FROM conversations"""
     plain = "regexp_replace(text, '[{}]', '', 'g')"
     q["reply_objects"] = f"""
 SELECT conv_id, turn, CASE WHEN (conv_id+turn)%3=0 THEN '{{"severity":7,"note":{{"a":1}}}}' END AS found,

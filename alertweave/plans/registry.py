@@ -393,6 +393,17 @@ def plan_actions(spark, sf):
     return _action_columns(plan.action_table(planned(spark, sf)))
 
 
+@query
+def plan_catalog_gaps(spark, sf):
+    """Another catalog: tickets need a queue, which nobody gives, and host isolation is not in it."""
+    catalog = {k: v for k, v in K.ACTION_CATALOG.items() if k != "IsolateHost"}
+    catalog["OpenTicket"] = (*catalog["OpenTicket"][:4], ["queue"])
+    planned = chain(spark, sf, planning=plan.PlanningContext(catalog=catalog)).planned(
+        valid(spark, sf), X.now()
+    )
+    return _action_columns(plan.action_table(planned))
+
+
 @query
 def plan_rollbacks(spark, sf):
     return _action_columns(plan.action_table(planned(spark, sf), "rollback_actions"))
@@ -1013,6 +1024,31 @@ def request_table(spark, sf):
     return replies.score_requests(enriched(spark, sf)).select("alert_id", "request")
 
 
+@query
+def score_prompts(spark, sf):
+    return replies.score_requests(enriched(spark, sf)).select("alert_id", F.md5("prompt").alias("prompt_md5"))
+
+
+@query
+def plan_request_table(spark, sf):
+    """Payload and prompt of the planner for every alert."""
+    return replies.plan_requests(scored(spark, sf), X.now()).select(
+        "alert_id", "request", F.md5("prompt").alias("prompt_md5")
+    )
+
+
+@query
+def rule_request_table(spark, sf):
+    """Rule-generation payloads; goals are the conversation texts, some with examples."""
+    c = X.table(spark, sf, "conversations")
+    goals = c.select(
+        "conv_id", "turn", F.col("text").alias("detection_goal"),
+        F.when(F.col("turn") % 2 == 0, F.col("role")).alias("example_events"),
+        F.when(F.col("conv_id") % 3 == 0, F.lit('<rule id="1">\n</rule>')).alias("existing_rules"),
+    )
+    return replies.rule_requests(goals).select("conv_id", "turn", F.md5("request").alias("request_md5"))
+
+
 @query
 def reply_objects(spark, sf):
     """Replies around conversation texts: an object in prose, broken JSON, plain text."""

@@ -143,8 +143,8 @@ def write_pairs(pairs: DataFrame, path: str) -> None:
 
 
 def write_extracts(documents: DataFrame, path: str) -> None:
-    """One directory per dataset id holding its JSON array."""
-    documents.write.mode("errorifexists").partitionBy("dataset_id").text(path)
+    """One directory per dataset id holding its JSON array; an id is written by one task."""
+    documents.repartition("dataset_id").write.mode("errorifexists").partitionBy("dataset_id").text(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -128,3 +128,26 @@ def test_bad_alert_stops_nothing(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/plans").count() == 1
     assert spark.read.parquet(f"{tmp_path}/rejects").count() == 1
     assert pytest.approx(spark.read.parquet(f"{tmp_path}/acks").count()) == 4
+
+
+@pytest.mark.parametrize("interval", [0, 1])
+def test_cycles_are_counted_for_each_run(spark, tmp_path, interval):
+    landed, root = tmp_path / "in", str(tmp_path / "out")
+    landed.mkdir()
+    for i in range(4):
+        alert = {"alert_id": str(i), "siem_name": "wazuh", "payload": json.dumps({"hostname": f"h{i}"})}
+        (landed / f"{i}.json").write_text(json.dumps(alert) + "\n")
+
+    def run(cycles):
+        stream = triage.read_alert_stream(spark, str(landed), max_files=1)
+        return triage.run_cycles(stream, Triage(), root, str(tmp_path / "cp"), cycles, interval, lambda: X.now())
+
+    def handled():
+        return sorted(r[0] for r in spark.read.parquet(f"{root}/plans").select("alert_id").collect())
+
+    assert run(1) == 1 and len(handled()) == 1
+    # A restart goes on behind the first run, and its limit counts its own cycles.
+    assert run(2) == 2 and len(handled()) == 3
+    assert run(1) == 1 and handled() == ["0", "1", "2", "3"]
+    if interval == 0:
+        assert run(5) == 0 and len(handled()) == 4
