@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from alertweave.operators import audit, training
+from alertweave.operators import audit, enrich, training
 from alertweave.sources import readers, sinks
 
 TS = dt.datetime(2024, 1, 1, 10)
@@ -61,3 +61,32 @@ def test_texts_are_written(spark, tmp_path):
     assert spark.range(1).select(
         F.get_json_object(F.lit(text), "$[0].rule.a"), F.get_json_object(F.lit(text), "$[0].full_log")
     ).first()[:] == ("1", 'say "hi"')
+
+
+def test_extracts_are_written_by_one_task_for_each_id(spark, tmp_path):
+    path = tmp_path / "extracts"
+    rows = spark.createDataFrame([(f"d{i % 3}", f'{{"i": {i}}}') for i in range(30)], "dataset_id string, value string")
+    sinks.write_extracts(rows.repartition(6), str(path))
+    for i in range(3):
+        assert len(list((path / f"dataset_id=d{i}").glob("*.txt"))) == 1
+    got = spark.read.text(str(path)).collect()
+    assert sorted((r.dataset_id, r.value) for r in got) == sorted(tuple(r) for r in rows.collect())
+
+
+def test_json_and_outbox_tables(spark, tmp_path):
+    rows = spark.createDataFrame([("a", ["x", "é"]), ("b", [])], "id string, actions array<string>")
+    sinks.write_json(rows, str(tmp_path / "plans"))
+    got = spark.read.schema(rows.schema).json(str(tmp_path / "plans")).collect()
+    assert sorted((r.id, r.actions) for r in got) == [("a", ["x", "é"]), ("b", [])]
+    out = spark.createDataFrame([("1", "firewall"), ("2", "mail")], "action_id string, target string")
+    for _ in range(2):
+        sinks.write_outbox(out, str(tmp_path / "outbox"))
+    stored = spark.read.parquet(str(tmp_path / "outbox"))
+    assert stored.count() == 4 and stored.filter("target = 'mail'").select("action_id").distinct().count() == 1
+
+
+def test_extra_tags_win_over_those_of_the_alert(spark):
+    df = spark.createDataFrame([("1", {"a": "x", "b": "y"}), ("2", None)], "alert_id string, tags map<string,string>")
+    extra = F.create_map(F.lit("b"), F.lit("z"), F.lit("scenario"), F.lit("s1"))
+    got = {r.alert_id: r.tags for r in enrich.add_tags(df, extra).collect()}
+    assert got == {"1": {"a": "x", "b": "z", "scenario": "s1"}, "2": {"b": "z", "scenario": "s1"}}
