@@ -13,7 +13,7 @@ from ..functions import fixed as K
 from ..functions.json_access import MAP_TYPE, wrapped_values
 from ..functions.staging import pin
 from ..functions.text import contains_all, contains_any, empty_to_null
-from .ordered import with_previous
+from .ordered import changes
 
 
 def _field_text(field: str) -> Column:
@@ -95,9 +95,7 @@ def ip_changes(
     usable = slim.withColumn("agent_key", key).filter(
         F.col("agent_key").isNotNull() & (F.length("agent_ip") > 0)
     )
-    return with_previous(
-        usable, "agent_key", order_by, "agent_ip", "previous_ip", partitions
-    ).filter(F.col("previous_ip") != F.col("agent_ip"))
+    return changes(usable, "agent_key", order_by, "agent_ip", "previous_ip", partitions)
 
 
 def _table(values: list, index: Column) -> Column:

@@ -12,11 +12,19 @@ numbers must not change between the two reads of them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.staging import ship
 from ..session import ensure_checkpoint_dir
 
+ship(__name__)
+
 _PARTITION_BYTES = 256 << 20
 _MOST_PARTITIONS = 1_000_000
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
@@ -99,3 +107,66 @@ def with_previous(
         )
         .drop("_part", "_mid", "_first", "_lag", "_carry")
     )
+
+
+#: Kinds of rows that a task of ``changes`` gives.
+_HIT, _FIRST, _LAST = 0, 1, 2
+
+
+def _scan(key: str, value: str, out: str):
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Hits of one sorted partition, its first row (without ``out``) and its last row."""
+        part, end = TaskContext.get().partitionId(), None
+        for rows in batches:
+            if rows.empty:
+                continue
+            before = rows[[key, value]].astype(object).shift(1)
+            if end is not None:
+                before.iloc[0] = end.iloc[-1][[key, value]]
+            hit = (before[key] == rows[key]) & before[value].notna() & rows[value].notna() & (before[value] != rows[value])
+            kind = pd.Series(_HIT, index=rows.index)
+            if end is None:
+                kind.iloc[0] = _FIRST
+                hit.iloc[0] = True
+            yield rows[hit].assign(**{out: before[value][hit], "_part": part, "_kind": kind[hit]})
+            end = rows.tail(1)
+        if end is not None:
+            yield end.assign(**{out: None, "_part": part, "_kind": _LAST})
+
+    return scan
+
+
+def changes(
+    df: DataFrame, key: str, order_by: list[str], value: str, out: str, partitions: int | None = None
+) -> DataFrame:
+    """The rows whose ``value`` is not that of the preceding row of the same ``key``, kept in ``out``.
+
+    A null on either side is no change; keys must not be null; ``order_by`` must be total for each
+    key. Rows are exchanged once, by ranges of (key, order), so any key may spread over many
+    tasks. A task goes through its sorted rows and gives the changes and its two border rows;
+    only these are checkpointed, and the borders are settled among themselves.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    order = [F.col(key), *[F.col(c) for c in order_by]]
+    ranged = df.repartitionByRange(partitions or _partitions(df), *order).sortWithinPartitions(*order)
+    extra = [
+        T.StructField(out, df.schema[value].dataType), T.StructField("_part", T.IntegerType()),
+        T.StructField("_kind", T.IntegerType()),
+    ]
+    nullable = [T.StructField(f.name, f.dataType) for f in df.schema.fields]
+    found = ranged.mapInPandas(_scan(key, value, out), T.StructType(nullable + extra)).checkpoint()
+    # At most two rows for each partition.
+    borders = found.filter(F.col("_kind") != _HIT)
+    ends = borders.select("_part", "_kind", F.struct(F.col(key).alias("k"), F.col(value).alias("v")).alias("_end"))
+    by_part = Window.orderBy("_part", "_kind")
+    carry = ends.withColumn("_carry", F.lag("_end").over(by_part)).filter(F.col("_kind") == _FIRST)
+    first = (
+        borders.filter(F.col("_kind") == _FIRST)
+        .drop(out)
+        .join(F.broadcast(carry.select("_part", "_carry")), "_part")
+        .filter((F.col("_carry")["k"] == F.col(key)) & (F.col("_carry")["v"] != F.col(value)))
+        .withColumn(out, F.col("_carry")["v"])
+    )
+    kept = [*df.columns, out]
+    return found.filter(F.col("_kind") == _HIT).select(*kept).unionByName(first.select(*kept))

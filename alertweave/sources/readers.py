@@ -13,7 +13,7 @@ from ..functions.staging import pin
 from ..functions.text import non_blank, parse_instant
 from ..operators.ordered import with_position
 from ..operators.policy import PolicyConfig
-from . import csv_records, json_ranges
+from . import commits, csv_records, json_ranges
 
 
 # --- S-5 / U-1 -------------------------------------------------------------------
@@ -260,8 +260,10 @@ def read_dataset(
     """All-string CSV with a header and quoted multi-line values; empty stays empty text.
 
     A file is read by as many tasks as it has splits. ``row_order`` names a sortable column
-    with the file order of the rows.
+    with the file order of the rows. Of a dataset with manifests, committed appends are read.
     """
+    if isinstance(path, str) and (folders := commits.committed(spark, path)):
+        path = folders
     return csv_records.read_records(spark, path, row_order)
 
 

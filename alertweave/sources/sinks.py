@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import empty_to_null, iso_micros, non_blank, stable_id
 from ..operators import dataset as D
+from . import commits
 from .readers import read_dataset
 
 
@@ -63,18 +64,27 @@ def append_dataset(
     unique_fields: list[str],
     order_by: list[str],
     stored: DataFrame | None = None,
+    batch: str | None = None,
 ) -> int:
     """Append the new rows of ``incoming`` to a CSV dataset and return how many.
 
     The rows are pinned before the write, so the count and the file agree and the
     anti-join reads the dataset as it was.
+
+    ``batch`` names the append and makes it happen once (``commits``): run again after a loss at
+    any point, it leaves the dataset as one run would. Without it the files are appended plainly,
+    and rows of a half-committed append can be there twice after a retry.
     """
     from ..session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(spark)
+    if batch is not None and (before := commits.rows_of(spark, path, batch)) is not None:
+        return before
     before = stored if stored is not None else _stored(spark, path, fields)
     fresh = D.new_rows(before, incoming, unique_fields, order_by).checkpoint()
     added = fresh.count()
+    if batch is not None:
+        return commits.append(spark, path, batch, added, lambda at: write_csv(fresh.select(*fields), at, "errorifexists"))
     if added:
         write_csv(fresh.select(*fields), path, "append")
     return added
@@ -83,7 +93,7 @@ def append_dataset(
 def _stored(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
     from .readers import _exists
 
-    if _exists(spark, path):
+    if _exists(spark, path) and commits.committed(spark, path) != []:
         return read_dataset(spark, path)
     return spark.createDataFrame([], ", ".join(f"`{f}` string" for f in fields))
 
@@ -125,9 +135,10 @@ def ingest(
     unique_fields: list[str],
     order_by: list[str],
     dedup_to: str | None = None,
+    batch: str | None = None,
 ) -> dict:
     """Append and optionally deduplicate; returns the ingest statistics (A-8)."""
-    added = append_dataset(spark, incoming, path, fields, unique_fields, order_by)
+    added = append_dataset(spark, incoming, path, fields, unique_fields, order_by, batch=batch)
     removed = 0
     if dedup_to is not None:
         removed = rewrite_deduplicated(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -14,6 +15,8 @@ from ..functions.staging import ship
 from ..functions.text import empty_to_null
 from ..operators import dataset as D
 from ..operators.heuristics import parse_rows
+from ..operators.ordered import changes
+from ..sources.runs import Runs
 from .known import KnownIds, append_new
 from .triage import batch_folder, write_batch
 
@@ -60,20 +63,24 @@ def _changes(
     yield changed[["agent_key", "id", "previous_ip", "agent_ip"]]
 
 
-def ip_change_stream(rows: DataFrame, order_by: str = "ts") -> DataFrame:
-    """Rows whose agent was last seen with another address; the state is one address per agent.
-
-    Only order, id and address of a row reach the stateful step. A group holds one agent's
-    rows of one micro-batch, so the source's ``maxFilesPerTrigger`` bounds it.
-    """
+def _addresses(rows: DataFrame, order_by: str) -> DataFrame:
     slim = parse_rows(rows).select(
         F.coalesce(empty_to_null("agent_id"), empty_to_null("agent_name")).alias("agent_key"),
         F.col(order_by).alias("_ord"),
         "id",
         "agent_ip",
     )
-    usable = slim.filter(F.col("agent_key").isNotNull() & (F.length("agent_ip") > 0))
-    return usable.groupBy("agent_key").applyInPandasWithState(
+    return slim.filter(F.col("agent_key").isNotNull() & (F.length("agent_ip") > 0))
+
+
+def ip_change_stream(rows: DataFrame, order_by: str = "ts") -> DataFrame:
+    """Rows whose agent was last seen with another address; the state is one address per agent.
+
+    Only order, id and address of a row reach the stateful step. A group holds one agent's
+    rows of one micro-batch, so the source's ``maxFilesPerTrigger`` bounds it; where an agent
+    may be hot, use ``address_stream``.
+    """
+    return _addresses(rows, order_by).groupBy("agent_key").applyInPandasWithState(
         _changes,
         outputStructType=CHANGE_SCHEMA,
         stateStructType="last_ip string",
@@ -82,6 +89,52 @@ def ip_change_stream(rows: DataFrame, order_by: str = "ts") -> DataFrame:
     )
 
 
+LAST_SCHEMA = "agent_key string, agent_ip string, batch bigint"
+
+
+def _latest(rows: DataFrame) -> DataFrame:
+    """The address of the latest batch for each agent."""
+    return rows.groupBy("agent_key").agg(
+        F.max_by("agent_ip", "batch").alias("agent_ip"), F.max("batch").alias("batch")
+    )
+
+
+def address_batch(rows: DataFrame, batch_id: int, root: str, order_by: str = "ts") -> None:
+    """Write the address changes of one micro-batch and keep the last address of each agent.
+
+    The addresses of earlier batches enter as the first row of their agent, and the whole goes
+    through the ordered scan, which spreads an agent over as many tasks as its rows need. Rows
+    are in order of ``order_by``, id and address inside a batch, and by arrival between batches.
+    """
+    spark = rows.sparkSession
+    last = Runs(spark, f"{root}/last-address", LAST_SCHEMA)
+    last.compact(batch_id, _latest)
+    slim = _addresses(rows, order_by).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        keys = slim.select("agent_key").distinct()
+        before = _latest(last.read([r for r in last.live() if r[1] < batch_id])).join(keys, "agent_key", "left_semi")
+        carried = before.select(
+            "agent_key", *[F.lit(None).cast(slim.schema[c].dataType).alias(c) for c in ("_ord", "id")], "agent_ip"
+        )
+        both = slim.withColumn("_new", F.lit(True)).unionByName(carried.withColumn("_new", F.lit(False)))
+        changed = changes(both, "agent_key", ["_new", "_ord", "id", "agent_ip"], "agent_ip", "previous_ip")
+        write_batch(changed.select("agent_key", "id", "previous_ip", "agent_ip"), root, "address-changes", batch_id)
+        newest = F.max_by("agent_ip", F.struct("_ord", "id", "agent_ip")).alias("agent_ip")
+        last.put(slim.groupBy("agent_key").agg(newest).withColumn("batch", F.lit(batch_id).cast("bigint")), batch_id)
+    finally:
+        slim.unpersist()
+
+
+def address_stream(rows: DataFrame, root: str, checkpoint: str, order_by: str = "ts") -> StreamingQuery:
+    """Address changes of a stream under ``root/address-changes``; no agent's rows meet in one task."""
+    return (
+        rows.writeStream.option("checkpointLocation", checkpoint)
+        .foreachBatch(lambda df, batch_id: address_batch(df, batch_id, root, order_by))
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def append_batch(
     rows: DataFrame, batch_id: int, root: str, unique_fields: list[str], order_by: list[str]
 ) -> None:
