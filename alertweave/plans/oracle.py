@@ -690,6 +690,14 @@ SELECT id AS dataset_id, name AS heuristic,
   CASE WHEN NOT plain THEN aip END AS ip, CAST(i%100 AS VARCHAR) AS rule_id, descr AS rule_description, severity,
   full_log AS log_excerpt, {_response_case()} AS actions FROM hn"""
     q["ip_change"] = logs + " SELECT id, agent_key, previous_ip, aip AS agent_ip FROM chg"
+    q["stream_addresses"] = logs.replace("BY agent_key ORDER BY ts, i)", "BY agent_key ORDER BY ts, id)") \
+        + " SELECT id, agent_key, previous_ip, aip AS agent_ip FROM chg"
+    q["stream_cycles"] = q["cycle_report"].replace(",\n  '200' AS next_cursor", "")
+    q["stream_cases"] = q["case_state"]
+    q["stream_dataset"] = q["dataset_dedupe"]
+    q["dataset_commits"] = """
+SELECT CAST(min(doc_id) AS VARCHAR) AS doc_id, md5(coalesce(text,'')) AS text_md5,
+  arg_min(coalesce(lang,''), doc_id) AS lang FROM documents GROUP BY coalesce(text,'')"""
     docs = """WITH lb AS (SELECT l.doc_id AS k, quality, toxic, d.text, d.source, d.n_chars,
   CASE WHEN l.doc_id%3=0 THEN '{"id":"'||(l.doc_id%50)||'"}' WHEN l.doc_id%3=1 THEN 'plain rule' ELSE '' END AS rule
   FROM labels l JOIN documents d ON d.doc_id=l.doc_id)"""

@@ -33,6 +33,9 @@ from ..operators import (
 from ..session import ensure_checkpoint_dir, prepare
 from ..sources import alerts as alert_source
 from ..sources import readers, sinks
+from ..streaming import stateful
+from ..streaming import triage as triage_stream
+from ..streaming.case_table import CaseTable
 from . import fixtures as X
 from .triage import Triage, ranking
 
@@ -1099,3 +1102,93 @@ def runbooks(spark, sf):
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Which alerts come first and what to do about them, over all alerts."""
     return QUERIES["plan_header"](spark, sf)
+
+
+# --- streams and tables kept over batches ------------------------------------------------
+
+
+def _new_folder(spark: SparkSession, name: str) -> str:
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def _parts(rows: DataFrame, column: str, n: int = 3) -> list[DataFrame]:
+    """All rows in ``n`` ranges of a column; nulls are in the first."""
+    number = F.col(column).cast("long")
+    marks = rows.select(number.alias("v")).approxQuantile("v", [i / n for i in range(1, n)], 0.01)
+    place = F.coalesce(sum((number >= F.lit(m)).cast("int") for m in marks), F.lit(0))
+    return [rows.filter(place == i) for i in range(n)]
+
+
+def _arriving(parts: list[DataFrame], folder: str, run: Callable[[DataFrame], object]) -> None:
+    """Land one part after the other; the stream runs after each until it has read it."""
+    for part in parts:
+        part.write.mode("append").parquet(folder)
+        run(part.sparkSession.readStream.schema(part.schema).parquet(folder)).awaitTermination()
+
+
+@query
+def stream_cycles(spark, sf):
+    """Counters of all cycles of the alert stream, one landed file in each."""
+    root = _new_folder(spark, "stream-cycles")
+    X.alerts(spark, sf).repartition(2, "alert_id").write.json(f"{root}/landed")
+    source = triage_stream.read_alert_stream(spark, f"{root}/landed", max_files=1)
+    triage_stream.start(source, chain(spark, sf), root, f"{root}/checkpoint", 0, X.now).awaitTermination()
+    counters = [f.name for f in spark.read.parquet(f"{root}/cycles").schema if f.name not in ("batch_id", "next_cursor")]
+    return spark.read.parquet(f"{root}/cycles").agg(*[F.sum(c).alias(c) for c in counters])
+
+
+@query
+def stream_cases(spark, sf):
+    """Current cases of events that arrive in an order unlike that of their times."""
+    events, root = X.case_events(spark, sf), _new_folder(spark, "stream-cases")
+    table = CaseTable(spark, f"{root}/cases", events.schema)
+    mixed = [events.filter(F.pmod("seq", F.lit(3)) == i) for i in range(3)]
+
+    def run(stream: DataFrame):
+        writer = stream.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
+        return writer.foreachBatch(lambda df, batch_id: table.add(df, batch_id)).start()
+
+    _arriving(mixed, f"{root}/landed", run)
+    return table.current().select(
+        "case_id", "summary", "severity", "alert_key", "status",
+        micros(F.col("created_at")).alias("created_us"),
+        micros(F.col("updated_at")).alias("updated_us"),
+    )
+
+
+@query
+def stream_addresses(spark, sf):
+    """Address changes of logs that arrive in order of time, over several runs of the stream."""
+    root = _new_folder(spark, "stream-addresses")
+    _arriving(
+        _parts(X.logs(spark, sf), "ts"), f"{root}/landed",
+        lambda stream: stateful.address_stream(stream, root, f"{root}/checkpoint"),
+    )
+    return spark.read.parquet(f"{root}/address-changes").select("id", "agent_key", "previous_ip", "agent_ip")
+
+
+@query
+def stream_dataset(spark, sf):
+    """Rows new to a stored dataset, over several runs of the stream."""
+    root = _new_folder(spark, "stream-dataset")
+    _arriving(
+        _parts(_doc_rows(spark, sf), "doc_id"), f"{root}/landed",
+        lambda stream: stateful.append_stream(stream, root, f"{root}/checkpoint", ["text"], ["doc_id"]),
+    )
+    return spark.read.parquet(f"{root}/dataset").select(
+        "doc_id", "lang", "source", F.md5("text").alias("text_md5")
+    )
+
+
+@query
+def dataset_commits(spark, sf):
+    """A CSV dataset of all documents by committed appends, each of them tried twice."""
+    path, fields = _new_folder(spark, "dataset-commits"), ["doc_id", "text", "lang"]
+    rows = X.table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("doc_id"), "text", "lang", F.col("doc_id").alias("doc_no")
+    )
+    for i, part in enumerate(_parts(rows, "doc_no")):
+        for _ in range(2):
+            sinks.append_dataset(spark, part, path, fields, ["text"], ["doc_no"], batch=f"part {i}")
+    return readers.read_dataset(spark, path).select("doc_id", F.md5("text").alias("text_md5"), "lang")
