@@ -117,7 +117,9 @@ def address_batch(rows: DataFrame, batch_id: int, root: str, order_by: str = "ts
             "agent_key", *[F.lit(None).cast(slim.schema[c].dataType).alias(c) for c in ("_ord", "id")], "agent_ip"
         )
         both = slim.withColumn("_new", F.lit(True)).unionByName(carried.withColumn("_new", F.lit(False)))
-        changed = changes(both, "agent_key", ["_new", "_ord", "id", "agent_ip"], "agent_ip", "previous_ip")
+        # The rows of a micro-batch have no size estimate, so the number of tasks is the session's.
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        changed = changes(both, "agent_key", ["_new", "_ord", "id", "agent_ip"], "agent_ip", "previous_ip", tasks)
         write_batch(changed.select("agent_key", "id", "previous_ip", "agent_ip"), root, "address-changes", batch_id)
         newest = F.max_by("agent_ip", F.struct("_ord", "id", "agent_ip")).alias("agent_ip")
         last.put(slim.groupBy("agent_key").agg(newest).withColumn("batch", F.lit(batch_id).cast("bigint")), batch_id)
