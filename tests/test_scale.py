@@ -1,10 +1,16 @@
 """What keeps one task from getting most of the work."""
 
+import glob
+
 import pytest
 from pyspark.sql import functions as F
 
 from alertweave.operators import enrich
+from alertweave.plans import fixtures as X
+from alertweave.plans import registry
+from alertweave.sources.runs import HourRuns
 
+SF = "/root/testdata/sf0.001"
 SHUFFLED = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
 
 
@@ -33,3 +39,20 @@ def test_alerts_without_a_match_are_not_in_one_task(spark, settings):
     assert len(rows) == 200
     assert {r.alert_id: r.m.name for r in rows if r.m} == {"7": "h7"}
     assert len({r.task for r in rows if not r.m}) > 1
+
+
+def test_a_large_hour_is_written_by_several_tasks(spark, settings, tmp_path):
+    settings({"spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k"})
+    rows = spark.range(0, 20000, 1, 8).select(F.md5(F.col("id").cast("string")).alias("v"), F.lit("2024020100").alias("hour"))
+    runs = HourRuns(spark, str(tmp_path / "audit"), "v string, hour string")
+    assert runs.put(rows, 0)
+    assert len(glob.glob(f"{tmp_path}/audit/hour=2024020100/run-0-0/*.parquet")) > 1
+    assert runs.read().distinct().count() == 20000
+
+
+def test_the_alert_stream_lands_in_a_file_for_each_core(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(registry, "_new_folder", lambda spark, name: str(tmp_path))
+    counters = registry.QUERIES["stream_cycles"](spark, SF)
+    assert len(glob.glob(f"{tmp_path}/landed/*.json")) == X.cores(spark)
+    assert spark.read.parquet(f"{tmp_path}/cycles").select("batch_id").distinct().count() == 2
+    assert counters.first()["pulled"] == X.events(spark, SF).count()
