@@ -5,9 +5,10 @@ import glob
 import pytest
 from pyspark.sql import functions as F
 
-from alertweave.operators import enrich
+from alertweave.operators import enrich, plan, replies, score
 from alertweave.plans import fixtures as X
 from alertweave.plans import registry
+from alertweave.plans.triage import Triage
 from alertweave.sources.runs import HourRuns
 
 SF = "/root/testdata/sf0.001"
@@ -41,6 +42,32 @@ def test_alerts_without_a_match_are_not_in_one_task(spark, settings):
     assert len({r.task for r in rows if not r.m}) > 1
 
 
+def test_plans_are_not_shuffled_to_their_replies(spark, settings):
+    settings(SHUFFLED)
+    answers = spark.createDataFrame([("1", "no plan"), ("1", "none")], "alert_id string, reply string")
+    planned = Triage(plan_replies=answers).planned(registry.valid(spark, SF), X.now())
+    text = planned.select("alert_id", "plan", "plan_source")._jdf.queryExecution().executedPlan().toString()
+    assert text.index("Generate") < text.index("Exchange")
+
+
+def test_replies_by_either_way(spark):
+    """Joined before planning or after it: the same rows, also for an alert with two replies."""
+    ids = [r[0] for r in registry.valid(spark, SF).select("alert_id").orderBy("alert_id").limit(4).collect()]
+    good = '{"strategy":"Contain","actions":[{"type":"Notify"}]}'
+    answers = spark.createDataFrame(
+        [(ids[0], good), (ids[0], "none"), (ids[1], '{"actions":[]}'), (ids[2], None)], "alert_id string, reply string"
+    )
+    chosen = registry.valid(spark, SF).filter(F.col("alert_id").isin(ids))
+    plain = plan.plan(score.scenario_score(enrich.enrich(chosen, X.now())))
+    late = replies.with_plan_replies(plain, answers)
+    early = Triage(plan_replies=answers).planned(chosen, X.now())
+    show = lambda df: sorted((r.alert_id, r.plan_source, r.plan.plan_id) for r in df.collect())
+    assert show(early) == show(late)
+    assert sorted(r[:2] for r in show(early)) == sorted(
+        [(ids[0], "computed"), (ids[0], "external"), *[(i, "computed") for i in ids[1:]]]
+    )
+
+
 def test_a_large_hour_is_written_by_several_tasks(spark, settings, tmp_path):
     settings({"spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k"})
     rows = spark.range(0, 20000, 1, 8).select(F.md5(F.col("id").cast("string")).alias("v"), F.lit("2024020100").alias("hour"))
