@@ -21,14 +21,18 @@ def empty_params() -> Column:
 
 def signature(action_type: Column, params: Column) -> Column:
     pairs = F.transform(
-        F.array_sort(F.map_entries(params)),
+        F.sort_array(F.map_entries(params)),
         lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit(""))),
     )
     return F.concat(action_type, F.lit(":"), F.array_join(pairs, "|"))
 
 
 def action_id(action_type: Column, params: Column) -> Column:
-    return F.substring(F.sha2(signature(action_type, params), 256), 1, 16)
+    return hashed(signature(action_type, params))
+
+
+def hashed(signature_: Column) -> Column:
+    return F.substring(F.sha2(signature_, 256), 1, 16)
 
 
 def action(
@@ -53,6 +57,12 @@ def action(
     )
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once. Lambdas are interpreted and share nothing, so
+    what a lambda names twice is computed twice."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def has_key(params: Column, keys: Column) -> Column:
     """Whether one of the keys has a non-blank value."""
     return F.exists(keys, lambda k: non_blank(F.try_element_at(params, k)))

@@ -75,38 +75,48 @@ def _result(
 
 
 def _run(action: Column, ctx: ExecutionContext, executors: list, outcomes: Column | None,
-         dry_text: str) -> dict[str, Column]:
+         dry_text: str) -> Column:
     """What the routed executor answers: status, executor, message, reference, executed."""
     t = action["type"]
-    name = A.by_type(t, _by_executor(executors, 1))
-    has_executor = name.isNotNull()
-    feasible = _feasible(action, executors)
     missing = A.by_type(t, _by_executor(executors, 3))
     reference = F.concat(A.by_type(t, _by_executor(executors, 4)), action["action_id"])
     stub_text = A.by_type(t, K.EXECUTED_TEXT)
+    with_reply = not ctx.dry_run and outcomes is not None
+
+    def answer(x: Column) -> Column:
+        if ctx.dry_run:
+            done, text, ref = F.lit("DryRun"), F.lit(dry_text), F.lit(None).cast("string")
+        elif not with_reply:
+            done, text, ref = F.lit("Succeeded"), stub_text, reference
+        else:
+            reply = x["reply"]
+            ok = F.coalesce(reply["succeeded"], F.lit(True))
+            done = F.when(ok, F.lit("Succeeded")).otherwise(F.lit("Failed"))
+            text = F.coalesce(reply["message"], stub_text)
+            ref = F.when(reply.isNull(), reference).otherwise(reply["reference"])
+        has_executor, feasible = x["name"].isNotNull(), x["feasible"]
+        ran = has_executor & feasible
+        return F.struct(
+            F.when(~has_executor, F.lit("Failed"))
+            .when(~feasible, F.lit("Skipped"))
+            .otherwise(done)
+            .alias("status"),
+            F.coalesce(x["name"], F.lit(K.PIPELINE_NAME)).alias("executor"),
+            F.when(~has_executor, F.lit(K.NO_EXECUTOR))
+            .when(~feasible, missing)
+            .otherwise(text)
+            .alias("message"),
+            F.when(ran, ref).alias("reference"),
+            (ran if not ctx.dry_run else F.lit(False)).alias("executed"),
+        )
 
-    if ctx.dry_run:
-        done, text, ref = F.lit("DryRun"), F.lit(dry_text), F.lit(None).cast("string")
-    elif outcomes is None:
-        done, text, ref = F.lit("Succeeded"), stub_text, reference
-    else:
-        reply = F.try_element_at(outcomes, action["action_id"])
-        ok = F.coalesce(reply["succeeded"], F.lit(True))
-        done = F.when(ok, F.lit("Succeeded")).otherwise(F.lit("Failed"))
-        text = F.coalesce(reply["message"], stub_text)
-        ref = F.when(reply.isNull(), reference).otherwise(reply["reference"])
-    ran = has_executor & feasible
-    return {
-        "status": F.when(~has_executor, F.lit("Failed"))
-        .when(~feasible, F.lit("Skipped"))
-        .otherwise(done),
-        "executor": F.coalesce(name, F.lit(K.PIPELINE_NAME)),
-        "message": F.when(~has_executor, F.lit(K.NO_EXECUTOR))
-        .when(~feasible, missing)
-        .otherwise(text),
-        "reference": F.when(ran, ref),
-        "executed": ran if not ctx.dry_run else F.lit(False),
-    }
+    asked = [
+        A.by_type(t, _by_executor(executors, 1)).alias("name"),
+        _feasible(action, executors).alias("feasible"),
+    ]
+    if with_reply:
+        asked.append(F.try_element_at(outcomes, action["action_id"]).alias("reply"))
+    return A.let(F.struct(*asked), answer)
 
 
 def execute(
@@ -127,22 +137,32 @@ def execute(
     plan = F.col("plan")
 
     def one(action: Column, i: Column) -> Column:
-        status = F.get(F.col("decisions"), i)["status"]
-        run = _run(action, ctx, executors, outcomes, K.DRY_RUN_TEXT)
-        approved = status == "Approved"
-        why = (
-            F.when(status == "PendingApproval", F.lit(K.SKIP_PENDING))
-            .when(status == "Denied", F.lit(K.SKIP_DENIED))
-            .otherwise(F.lit(K.SKIP_OTHER))
-        )
-        return _result(
-            action,
-            F.when(approved, run["status"]).otherwise(F.lit("Skipped")),
-            F.when(approved, run["executor"]).otherwise(F.lit(K.PIPELINE_NAME)),
-            F.when(approved, run["message"]).otherwise(why),
-            F.when(approved, run["reference"]),
-            executed=approved & run["executed"],
-        )
+        def settled(x: Column) -> Column:
+            status, run = x["status"], x["run"]
+            approved = status == "Approved"
+            why = (
+                F.when(status == "PendingApproval", F.lit(K.SKIP_PENDING))
+                .when(status == "Denied", F.lit(K.SKIP_DENIED))
+                .otherwise(F.lit(K.SKIP_OTHER))
+            )
+            return _result(
+                action,
+                F.when(approved, run["status"]).otherwise(F.lit("Skipped")),
+                F.when(approved, run["executor"]).otherwise(F.lit(K.PIPELINE_NAME)),
+                F.when(approved, run["message"]).otherwise(why),
+                F.when(approved, run["reference"]),
+                executed=approved & run["executed"],
+            )
+
+        def run_if_approved(status: Column) -> Column:
+            run = F.when(
+                F.coalesce(status == "Approved", F.lit(True)),
+                _run(action, ctx, executors, outcomes, K.DRY_RUN_TEXT),
+            )
+            return F.struct(status.alias("status"), run.alias("run"))
+
+        decision = F.get(F.col("decisions"), i)["status"]
+        return A.let(A.let(decision, run_if_approved), settled)
 
     out = pin(decided, {"results": F.transform(plan["actions"], one)})
     no_results = F.array().cast(f"array<{RESULT_DDL}>")
@@ -172,18 +192,25 @@ def execute(
 
     def undo(step: Column) -> Column:
         original, t, wanted = step["original"], step["type"], step["wanted"]
-        matching = F.filter("_offered", lambda o: (o["wanted"] == wanted) & (o["action"]["type"] == t))
-        rollback = F.try_element_at(matching, F.lit(-1))["action"]
-        found = F.size(matching) > 0
-        run = _run(rollback, ctx, executors, outcomes, K.DRY_ROLLBACK_TEXT)
         id_ = original["action_id"]
-        return F.when(
-            found,
-            _result(rollback, run["status"], run["executor"], run["message"],
-                    run["reference"], id_, run["executed"]),
-        ).otherwise(
-            _result(original, F.lit("Skipped"), F.lit(K.PIPELINE_NAME),
-                    F.lit(K.NO_ROLLBACK), None, id_, F.lit(False))
+
+        def of(matching: Column) -> Column:
+            rollback = F.try_element_at(matching, F.lit(-1))["action"]
+            run = _run(rollback, ctx, executors, outcomes, K.DRY_ROLLBACK_TEXT)
+            return F.when(
+                F.size(matching) > 0,
+                A.let(
+                    run,
+                    lambda r: _result(rollback, r["status"], r["executor"], r["message"],
+                                      r["reference"], id_, r["executed"]),
+                ),
+            ).otherwise(
+                _result(original, F.lit("Skipped"), F.lit(K.PIPELINE_NAME),
+                        F.lit(K.NO_ROLLBACK), None, id_, F.lit(False))
+            )
+
+        return A.let(
+            F.filter("_offered", lambda o: (o["wanted"] == wanted) & (o["action"]["type"] == t)), of
         )
 
     # The hash of type and parameters is taken once for each action, and only where a run stopped.

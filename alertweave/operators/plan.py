@@ -74,6 +74,22 @@ def _pick(e: Column, names: list[str]) -> Column:
     return F.map_from_entries(pairs)
 
 
+def _on(action_type: str, e: Column, names: list[str], why: str) -> Column:
+    """An action on the entities ``names``, if one of them is there.
+
+    The id is that of ``A.action``; here the names are known, so its text needs no lambda.
+    """
+    texts = [F.when(non_blank(e[n]), F.concat(F.lit(f"{n}="), e[n])) for n in sorted(names)]
+    signature = F.concat(F.lit(f"{action_type}:"), F.concat_ws("|", *texts))
+    return _when_any(
+        e,
+        names,
+        A.action(
+            F.lit(action_type), _pick(e, names), F.lit(why), id_=A.hashed(signature)
+        ),
+    )
+
+
 def _simple(action_type: str, why: str) -> Column:
     return A.action(F.lit(action_type), A.empty_params(), F.lit(why))
 
@@ -88,14 +104,9 @@ def _when_any(e: Column, names: list[str], value: Column) -> Column:
 def strategy_actions(strategy_: Column, e: Column) -> Column:
     """Candidate actions of a strategy, in the order they are proposed."""
     contain = [
-        _when_any(e, ["src_ip"], A.action(F.lit("BlockIp"), _pick(e, ["src_ip"]),
-                                          F.lit(K.BLOCK_TEXT))),
-        _when_any(e, ["username", "user_id"],
-                  A.action(F.lit("DisableUser"), _pick(e, ["username", "user_id"]),
-                           F.lit(K.DISABLE_TEXT))),
-        _when_any(e, ["hostname", "host_id"],
-                  A.action(F.lit("IsolateHost"), _pick(e, ["hostname", "host_id"]),
-                           F.lit(K.ISOLATE_TEXT))),
+        _on("BlockIp", e, ["src_ip"], K.BLOCK_TEXT),
+        _on("DisableUser", e, ["username", "user_id"], K.DISABLE_TEXT),
+        _on("IsolateHost", e, ["hostname", "host_id"], K.ISOLATE_TEXT),
     ]
     ticket = _simple("OpenTicket", K.TICKET_TEXT)
     return (
@@ -160,42 +171,62 @@ def select_actions(
 
 def estimate(action: Column, catalog: dict, confidence: Column, crit: Column, priv: Column):
     """Risk and impact from catalog defaults and context; unknown types get the worst values."""
-    t = action["type"]
-    default_risk = A.catalog_field(t, catalog, 2, 0)
-    default_impact = A.catalog_field(t, catalog, 3, 0)
+    return rate(action, catalog, *surcharges(confidence, crit, priv))
+
+
+def surcharges(confidence: Column, crit: Column, priv: Column) -> tuple[Column, Column]:
+    """What context adds to the default risk and impact of every action of a plan."""
     extra = F.when(priv, F.lit(10)).otherwise(F.lit(0))
-    risk = clamp(default_risk + whole((F.lit(1.0) - confidence) * 30) + extra, 0, 100).cast("int")
-    impact = clamp(default_impact + crit.cast("bigint") * 5 + extra, 0, 100).cast("int")
-    is_known = A.known(t, catalog)
+    return whole((F.lit(1.0) - confidence) * 30) + extra, crit.cast("bigint") * 5 + extra
+
+
+def rate(action: Column, catalog: dict, more_risk: Column, more_impact: Column) -> Column:
+    t = action["type"]
 
     def or_default(value: Column, default: Column) -> Column:
         return clamp(F.when(value <= 0, default).otherwise(value), 0, 100)
 
-    return A.action(
-        t,
-        action["params"],
-        action["rationale"],
-        F.when(is_known, or_default(risk, default_risk)).otherwise(
-            or_default(action["risk"], F.lit(100))
-        ),
-        F.when(is_known, or_default(impact, default_impact)).otherwise(
-            or_default(action["impact"], F.lit(100))
-        ),
-        F.when(is_known, A.catalog_field(t, catalog, 0, False)).otherwise(F.lit(False)),
-        action["duration_seconds"],
-        action["action_id"],
+    def rated(x: Column) -> Column:
+        default_risk, default_impact = x["risk"], x["impact"]
+        return A.action(
+            t,
+            action["params"],
+            action["rationale"],
+            F.when(x["known"], or_default(default_risk + more_risk, default_risk)).otherwise(
+                or_default(action["risk"], F.lit(100))
+            ),
+            F.when(x["known"], or_default(default_impact + more_impact, default_impact)).otherwise(
+                or_default(action["impact"], F.lit(100))
+            ),
+            F.when(x["known"], A.catalog_field(t, catalog, 0, False)).otherwise(F.lit(False)),
+            action["duration_seconds"],
+            action["action_id"],
+        )
+
+    defaults = F.struct(
+        A.known(t, catalog).alias("known"),
+        A.catalog_field(t, catalog, 2, 0).alias("risk"),
+        A.catalog_field(t, catalog, 3, 0).alias("impact"),
     )
+    return A.let(defaults, rated)
 
 
 def distinct_actions(actions: Column) -> Column:
     """First action per signature. The id is a hash of the signature, so ids stand in for it."""
-    ids = F.transform(actions, lambda a: a["action_id"])
-    return F.filter(actions, lambda a, i: F.array_position(ids, a["action_id"]) == i + 1)
+
+    def first_ones(ids: Column) -> Column:
+        # The filter is for the few plans with a repeated id, or without one.
+        given = F.array_distinct(F.array_compact(ids))
+        return F.when(F.size(given) == F.size(ids), actions).otherwise(
+            F.filter(actions, lambda a, i: F.array_position(ids, a["action_id"]) == i + 1)
+        )
+
+    return A.let(F.transform(actions, lambda a: a["action_id"]), first_ones)
 
 
 def stable_order(actions: Column) -> Column:
     """By risk, impact, type ordinal and id. Sorts small keys, then picks by index."""
-    keys = F.array_sort(
+    keys = F.sort_array(
         F.transform(
             actions,
             lambda a, i: F.struct(
@@ -278,9 +309,13 @@ def plan(scored: DataFrame, ctx: PlanningContext | None = None) -> DataFrame:
     ctx = ctx or PlanningContext()
     conf = F.col("assessment")["confidence"]
     chosen = select_actions(plan_header(scored), ordered=False)
-    estimated = F.transform(
-        F.col("candidates"),
-        lambda a: estimate(a, ctx.catalog, conf, criticality(), privileged()),
+    more_risk, more_impact = surcharges(conf, criticality(), privileged())
+    more = F.struct(more_risk.alias("risk"), more_impact.alias("impact"))
+    estimated = A.let(
+        more,
+        lambda m: F.transform(
+            F.col("candidates"), lambda a: rate(a, ctx.catalog, m["risk"], m["impact"])
+        ),
     )
 
     def keep_known(a: Column) -> Column:

@@ -63,7 +63,7 @@ def flat_list(c: Column) -> Column:
 
 def flat_map(c: Column) -> Column:
     pairs = F.transform(
-        F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), e["value"])
+        F.sort_array(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), e["value"])
     )
     return F.array_join(pairs, "|")
 

@@ -14,10 +14,18 @@ SETTINGS = {
 }
 
 
+#: Tasks of a large shuffle for each core, so that a core that is done early gets another one.
+TASKS_PER_CORE = 4
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings the operators count on (UTC, adaptive execution)."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    # By default a shuffle of any size is joined to one task for each core, or few more, which
+    # then run in two uneven rounds. Partitions under 1 MB are joined as before.
+    tasks = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionNum", str(tasks))
     return spark
 
 

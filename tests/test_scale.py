@@ -5,10 +5,13 @@ import glob
 import pytest
 from pyspark.sql import functions as F
 
+from alertweave.functions import actions as A
+from alertweave.functions import fixed as K
 from alertweave.operators import enrich, plan, replies, score
 from alertweave.plans import fixtures as X
 from alertweave.plans import registry
 from alertweave.plans.triage import Triage
+from alertweave.session import prepare
 from alertweave.sources.runs import HourRuns
 
 SF = "/root/testdata/sf0.001"
@@ -83,3 +86,27 @@ def test_the_alert_stream_lands_in_a_file_for_each_core(spark, monkeypatch, tmp_
     assert len(glob.glob(f"{tmp_path}/landed/*.json")) == X.cores(spark)
     assert spark.read.parquet(f"{tmp_path}/cycles").select("batch_id").distinct().count() == 2
     assert counters.first()["pulled"] == X.events(spark, SF).count()
+
+
+def test_a_large_shuffle_gives_each_core_several_tasks(spark, settings):
+    """One long task for each core, and one more, is two rounds of which the second is almost empty."""
+    settings({"spark.sql.shuffle.partitions": "64"})
+    rows = prepare(spark).range(0, 4_000_000, 1, 8).select(F.xxhash64("id").alias("v"), F.xxhash64("id", "id").alias("w"))
+    tasks = rows.repartition("v").select("w", F.spark_partition_id().alias("p")).filter("w != 0").agg(F.countDistinct("p"))
+    assert tasks.first()[0] > 2 * spark.sparkContext.defaultParallelism
+
+
+def test_a_rating_looks_an_action_up_once(spark):
+    action = A.action(F.lit("BlockIp"), A.empty_params(), F.lit("why"))
+    rated = plan.estimate(action, K.ACTION_CATALOG, F.lit(0.5), F.lit(1), F.lit(False))
+    assert str(rated).count("array_contains") == 1
+
+
+def test_ids_of_proposed_actions_are_those_of_their_texts(spark):
+    names = ["src_ip", "hostname", "host_id", "username", "user_id"]
+    rows = [("1.2.3.4", "h", "x", "u", "7"), ("1.2.3.4", "h", None, " ", "7"), ("", "", "x|=", "u", None)]
+    e = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names)).select(F.struct(*names).alias("e"))
+    found = e.select(F.inline(plan.strategy_actions(F.lit("Contain"), F.col("e"))))
+    ids = found.select("type", "params", "action_id", A.action_id(F.col("type"), F.col("params")).alias("again")).collect()
+    assert [r.type for r in ids].count("IsolateHost") == 3 and [r.type for r in ids].count("BlockIp") == 2
+    assert all(r.action_id == r.again for r in ids)
