@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from ..functions.staging import ship
-from .common import add_columns, texts_of
+from .common import add_columns, give_back, texts_of
 
 ship(__name__)
 
@@ -270,6 +270,7 @@ class _Kept:
         else:
             self.value = None
             gc.collect()
+            give_back()
 
 
 def of_process(key: tuple, make: Callable, idle: float = 30.0):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.staging import ship
-from .common import add_columns, materialize, texts_of, unused
+from .common import add_columns, materialize, texts_of, tidy, unused
 
 ship(__name__)
 
@@ -89,7 +89,7 @@ def _sparse_filters(df: DataFrame, bits: int, shards: int) -> DataFrame:
                 found = []
         yield from pieces(found)
 
-    return df.select("text").mapInArrow(run, "shard int, once binary, twice binary")
+    return df.select("text").mapInArrow(tidy(run), "shard int, once binary, twice binary")
 
 
 def twice_seen(df: DataFrame) -> tuple[bytes, int]:
@@ -126,7 +126,7 @@ def twice_seen(df: DataFrame) -> tuple[bytes, int]:
         _sparse_filters(df, bits, shards)
         .repartition(shards, "shard")
         .sortWithinPartitions("shard")
-        .mapInArrow(merge, "shard int, bits binary")
+        .mapInArrow(tidy(merge), "shard int, bits binary")
     )
     out = bytearray(bits // 8)
     for r in merged.collect():
@@ -157,7 +157,7 @@ def suspects(df: DataFrame, packed: bytes, bits: int) -> DataFrame:
             )
 
     rows = df.select(F.col("doc_id").cast("bigint"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, digest binary")
+    return rows.mapInArrow(tidy(run), "doc_id bigint, digest binary")
 
 
 def lost_lines(df: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.staging import ship
-from .common import add_columns, crc_of_id, materialize, texts_of, unused
+from .common import add_columns, crc_of_id, materialize, texts_of, tidy, unused
 
 ship(__name__)
 
@@ -134,7 +134,7 @@ def fit(vectors: DataFrame, label: str = "label", features: str = "features") ->
         })
 
     # One row per class and matrix cell after the sum, whatever the number of tasks.
-    parts = usable.mapInArrow(sums, "k bigint, i bigint, v double")
+    parts = usable.mapInArrow(tidy(sums), "k bigint, i bigint, v double")
     total = np.zeros((2, 1 + WIDTH + WIDTH * WIDTH))
     for r in parts.groupBy("k", "i").agg(F.sum("v").alias("v")).collect():
         total[r.k, r.i] = r.v

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.staging import ship
-from .common import add_columns, materialize, texts_of
+from .common import add_columns, materialize, texts_of, tidy
 from .decontaminate import shared
 
 ship(__name__)
@@ -205,8 +205,8 @@ def links(distinct: DataFrame, most: int, groups: int, wide_most: int) -> DataFr
         yield out(forest(held))
 
     columns = ", ".join(f"{n} bigint" for n in names)
-    entered = distinct.select("node", "fp", "wide").mapInArrow(enter, f"cell int, {columns}")
-    met = entered.repartition("cell").sortWithinPartitions("cell").mapInArrow(meet, "a bigint, b bigint")
+    entered = distinct.select("node", "fp", "wide").mapInArrow(tidy(enter), f"cell int, {columns}")
+    met = entered.repartition("cell").sortWithinPartitions("cell").mapInArrow(tidy(meet), "a bigint, b bigint")
     ordered = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return ordered.filter("a < b").distinct()
 
@@ -362,8 +362,8 @@ def close_pairs(nodes: DataFrame, at: int, extra: int, groups: int, most: int) -
             yield from inside(*map(np.concatenate, zip(*waiting, strict=True)))
 
     columns = ", ".join(f"{n} bigint" for n in names)
-    entered = nodes.select("node", "root", "fp", "wide").mapInArrow(enter, f"cell int, {columns}")
-    met = entered.repartition("cell").sortWithinPartitions("cell").mapInArrow(meet, "a bigint, b bigint")
+    entered = nodes.select("node", "root", "fp", "wide").mapInArrow(tidy(enter), f"cell int, {columns}")
+    met = entered.repartition("cell").sortWithinPartitions("cell").mapInArrow(tidy(meet), "a bigint, b bigint")
     return met.distinct()
 
 

@@ -161,3 +161,29 @@ def test_decontamination_stage_with_repeated_and_null_ids(corpus, docs, tmp_path
     got = stages()["benchmark decontamination"](corpus, docs(rows), str(tmp_path)).collect()
     assert sorted((str(r.doc_id), str(r.text)) for r in got) == [
         ("1", "clean"), ("2", "four five six"), ("2", "one two three"), ("None", "None"), ("None", "clean")]
+
+
+def test_a_worker_gives_memory_back_when_its_task_ends(monkeypatch):
+    from alertweave.llm import common
+
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    run = common.tidy(lambda batches: (b + 1 for b in batches))
+    some = run(iter([1, 2]))
+    assert next(some) == 2 and not calls
+    assert list(some) == [3] and len(calls) == 1
+    cut = run(iter([1, 2]))
+    next(cut)
+    cut.close()
+    assert len(calls) == 2
+
+
+def test_workers_of_all_stages_give_memory_back():
+    import inspect
+    import re
+
+    from alertweave.llm import common, line_dedup, quality, simhash
+
+    for module in (common, line_dedup, quality, simhash):
+        text = inspect.getsource(module)
+        assert re.findall(r"\.mapInArrow\((\w+)", text) == ["tidy"] * text.count(".mapInArrow(")
