@@ -39,6 +39,8 @@ _UNSURE = re.compile(r" \s|\s ")
 REMEMBERED = 300_000
 #: Tokens that are decoded at once.
 SLICE = 1 << 16
+#: Rows whose texts, ids and digests are in a Python process at once.
+ROWS = 250
 #: Longest prefix, in bytes, that is kept for other words.
 SHARED_PREFIX = 24
 
@@ -401,7 +403,7 @@ def round_trip(df: DataFrame, path: str | None = None, text: str = "text", ids:
         return fn
 
     new = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return add_columns(df, make, new + (f", `{ids}` array<int>" if ids else ""))
+    return add_columns(df, make, new + (f", `{ids}` array<int>" if ids else ""), ROWS)
 
 
 def digests(df: DataFrame, path: str | None = None) -> DataFrame:

@@ -114,12 +114,13 @@ def tidy(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
 
 
 def add_columns(
-    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], new: str
+    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], new: str, rows: int = 0
 ) -> DataFrame:
     """Add the columns of the DDL ``new``, computed in Python from Arrow batches.
 
     ``make()`` runs once in each task and gives a function from a batch to a dict of arrays.
-    All other columns pass through; a column of the same name is replaced.
+    All other columns pass through; a column of the same name is replaced. With ``rows`` the
+    function gets slices of so many rows, and memory is given back after each batch.
     """
     made = T.StructType.fromDDL(new)
     kept = [f for f in df.schema.fields if f.name not in made.fieldNames()]
@@ -127,9 +128,13 @@ def add_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
-        for batch in batches:
-            old = {n: batch.column(n) for n in names}
-            yield pa.RecordBatch.from_pydict(old | fn(batch))
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows or max(1, whole.num_rows)):
+                batch = whole.slice(at, rows or None)
+                old = {n: batch.column(n) for n in names}
+                yield pa.RecordBatch.from_pydict(old | fn(batch))
+            if rows:
+                give_back()
 
     return df.mapInArrow(tidy(run), T.StructType(kept + made.fields))
 

@@ -110,3 +110,16 @@ def test_stores_keep_to_their_bounds(monkeypatch):
         assert bpe.np.frombuffer(encoder.encode(text), "<i4").tolist() == REFERENCE.encode_ordinary(text)
     assert len(model._pairs) <= 50 and len(model.known) <= 100
     assert len(encoder.after_space) <= 25 and len(encoder.after_space.old) <= 25
+
+
+def test_texts_are_encoded_in_slices(docs, monkeypatch):
+    texts = [None if i % 7 == 0 else f"a text no. {i}" for i in range(600)]
+    rows = docs(list(enumerate(texts))).coalesce(1)
+    sizes = []
+    monkeypatch.setattr(bpe, "add_columns", lambda df, make, new, rows=0: sizes.append(rows))
+    bpe.round_trip(rows)
+    assert 0 < sizes[0] < 600
+    monkeypatch.undo()
+    found = bpe.round_trip(rows, ids="ids").collect()
+    plain = {r.doc_id: r.ids for r in bpe.encode(rows).collect()}
+    assert [r.text for r in found] == texts and all(r.ids == plain[r.doc_id] for r in found)
