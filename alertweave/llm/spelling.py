@@ -23,6 +23,7 @@ import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.staging import ship
-from .common import materialize, texts_of
+from .common import give_back, materialize, texts_of, tidy
 
 ship(__name__)
 
@@ -39,8 +40,9 @@ SHORTEST, FEWEST, TIMES = 7, 2, 10
 #: Words in a bucket of the sorted order; most buckets; words sampled for each border. The
 #: sample decides how even the buckets are and nothing else.
 BUCKET, MOST_BUCKETS, SAMPLED = 50_000, 2048, 16
-#: Different words that a counting task holds before it passes their counts on.
-HELD = 400_000
+#: Different words that a counting task holds before it passes their counts on, and how many
+#: it passes on at once.
+HELD, PASSED = 200_000, 20_000
 
 _PLAIN = re.compile(rb"[a-z]+")
 # U+00C0 to U+00FF are the byte C3 and one more in UTF-8.
@@ -67,15 +69,16 @@ def count_words(
     """
     columns = [text] if swaps is None else ["doc_id", text]
 
-    def emit(counts: Counter) -> pa.RecordBatch:
-        kept = [
+    def emit(counts: Counter) -> Iterator[pa.RecordBatch]:
+        kept = (
             (w, n) for w, n in counts.items()
             if n > 0 and len(w) >= shortest and (w.isascii() or len(w.decode()) >= shortest)
-        ]
-        return pa.RecordBatch.from_pydict({
-            "word": pa.array([w.decode() for w, _ in kept], pa.string()),
-            "n": pa.array([n for _, n in kept], pa.int64()),
-        })
+        )
+        while part := list(islice(kept, PASSED)):
+            yield pa.RecordBatch.from_pydict({
+                "word": pa.array([w.decode() for w, _ in part], pa.string()),
+                "n": pa.array([n for _, n in part], pa.int64()),
+            })
 
     def run(batches):
         counts: Counter = Counter()
@@ -88,11 +91,12 @@ def count_words(
                     counts[old] -= 1
                     counts[new.encode()] += 1
                 if len(counts) > HELD:
-                    yield emit(counts)
-                    counts.clear()
-        yield emit(counts)
+                    yield from emit(counts)
+                    counts = Counter()
+                    give_back()
+        yield from emit(counts)
 
-    parts = df.select(*columns).mapInArrow(run, "word string, n bigint")
+    parts = df.select(*columns).mapInArrow(tidy(run), "word string, n bigint")
     return parts.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= fewest)
 
 
@@ -175,7 +179,7 @@ def _in_buckets(words: DataFrame, cuts: list[str], back: list[str]) -> DataFrame
                 "back": pa.array([bisect_right(back, x[::-1]) for x in w], pa.int32()),
             })
 
-    return words.select("word", "n").mapInArrow(run, "word string, n bigint, bucket int, back int")
+    return words.select("word", "n").mapInArrow(tidy(run), "word string, n bigint, bucket int, back int")
 
 
 def _ends(words: DataFrame, bucket: str, word: Column) -> Borders:
@@ -250,13 +254,13 @@ def trie_words(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     one = (
         dealt.select("bucket", "word", "n").repartition(buckets, "bucket")
         .sortWithinPartitions("bucket", "word")
-        .mapInArrow(fore, "no bigint, word string, n bigint, size int, before array<bigint>, starts array<boolean>")
+        .mapInArrow(tidy(fore), "no bigint, word string, n bigint, size int, before array<bigint>, starts array<boolean>")
     )
     one = materialize(one, "numbered")
     two = (
         dealt.select("back", reverse.alias("reversed"), "n").repartition(buckets, "back")
         .sortWithinPartitions("back", "reversed")
-        .mapInArrow(backward, "reversed string, behind array<bigint>")
+        .mapInArrow(tidy(backward), "reversed string, behind array<bigint>")
     )
     # A word that shares nothing but the root on one side has no pair of shared nodes but its ends.
     both = one.join(two, F.reverse("word") == F.col("reversed")).drop("reversed", "word")

@@ -123,3 +123,29 @@ def test_a_path_of_forms_ends_at_its_last(corpus):
     words = corpus.createDataFrame(list(counts.items()), "word string, n bigint")
     found = rows_of(spelling.variants(words))
     assert found == plain(counts) and {r[2] for r in found} == {"aaaaaaa"}
+
+
+def test_a_counting_task_passes_its_counts_on_in_parts(corpus, monkeypatch):
+    words = sorted(random_words(5, 2000))
+    rows = [(i, " ".join(words[i * 100 : i * 100 + 100] * 2)) for i in range(20)]
+    docs = corpus.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    monkeypatch.setattr(spelling, "PASSED", 64)
+    sizes = []
+
+    def look(batch_iter):
+        import pyarrow as pa
+
+        for batch in batch_iter:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    plain = type(docs).mapInArrow
+
+    def spied(df, run, schema, *args):
+        parts = plain(df, lambda batches: look(run(batches)), "n bigint")
+        sizes.extend(r.n for r in parts.collect())
+        return plain(df, run, schema, *args)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", spied)
+    got = {(r.word, r.n) for r in spelling.count_words(docs).collect()}
+    assert got == {(w, 2) for w in words if len(w) >= 7}
+    assert max(sizes) <= 64 and sum(sizes) == len(got)
