@@ -34,6 +34,8 @@ MOST_BITS = 4
 GROUPS = 2
 #: Rows of a cell up to which all of them are compared; beyond, a forest is grown.
 FEW = 128
+#: Nodes of a group of candidates whose sets one task compares; larger groups meet in blocks.
+BLOCK = 2048
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -296,9 +298,13 @@ def add_sets(df: DataFrame, words: int, extra: int | None = None, text: str = "t
     return add_columns(df, make, f"node bigint, {new}")
 
 
-def close_pairs(nodes: DataFrame, at: int, extra: int, groups: int, most: int) -> DataFrame:
+def close_pairs(
+    nodes: DataFrame, at: int, extra: int, groups: int, most: int, forests: bool = False
+) -> DataFrame:
     """All pairs (a, b) of ``nodes`` (``node, root, fp, wide``) with different roots that meet in
     a grid cell of fingerprint number ``at`` and differ in at most ``most`` bits of all.
+
+    With ``forests``, pairs that connect the same nodes: a cell gives no more than it has rows.
     """
     names = ["node", "root", *[f"p{i}" for i in range(extra + 1)]]
 
@@ -316,50 +322,56 @@ def close_pairs(nodes: DataFrame, at: int, extra: int, groups: int, most: int) -
                     | {n: pa.array(np.ascontiguousarray(c)) for n, c in zip(names, data[rows[part]].T, strict=True)}
                 )
 
-    def hits(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        bits = np.bitwise_count((one[..., 2:] ^ two[..., 2:]).view("u8")).sum(axis=-1, dtype="i4")
-        return (bits <= most) & (one[..., 1] != two[..., 1])
-
     def out(one: np.ndarray, two: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict(
             {"a": pa.array(np.minimum(one, two), pa.int64()), "b": pa.array(np.maximum(one, two), pa.int64())}
         )
 
+    def forest(data: np.ndarray):
+        """A spanning forest of the close pairs of one cell."""
+        left = np.arange(len(data))
+        while len(left) > 1:
+            queue, left = [left[0]], left[1:]
+            while queue and len(left):
+                now = queue.pop()
+                hit = close(data[left], data[now][None], most)
+                if hit.any():
+                    yield out(np.full(int(hit.sum()), data[now, 0]), data[left[hit], 0])
+                    queue += left[hit].tolist()
+                    left = left[~hit]
+
+    def every(data: np.ndarray):
+        """All close pairs of one cell, row by row."""
+        for i in range(len(data) - 1):
+            j = i + 1 + np.flatnonzero(close(data[i + 1 :], data[i][None], most))
+            if len(j):
+                yield out(np.full(len(j), data[i, 0]), data[j, 0])
+
     def inside(cells: np.ndarray, data: np.ndarray):
-        """The pairs of whole cells: small ones all at once, large ones row by row."""
+        """The pairs of whole cells: small ones all at once, large (or dense) ones by themselves."""
         cuts = np.flatnonzero(np.diff(cells)) + 1
         begins, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(cells)]])
         size = ends - begins
         few = np.repeat(size <= FEW, size)
+        one, two = [], []
         for step in range(1, int(size[size <= FEW].max(initial=0))):
             i = np.flatnonzero(few[:-step] & (cells[:-step] == cells[step:]))
-            i = i[hits(data[i], data[i + step])]
-            if len(i):
-                yield out(data[i, 0], data[i + step, 0])
-        for start, end in zip(begins[size > FEW].tolist(), ends[size > FEW].tolist(), strict=True):
-            for i in range(start, end - 1):
-                j = i + 1 + np.flatnonzero(hits(data[i][None], data[i + 1 : end]))
-                if len(j):
-                    yield out(np.full(len(j), data[i, 0]), data[j, 0])
+            i = i[close(data[i], data[i + step], most)]
+            one.append(i)
+            two.append(i + step)
+        one, two = np.concatenate([[], *one]).astype("i8"), np.concatenate([[], *two]).astype("i8")
+        cell_of = np.repeat(np.arange(len(size)), size)
+        dense = forests & (np.bincount(cell_of[one], minlength=len(size)) > size)
+        sparse = ~dense[cell_of[one]]
+        if sparse.any():
+            yield out(data[one[sparse], 0], data[two[sparse], 0])
+        grown = dense | (size > FEW)
+        for start, end in zip(begins[grown].tolist(), ends[grown].tolist(), strict=True):
+            yield from (forest if forests else every)(data[start:end])
 
     def meet(batches):
-        # The rows of the last cell wait in parts until the cell ends.
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
-        for batch in batches:
-            cells = batch.column("cell").to_numpy()
-            if not len(cells):
-                continue
-            data = np.column_stack([batch.column(n).to_numpy() for n in names])
-            last = int(np.searchsorted(cells, cells[-1]))
-            if waiting and (last or waiting[0][0][0] != cells[0]):
-                parts = [*waiting, (cells[:last], data[:last])]
-                yield from inside(*map(np.concatenate, zip(*parts, strict=True)))
-                waiting = []
-            elif last:
-                yield from inside(cells[:last], data[:last])
-            waiting.append((cells[last:], data[last:]))
-        if waiting:
-            yield from inside(*map(np.concatenate, zip(*waiting, strict=True)))
+        for cells, data in whole_groups(batches, "cell", names):
+            yield from inside(cells, data)
 
     columns = ", ".join(f"{n} bigint" for n in names)
     entered = nodes.select("node", "root", "fp", "wide").mapInArrow(tidy(enter), f"cell int, {columns}")
@@ -367,6 +379,101 @@ def close_pairs(nodes: DataFrame, at: int, extra: int, groups: int, most: int) -
     return met.distinct()
 
 
+def close(one: np.ndarray, two: np.ndarray, most: int) -> np.ndarray:
+    """Whether rows (node, root, fingerprints) have different roots and differ in few bits."""
+    bits = np.bitwise_count((one[..., 2:] ^ two[..., 2:]).view("u8")).sum(axis=-1, dtype="i4")
+    return (bits <= most) & (one[..., 1] != two[..., 1])
+
+
+def whole_groups(batches, key: str, names: list[str]):
+    """(keys, rows of ``names``) of one or more whole groups of batches sorted by ``key``."""
+    # The rows of the last group wait in parts until the group ends.
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    for batch in batches:
+        keys = batch.column(key).to_numpy()
+        if not len(keys):
+            continue
+        data = np.column_stack([batch.column(n).to_numpy() for n in names])
+        last = int(np.searchsorted(keys, keys[-1]))
+        if waiting and (last or waiting[0][0][0] != keys[0]):
+            yield tuple(map(np.concatenate, zip(*waiting, (keys[:last], data[:last]), strict=True)))
+            waiting = []
+        elif last:
+            yield keys[:last], data[:last]
+        waiting.append((keys[last:], data[last:]))
+    if waiting:
+        yield tuple(map(np.concatenate, zip(*waiting, strict=True)))
+
+
+def shingle_sets(wanted: DataFrame, nodes: DataFrame, df: DataFrame, words: int) -> DataFrame:
+    """``node, shingles`` of the nodes in ``wanted``, made of one text for each node."""
+    keys = materialize(nodes.join(wanted, "node", "left_semi").select("key"), "wanted")
+    keyed = df.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    texts = keyed.join(shared(keys), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
+    return materialize(add_sets(texts, words).select("node", "shingles"), "sets")
+
+
+def group_links(rooted: DataFrame, pairs: DataFrame, nodes: DataFrame, df: DataFrame, words: int,
+                extra: int, most: int) -> DataFrame:
+    """Links (a, b) that connect the nodes as all close pairs with similar sets do.
+
+    The candidate ``pairs`` connect groups, and each node brings its set to its group once. A
+    group of more than ``BLOCK`` nodes is dealt into blocks, and every two blocks meet in a
+    task of their own. Two nodes that links found before already connect are not compared.
+    """
+    groups = materialize(components(pairs).withColumnRenamed("root", "grp"), "groups")
+    blocks = groups.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    member = groups.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    # Blocks i <= j meet under one name; a block alone meets itself.
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.xxhash64(
+        "grp", F.least("block", x), F.greatest("block", x)
+    ))
+    sets = shingle_sets(groups.select("node"), nodes, df, words)
+    dealt = member.select("node", F.explode(meets).alias("meet"))
+    rows = dealt.join(rooted, "node").join(sets, "node").select("meet", "node", "root", "fp", "wide", "shingles")
+
+    def link(keys: list[tuple], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        data = np.array(keys, "i8").reshape(len(keys), extra + 3)
+        found = []
+        for i in range(len(data) - 1):
+            for j in (i + 1 + np.flatnonzero(close(data[i + 1 :], data[i][None], most))).tolist():
+                if data[i, 1] == data[j, 1]:
+                    continue
+                x, y = sets[i], sets[j]
+                least, total = min(len(x), len(y)), len(x) + len(y)
+                if 9 * least < 4 * total:  # even the smaller set as a whole would not do
+                    continue
+                # Jaccard >= 4 / 5 in whole numbers.
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 5 * both >= 4 * (total - both):
+                    found.append((int(data[i, 0]), int(data[j, 0])))
+                    data[data[:, 1] == data[j, 1], 1] = data[i, 1]
+        return found
+
+    def run(batches):
+        now, keys, held = None, [], []
+        for batch in batches:
+            meet = batch.column("meet").to_pylist()
+            wide = np.asarray(batch.column("wide").flatten(), "i8").reshape(len(meet), extra).tolist()
+            shingles = batch.column("shingles")
+            for i, (node, root, fp) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("node", "root", "fp")),
+                                                     strict=True)):
+                if meet[i] != now:
+                    yield edges(link(keys, held))
+                    now, keys, held = meet[i], [], []
+                keys.append((node, root, fp, *wide[i]))
+                held.append(np.array(shingles[i].values.to_numpy(zero_copy_only=False)))
+        yield edges(link(keys, held))
+
+    def edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    met = rows.repartition("meet").sortWithinPartitions("meet", "node").mapInArrow(tidy(run), "a bigint, b bigint")
+    ordered = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return materialize(ordered.distinct(), "similar")
+
+
 def similar(edges: DataFrame, nodes: DataFrame, df: DataFrame, words: int) -> DataFrame:
     """The ``edges`` whose shingle sets have a Jaccard similarity of 0.8 or more.
 
@@ -374,10 +481,7 @@ def similar(edges: DataFrame, nodes: DataFrame, df: DataFrame, words: int) -> Da
     """
     edges = materialize(edges, "candidate-edges")
     ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
-    wanted = materialize(nodes.join(ends, "node", "left_semi").select("key"), "wanted")
-    keyed = df.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
-    texts = keyed.join(shared(wanted), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
-    sets = materialize(add_sets(texts, words).select("node", "shingles"), "sets")
+    sets = shingle_sets(ends, nodes, df, words)
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
@@ -395,8 +499,8 @@ def jaccard_classes(
 
     Candidates meet in a grid cell of any of the ``1 + extra`` fingerprints and differ in at
     most ``most`` of all their bits (at a similarity of 0.8 about 29 of 192); the sets decide.
-    A first round over forests of close prints joins large groups; the second takes all pairs
-    of what the first has not joined. Equal sets are one node from the start, and so are
+    A first round over forests of close prints joins large groups; the second compares the sets
+    of what the first has not joined, in groups that candidates connect. Equal sets are one node from the start, and so are
     texts without words. Ids are treated as in ``near_duplicates``.
     """
     rows = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -417,11 +521,11 @@ def jaccard_classes(
         ),
         "rooted",
     )
-    parts = [materialize(close_pairs(rooted, at, extra, groups, most), "pairs") for at in range(extra + 1)]
+    parts = [materialize(close_pairs(rooted, at, extra, groups, most, True), "pairs") for at in range(extra + 1)]
     pairs = parts[0]
     for part in parts[1:]:
         pairs = pairs.unionByName(part)
-    more = similar(pairs.distinct(), nodes, df, words)
+    more = group_links(rooted, pairs.distinct(), nodes, df, words, extra, most)
     roots = components(sure.unionByName(more)).withColumnRenamed("node", "_node")
     named = materialize(
         nodes.join(roots, F.col("node") == F.col("_node"), "left").select(

@@ -171,3 +171,46 @@ def test_pairs_of_a_large_cell_in_several_batches(corpus):
         corpus.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     assert got == {(i, j) for i in range(300) for j in range(i + 1, 300) if i // 2 != j // 2}
     assert one == {(i, j) for i, j in got if i % 60 == j % 60}
+
+
+def test_forests_connect_what_all_pairs_do_with_few_rows(corpus):
+    rng = random.Random(13)
+    rows = []
+    for group in range(3):
+        fp = simhash._signed(rng.getrandbits(64))
+        rows += [(len(rows) + i, len(rows) + i, fp, [fp ^ (1 << i % 40)]) for i in range((300, 60, 2)[group])]
+    nodes = corpus.createDataFrame(rows, "node bigint, root bigint, fp bigint, wide array<bigint>").coalesce(2)
+    every = simhash.close_pairs(nodes, 0, 1, 3, 2)
+    few = simhash.close_pairs(nodes, 0, 1, 3, 2, forests=True)
+    assert every.count() > 40_000
+    assert few.count() <= 3 * len(rows)
+    assert few.exceptAll(every).isEmpty()
+    roots = [{(r.node, r.root) for r in simhash.components(x).collect()} for x in (every, few)]
+    assert roots[0] == roots[1] and len(roots[0]) == len(rows)
+
+
+def test_groups_of_candidates_in_one_block_and_in_many(docs, monkeypatch):
+    rng = random.Random(14)
+    base = [f"w{rng.randrange(10**9)}" for _ in range(300)]
+    rows = []
+    for i in range(60):  # about 0.9 like the base, about 0.8 like each other
+        text = base.copy()
+        for at in rng.sample(range(300), 3):
+            text[at] = f"x{rng.randrange(10**9)}"
+        rows.append((i, " ".join(text)))
+    rows += [(100 + i, t) for i, t in enumerate(_pair(rng, 0.85))]
+    sets = {i: _shingles(t) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for i, x in sets.items():
+        for j, y in sets.items():
+            if i < j and 5 * len(x & y) >= 4 * len(x | y):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    want = {i: find(i) for i in sets}
+    monkeypatch.setattr(simhash, "links", lambda nodes, *_: nodes.selectExpr("node a", "node b").limit(0))
+    for block in (2048, 7):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        assert {r.doc_id: r.component_id for r in simhash.jaccard_classes(docs(rows)).collect()} == want
