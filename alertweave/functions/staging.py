@@ -15,10 +15,15 @@ from pyspark.sql import functions as F
 
 
 def pin(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Add (or replace) ``columns`` behind a one-row generator; no shuffle, stays in codegen."""
+    """Add (or replace) ``columns`` behind a one-row generator; no shuffle.
+
+    The columns are computed in a projection below it: Spark compiles that, while a generator
+    with a lambda anywhere inside is interpreted as a whole.
+    """
     kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
-    made = F.struct(*[value.alias(name) for name, value in columns.items()])
-    return df.select(*kept, F.inline(F.array(made)))
+    made = {f"_pin_{name}": value.alias(f"_pin_{name}") for name, value in columns.items()}
+    named = F.struct(*[F.col(f"`_pin_{name}`").alias(name) for name in columns])
+    return df.select(*kept, *made.values()).select(*kept, F.inline(F.array(named)))
 
 
 def ship(module: str) -> None:

@@ -6,6 +6,8 @@ needs a shuffle.
 
 from __future__ import annotations
 
+import functools
+import operator
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -61,32 +63,36 @@ def plan_header(scored: DataFrame) -> DataFrame:
     )
 
 
-def _pick(e: Column, names: list[str]) -> Column:
+#: Entities an action of a strategy may need.
+NEEDED_ENTITIES = ["src_ip", "hostname", "host_id", "username", "user_id"]
+
+
+def _given(e: Column) -> dict[str, Column]:
+    """Per entity an action may need, whether it is non-blank."""
+    return {n: non_blank(e[n]) for n in NEEDED_ENTITIES}
+
+
+def _any_of(given: dict[str, Column], names: list[str]) -> Column:
+    return functools.reduce(operator.or_, [given[n] for n in names], F.lit(False))
+
+
+def _pick(e: Column, given: dict[str, Column], names: list[str]) -> Column:
     """Parameter map of the non-blank entities among ``names``."""
-    pairs = F.array_compact(
-        F.array(
-            *[
-                F.when(non_blank(e[n]), F.struct(F.lit(n).alias("key"), e[n].alias("value")))
-                for n in names
-            ]
-        )
-    )
-    return F.map_from_entries(pairs)
+    parts = [
+        F.when(given[n], F.create_map(F.lit(n), e[n])).otherwise(A.empty_params()) for n in names
+    ]
+    return F.map_concat(*parts) if len(parts) > 1 else parts[0]
 
 
-def _on(action_type: str, e: Column, names: list[str], why: str) -> Column:
-    """An action on the entities ``names``, if one of them is there.
+def _on(action_type: str, e: Column, given: dict[str, Column], names: list[str], why: str) -> Column:
+    """An action on the non-blank entities among ``names``.
 
     The id is that of ``A.action``; here the names are known, so its text needs no lambda.
     """
-    texts = [F.when(non_blank(e[n]), F.concat(F.lit(f"{n}="), e[n])) for n in sorted(names)]
+    texts = [F.when(given[n], F.concat(F.lit(f"{n}="), e[n])) for n in sorted(names)]
     signature = F.concat(F.lit(f"{action_type}:"), F.concat_ws("|", *texts))
-    return _when_any(
-        e,
-        names,
-        A.action(
-            F.lit(action_type), _pick(e, names), F.lit(why), id_=A.hashed(signature)
-        ),
+    return A.action(
+        F.lit(action_type), _pick(e, given, names), F.lit(why), id_=A.hashed(signature)
     )
 
 
@@ -94,78 +100,108 @@ def _simple(action_type: str, why: str) -> Column:
     return A.action(F.lit(action_type), A.empty_params(), F.lit(why))
 
 
-def _when_any(e: Column, names: list[str], value: Column) -> Column:
-    cond = non_blank(e[names[0]])
-    for n in names[1:]:
-        cond = cond | non_blank(e[n])
-    return F.when(cond, value)
+@dataclass(frozen=True)
+class Proposal:
+    """An action that strategies propose, when they do, and the entities it takes."""
 
+    type: str
+    when: Column
+    action: Column
+    names: tuple[str, ...] = ()
 
-def strategy_actions(strategy_: Column, e: Column) -> Column:
-    """Candidate actions of a strategy, in the order they are proposed."""
-    contain = [
-        _on("BlockIp", e, ["src_ip"], K.BLOCK_TEXT),
-        _on("DisableUser", e, ["username", "user_id"], K.DISABLE_TEXT),
-        _on("IsolateHost", e, ["hostname", "host_id"], K.ISOLATE_TEXT),
-    ]
-    ticket = _simple("OpenTicket", K.TICKET_TEXT)
-    return (
-        F.when(strategy_ == "ObserveMore", F.array(ticket))
-        .when(strategy_ == "NotifyOnly", F.array(_simple("Notify", K.NOTIFY_TEXT), ticket))
-        .when(strategy_ == "EscalateToHuman", F.array(_simple("Notify", K.ESCALATE_TEXT), ticket))
-        .when(strategy_ == "Contain", F.array_compact(F.array(*contain, ticket)))
-        .otherwise(
-            F.array_compact(
-                F.array(*contain, _simple("CollectForensics", K.FORENSICS_TEXT), ticket)
-            )
-        )
-    )
 
+def proposals(strategy_: Column, e: Column, given: dict[str, Column]) -> list[Proposal]:
+    """What strategies propose, in order.
 
-def present_entities(e: Column) -> Column:
-    """Names of the entities an action may need that are non-blank."""
-    names = ["src_ip", "hostname", "host_id", "username", "user_id"]
-    return F.array_compact(F.array(*[F.when(non_blank(e[n]), F.lit(n)) for n in names]))
+    Types and parameter names are known here, so that nothing has to be looked up per action, and
+    no array lambda is needed, which Spark would interpret with all that its array is built from.
+    """
+    others = strategy_.isin("ObserveMore", "NotifyOnly", "EscalateToHuman", "Contain")
+    collects = ~F.coalesce(others, F.lit(False))
+    contains = collects | (strategy_ == "Contain")
+
+    def contain(action_type: str, names: list[str], why: str) -> Proposal:
+        return Proposal(
+            action_type, contains & _any_of(given, names), _on(action_type, e, given, names, why),
+            tuple(names),
+        )
 
+    return [
+        contain("BlockIp", ["src_ip"], K.BLOCK_TEXT),
+        contain("DisableUser", ["username", "user_id"], K.DISABLE_TEXT),
+        contain("IsolateHost", ["hostname", "host_id"], K.ISOLATE_TEXT),
+        Proposal("CollectForensics", collects, _simple("CollectForensics", K.FORENSICS_TEXT)),
+        Proposal("Notify", strategy_ == "NotifyOnly", _simple("Notify", K.NOTIFY_TEXT)),
+        Proposal("Notify", strategy_ == "EscalateToHuman", _simple("Notify", K.ESCALATE_TEXT)),
+        Proposal("OpenTicket", F.lit(True), _simple("OpenTicket", K.TICKET_TEXT)),
+    ]
 
-def _entity_ok(action_type: Column, present: Column) -> Column:
-    needed = A.by_type(action_type, K.ENTITY_NEEDS)
-    return F.coalesce(F.arrays_overlap(needed, present), F.lit(True))
 
+def _listed(found: list[tuple[Column, Column]], ddl: str = A.ACTION_DDL) -> list[Column]:
+    """For each condition and value, an array of the value or an empty one."""
+    none = F.array().cast(f"array<{ddl}>")
+    return [F.when(when, F.array(value)).otherwise(none) for when, value in found]
 
-def select_actions(
-    planned: DataFrame, out: str = "candidates", ordered: bool = True
-) -> DataFrame:
-    """Add the selected actions (strategy set plus recommendations) in selection order.
 
-    The order is a stable sort by rank, expressed as one filter per rank. A full plan does
-    not need it: only actions of one type can be equal, the sort leaves those as they were
-    proposed, and the plan has its own final order.
-    """
-    e = F.col("entities")
-    recommended = F.transform(
-        F.coalesce(F.col("assessment")["recommended"], F.array()),
+def strategy_actions(
+    strategy_: Column, e: Column, given: dict[str, Column] | None = None
+) -> Column:
+    """Candidate actions of a strategy, in the order they are proposed."""
+    found = proposals(strategy_, e, given or _given(e))
+    return F.concat(*_listed([(p.when, p.action) for p in found]))
+
+
+def _entity_ok(action_type: Column, given: dict[str, Column]) -> Column:
+    """Whether one of the entities that a type needs is non-blank."""
+    types: dict[tuple[str, ...], list[str]] = {}
+    for name, needed in K.ENTITY_NEEDS.items():
+        types.setdefault(tuple(needed), []).append(name)
+    out = F.lit(True)
+    for needed, named in types.items():
+        other = F.coalesce(~A.one_of(action_type, named), F.lit(True))
+        out = out & (other | _any_of(given, list(needed)))
+    return out
+
+
+def recommended_actions(given: dict[str, Column]) -> Column:
+    """The recommendations of the assessment whose entities are there."""
+    return F.transform(
+        F.filter(
+            F.coalesce(F.col("assessment")["recommended"], F.array()),
+            lambda r: _entity_ok(r["type"], given),
+        ),
         lambda r: A.action(
             r["type"], r["params"], F.coalesce(r["rationale"], F.lit(K.RECOMMENDED_TEXT))
         ),
     )
-    proposed = F.concat(
-        strategy_actions(F.col("strategy"), e),
-        recommended,
-    )
-    kept = F.filter(F.col("_proposed"), lambda a: _entity_ok(a["type"], F.col("_present")))
+
+
+def _with_given(planned: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """Columns that say which entities are non-blank, so that each is looked at once."""
+    given = _given(F.col("entities"))
+    named = {f"_has_{n}": c for n, c in given.items()}
+    return planned.withColumns(named), {n: F.col(f"_has_{n}") for n in given}
+
+
+def select_actions(planned: DataFrame, out: str = "candidates") -> DataFrame:
+    """Add the selected actions (strategy set plus recommendations) in selection order.
+
+    The order is a stable sort by rank, expressed as one filter per rank.
+    """
+    df, given = _with_given(planned)
 
     def of_type(name: str) -> Column:
         return F.filter(F.col("_kept"), lambda a: a["type"] == name)
 
+    kept = F.concat(
+        strategy_actions(F.col("strategy"), F.col("entities"), given), recommended_actions(given)
+    )
     ranked = [of_type(t) for t in K.SELECTION_ORDER]
     rest = F.filter(F.col("_kept"), lambda a: ~A.one_of(a["type"], K.SELECTION_ORDER))
     return (
-        planned.withColumn("_proposed", proposed)
-        .withColumn("_present", present_entities(e))
-        .withColumn("_kept", kept)
-        .withColumn(out, F.concat(*ranked, rest) if ordered else F.col("_kept"))
-        .drop("_proposed", "_present", "_kept")
+        df.withColumn("_kept", kept)
+        .withColumn(out, F.concat(*ranked, rest))
+        .drop("_kept", *[f"_has_{n}" for n in given])
     )
 
 
@@ -180,23 +216,24 @@ def surcharges(confidence: Column, crit: Column, priv: Column) -> tuple[Column,
     return whole((F.lit(1.0) - confidence) * 30) + extra, crit.cast("bigint") * 5 + extra
 
 
+def _or_default(value: Column, default: Column) -> Column:
+    return clamp(F.when(value <= 0, default).otherwise(value), 0, 100)
+
+
 def rate(action: Column, catalog: dict, more_risk: Column, more_impact: Column) -> Column:
     t = action["type"]
 
-    def or_default(value: Column, default: Column) -> Column:
-        return clamp(F.when(value <= 0, default).otherwise(value), 0, 100)
-
     def rated(x: Column) -> Column:
         default_risk, default_impact = x["risk"], x["impact"]
         return A.action(
             t,
             action["params"],
             action["rationale"],
-            F.when(x["known"], or_default(default_risk + more_risk, default_risk)).otherwise(
-                or_default(action["risk"], F.lit(100))
+            F.when(x["known"], _or_default(default_risk + more_risk, default_risk)).otherwise(
+                _or_default(action["risk"], F.lit(100))
             ),
-            F.when(x["known"], or_default(default_impact + more_impact, default_impact)).otherwise(
-                or_default(action["impact"], F.lit(100))
+            F.when(x["known"], _or_default(default_impact + more_impact, default_impact)).otherwise(
+                _or_default(action["impact"], F.lit(100))
             ),
             F.when(x["known"], A.catalog_field(t, catalog, 0, False)).otherwise(F.lit(False)),
             action["duration_seconds"],
@@ -211,17 +248,36 @@ def rate(action: Column, catalog: dict, more_risk: Column, more_impact: Column)
     return A.let(defaults, rated)
 
 
-def distinct_actions(actions: Column) -> Column:
-    """First action per signature. The id is a hash of the signature, so ids stand in for it."""
+def _rate_proposal(p: Proposal, catalog: dict, more_risk: Column, more_impact: Column) -> Column:
+    """``rate`` of a proposal, whose type and thereby defaults are known."""
+    if p.type in catalog:
+        reversible, _, risk, impact, _ = catalog[p.type]
+        default_risk, default_impact = F.lit(risk or 0), F.lit(impact or 0)
+        risk_ = _or_default(default_risk + more_risk, default_risk)
+        impact_ = _or_default(default_impact + more_impact, default_impact)
+    else:
+        reversible, risk_, impact_ = False, F.lit(100), F.lit(100)
+    return p.action.withField("risk", risk_.cast("int")).withField(
+        "impact", impact_.cast("int")
+    ).withField("reversible", F.lit(bool(reversible)))
 
-    def first_ones(ids: Column) -> Column:
-        # The filter is for the few plans with a repeated id, or without one.
-        given = F.array_distinct(F.array_compact(ids))
-        return F.when(F.size(given) == F.size(ids), actions).otherwise(
-            F.filter(actions, lambda a, i: F.array_position(ids, a["action_id"]) == i + 1)
-        )
 
-    return A.let(F.transform(actions, lambda a: a["action_id"]), first_ones)
+def _proposal_ok(p: Proposal, catalog: dict, given: dict[str, Column]) -> Column:
+    """``A.parameters_ok`` of a proposal, which has the non-blank entities of its names."""
+    out = F.lit(True)
+    for keys in A.key_groups(catalog).get(p.type, []):
+        out = out & _any_of(given, [k for k in keys if k in p.names])
+    return out
+
+
+def distinct_actions(actions: Column) -> Column:
+    """First action per signature. The id is a hash of the signature, so ids stand in for it."""
+    ids = actions["action_id"]
+    # The filter is for the few plans with a repeated id, or without one.
+    given = F.array_except(ids, F.array(F.lit(None).cast("string")))
+    return F.when(F.size(given) == F.size(ids), actions).otherwise(
+        F.filter(actions, lambda a, i: F.array_position(ids, a["action_id"]) == i + 1)
+    )
 
 
 def stable_order(actions: Column) -> Column:
@@ -240,18 +296,15 @@ def stable_order(actions: Column) -> Column:
             ),
         )
     )
-    return F.transform(keys, lambda k: F.get(actions, k["i"]))
+    picked = F.transform(keys, lambda k: F.get(actions, k["i"]))
+    return F.when(F.size(actions) < 2, actions).otherwise(picked)
 
 
 def rollback_actions(actions: Column, catalog: dict) -> Column:
     """Undo actions of the reversible ones, last action first."""
+    undone = [t for t, back in K.ROLLBACK_OF.items() if t in catalog and back in catalog]
     reversible = F.filter(
-        F.reverse(actions),
-        lambda a: A.known(a["type"], catalog)
-        & a["reversible"]
-        & F.coalesce(
-            A.known(A.by_type(a["type"], K.ROLLBACK_OF), catalog), F.lit(False)
-        ),
+        F.reverse(actions), lambda a: a["reversible"] & A.one_of(a["type"], undone)
     )
 
     def undo(a: Column) -> Column:
@@ -270,27 +323,30 @@ def rollback_actions(actions: Column, catalog: dict) -> Column:
 
 def rationale(ctx: PlanningContext) -> Column:
     a = F.col("assessment")
-    return F.array_compact(
-        F.array(
+    texts = [
+        (
+            F.col("strategy").isNotNull() & a["severity"].isNotNull(),
             F.concat(
                 F.lit("Selected strategy "), F.col("strategy"),
                 F.lit(" based on confidence "), two_decimals(a["confidence"]),
                 F.lit(" and severity "), a["severity"].cast("string"), F.lit("."),
             ),
+        ),
+        (
+            F.lit(True),
             F.concat(
                 F.lit("Asset criticality: "), criticality().cast("string"),
                 F.lit("; privileged identity: "), bool_text(privileged()), F.lit("."),
             ),
-            F.lit(f"Environment: {ctx.environment}; DryRun: {ctx.dry_run}."),
-            F.when(
-                non_blank(a["hypothesis"]), F.concat(F.lit("Hypothesis: "), a["hypothesis"])
-            ),
-            F.when(
-                F.size(a["evidence"]) > 0,
-                F.concat(F.lit("Evidence count: "), F.size(a["evidence"]).cast("string")),
-            ),
-        )
-    )
+        ),
+        (F.lit(True), F.lit(f"Environment: {ctx.environment}; DryRun: {ctx.dry_run}.")),
+        (non_blank(a["hypothesis"]), F.concat(F.lit("Hypothesis: "), a["hypothesis"])),
+        (
+            F.size(a["evidence"]) > 0,
+            F.concat(F.lit("Evidence count: "), F.size(a["evidence"]).cast("string")),
+        ),
+    ]
+    return F.concat(*_listed(texts, "string"))
 
 
 def plan_tags(ctx: PlanningContext) -> Column:
@@ -308,15 +364,18 @@ def plan(scored: DataFrame, ctx: PlanningContext | None = None) -> DataFrame:
     """One ``plan`` struct per alert. Plan ids are a hash of source and alert id."""
     ctx = ctx or PlanningContext()
     conf = F.col("assessment")["confidence"]
-    chosen = select_actions(plan_header(scored), ordered=False)
     more_risk, more_impact = surcharges(conf, criticality(), privileged())
-    more = F.struct(more_risk.alias("risk"), more_impact.alias("impact"))
-    estimated = A.let(
-        more,
-        lambda m: F.transform(
-            F.col("candidates"), lambda a: rate(a, ctx.catalog, m["risk"], m["impact"])
-        ),
+    header, given = _with_given(plan_header(scored))
+    more = F.col("_more_risk"), F.col("_more_impact")
+    recommended = F.transform(
+        recommended_actions(given), lambda a: rate(a, ctx.catalog, *more)
     )
+    found = proposals(F.col("strategy"), F.col("entities"), given)
+    rated = [(p, _rate_proposal(p, ctx.catalog, *more)) for p in found]
+    known = [
+        (p.when & _proposal_ok(p, ctx.catalog, given), a) for p, a in rated if p.type in ctx.catalog
+    ]
+    unknown = [(p.when, a) for p, a in rated if p.type not in ctx.catalog]
 
     def keep_known(a: Column) -> Column:
         return A.known(a["type"], ctx.catalog) & A.parameters_ok(
@@ -324,11 +383,14 @@ def plan(scored: DataFrame, ctx: PlanningContext | None = None) -> DataFrame:
         )
 
     ready = F.concat(
-        F.filter(F.col("_estimated"), keep_known),
-        F.filter(F.col("_estimated"), lambda a: ~A.known(a["type"], ctx.catalog)),
+        *_listed(known),
+        F.filter(F.col("_recommended"), keep_known),
+        *_listed(unknown),
+        F.filter(F.col("_recommended"), lambda a: ~A.known(a["type"], ctx.catalog)),
     )
     staged = (
-        chosen.withColumn("_estimated", estimated)
+        header.withColumns({"_more_risk": more_risk, "_more_impact": more_impact})
+        .withColumn("_recommended", recommended)
         .withColumn("_ready", ready)
         .withColumn("_distinct", distinct_actions(F.col("_ready")))
         .withColumn("_actions", stable_order(F.col("_distinct")))
@@ -344,8 +406,8 @@ def plan(scored: DataFrame, ctx: PlanningContext | None = None) -> DataFrame:
         plan_tags(ctx).alias("tags"),
     )
     return pin(staged, {"plan": built}).drop(
-        "_estimated", "_ready", "_distinct", "_actions", "candidates", "strategy", "priority",
-        "plan_summary",
+        "_more_risk", "_more_impact", "_recommended", "_ready", "_distinct", "_actions",
+        "strategy", "priority", "plan_summary", *[f"_has_{n}" for n in given],
     )
 
 

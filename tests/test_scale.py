@@ -110,3 +110,34 @@ def test_ids_of_proposed_actions_are_those_of_their_texts(spark):
     ids = found.select("type", "params", "action_id", A.action_id(F.col("type"), F.col("params")).alias("again")).collect()
     assert [r.type for r in ids].count("IsolateHost") == 3 and [r.type for r in ids].count("BlockIp") == 2
     assert all(r.action_id == r.again for r in ids)
+
+
+def test_planning_has_no_lambda_in_proposals_and_generators(spark):
+    """An expression with a lambda is interpreted from its root; so few things may stand below one."""
+    e = F.struct(*[F.lit("x").alias(n) for n in plan.NEEDED_ENTITIES])
+    assert "lambda" not in str(plan.strategy_actions(F.lit("Contain"), e)).lower()
+    text = registry.QUERIES["policy_counts"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    generators = [line for line in text.splitlines() if "Generate " in line]
+    assert len(generators) >= 3 and not any("lambda" in line for line in generators)
+
+
+@pytest.mark.parametrize("dropped", [(), ("IsolateHost",), tuple(K.ACTION_CATALOG)])
+def test_proposals_are_rated_as_any_action(spark, dropped):
+    catalog = {k: v for k, v in K.ACTION_CATALOG.items() if k not in dropped}
+    if not dropped:
+        catalog["DisableUser"] = (*catalog["DisableUser"][:4], ["user_id"])
+    names = plan.NEEDED_ENTITIES
+    rows = [(s, "1.2.3.4", "h", None, u, i) for s in [*K.STRATEGIES, None] for u, i in [("u", "7"), (" ", "7"), ("u", "")]]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in ["s", *names])).select("s", F.struct(*names).alias("e"))
+    given = {n: F.length(F.trim(F.col("e")[n])) > 0 for n in names}
+    given = {n: F.coalesce(c, F.lit(False)) for n, c in given.items()}
+    more = F.lit(7).cast("bigint"), F.lit(-90).cast("bigint")
+    for p in plan.proposals(F.col("s"), F.col("e"), given):
+        rated = plan.rate(p.action, catalog, *more)
+        known = A.known(p.action["type"], catalog) & A.parameters_ok(p.action["type"], p.action["params"], catalog)
+        fast = plan._rate_proposal(p, catalog, *more)
+        found = df.filter(p.when).select(
+            F.to_json(rated).alias("want"), F.to_json(fast).alias("got"), known.alias("ready"),
+            (F.lit(p.type in catalog) & plan._proposal_ok(p, catalog, given)).alias("ok"),
+        ).collect()
+        assert found and all(r.want == r.got and r.ready == r.ok for r in found)
